@@ -68,11 +68,16 @@ FIELD_CHANGES = (
 
 
 def _with_kind(pairs: DataFrame) -> DataFrame:
-    """Add change_kind and field_changes to rows of old/new revision structs."""
+    """Add change_kind and field_changes to rows of old/new revision structs.
+
+    The field diff is produced by a generator, so that a later filter on the
+    kind reads its result instead of computing it a second time.
+    """
     both = F.col("old").isNotNull() & F.col("new").isNotNull()
     differs = both & (F.col("old.content_hash") != F.col("new.content_hash"))
     changes = F.when(differs, diff_fields(F.col("old.payload"), F.col("new.payload")))
-    rows = pairs.withColumn("field_changes", F.coalesce(changes, F.array().cast(FIELD_CHANGES)))
+    once = F.explode(F.array(F.coalesce(changes, F.array().cast(FIELD_CHANGES))))
+    rows = pairs.withColumn("field_changes", once)
     kind = (
         F.when(F.col("old").isNull(), "added")
         .when(F.col("new").isNull(), "removed")

@@ -19,6 +19,8 @@ def local_session(app: str = "attestra", cores: str = "8", shuffle_partitions: i
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.driver.memory", os.environ.get("ATTESTRA_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
+        # call-site capture costs several JVM round trips per Column call
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     return builder.getOrCreate()
