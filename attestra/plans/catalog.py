@@ -1,4 +1,4 @@
 """Importing this module fills the registry."""
 
-from attestra.plans import evidence, temporal  # noqa: F401
+from attestra.plans import evidence, freshness, graphs, temporal  # noqa: F401
 from attestra.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -247,10 +247,10 @@ def _(spark, sf):
 
 
 @query("J15_verify_artifacts", with_ctes("artifacts", """
-SELECT artifact_id, storage_path, CASE WHEN doc_id % 16 = 3 THEN 'ARTIFACT_FILE_MISSING' ELSE 'ARTIFACT_HASH_MISMATCH' END AS rule FROM artifacts
-WHERE storage_path IS NOT NULL AND (doc_id % 16 = 3 OR sha256 <> true_sha)"""))
+SELECT artifact_id, storage_path, CASE WHEN lang = 'es' THEN 'ARTIFACT_FILE_MISSING' ELSE 'ARTIFACT_HASH_MISMATCH' END AS rule FROM artifacts
+WHERE storage_path IS NOT NULL AND (lang = 'es' OR sha256 <> true_sha)"""))
 def _(spark, sf):
-    files = table(spark, sf, "documents").filter("doc_id % 16 <> 3").select(F.concat(F.lit("store/"), "doc_id").alias("path"), F.encode("text", "UTF-8").alias("content"))
+    files = table(spark, sf, "documents").filter("lang <> 'es'").select(F.concat(F.lit("store/"), "doc_id").alias("path"), F.encode("text", "UTF-8").alias("content"))
     return E.verify_artifacts(I.artifacts(spark, sf), files)
 
 

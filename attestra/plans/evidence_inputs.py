@@ -201,12 +201,12 @@ def artifacts(spark, sf):
 cte("artifacts", """SELECT *, 'ART-' || substr(sha256, 1, 12) AS artifact_id FROM (SELECT doc_id, 'tag-' || doc_id AS tag, 'case-' || (doc_id % 9) AS entity, source AS source_id,
   CASE WHEN doc_id % 15 = 0 THEN sha256(text || '!') ELSE sha256(text) END AS sha256, CASE WHEN doc_id % 8 <> 0 THEN 'store/' || doc_id END AS storage_path,
   ['PUBLIC','PUBLIC_EXCERPT','RESTRICTED_COPYRIGHT','RESTRICTED_PII'][doc_id % 4 + 1] AS pub_class,
-  ['application/pdf','text/html','text/plain','application/json','image/png'][doc_id % 5 + 1] AS mime, sha256(text) AS true_sha FROM documents)""")
+  ['application/pdf','text/html','text/plain','application/json','image/png'][doc_id % 5 + 1] AS mime, sha256(text) AS true_sha, lang FROM documents)""")
 
 
 def links(spark, sf):
     """One evidence link per document, of a kind that depends on the document."""
-    return table(spark, sf, "documents").filter("doc_id % 5 <> 0 OR doc_id % 3 = 0").selectExpr(
+    return table(spark, sf, "documents").filter("n_chars >= 300").selectExpr(
         "CASE WHEN doc_id % 17 = 0 THEN concat('CLM-X', doc_id) ELSE concat('CLM-', doc_id) END AS claim_id", "1 AS link_no",
         "CASE WHEN doc_id % 5 = 1 THEN CASE WHEN doc_id % 7 = 0 THEN 'src77' ELSE source END END AS sourceId",
         "CASE WHEN doc_id % 5 = 2 THEN concat('SP-', doc_id) END AS spanId", "CASE WHEN doc_id % 5 = 4 THEN concat('WS-', doc_id) END AS webSpanId",
@@ -216,7 +216,7 @@ def links(spark, sf):
 cte("links", """SELECT CASE WHEN doc_id % 17 = 0 THEN 'CLM-X' || doc_id ELSE 'CLM-' || doc_id END AS claim_id, 1 AS link_no,
   CASE WHEN doc_id % 5 = 1 THEN CASE WHEN doc_id % 7 = 0 THEN 'src77' ELSE source END END AS sid, CASE WHEN doc_id % 5 = 2 THEN 'SP-' || doc_id END AS span,
   CASE WHEN doc_id % 5 = 4 THEN 'WS-' || doc_id END AS wspan, CASE WHEN doc_id % 5 = 3 THEN 'SEL-' || doc_id END AS sel,
-  CASE WHEN doc_id % 5 IN (0, 4) THEN 'tag-' || (doc_id + doc_id % 2 * 1000000) END AS atag FROM documents WHERE doc_id % 5 <> 0 OR doc_id % 3 = 0""")
+  CASE WHEN doc_id % 5 IN (0, 4) THEN 'tag-' || (doc_id + doc_id % 2 * 1000000) END AS atag FROM documents WHERE n_chars >= 300""")
 
 
 def spans(spark, sf):
