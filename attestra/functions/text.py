@@ -85,11 +85,11 @@ def jaccard(left: Column, right: Column) -> Column:
     return F.when(empty, F.lit(0.0)).otherwise(shared / (F.size(left) + F.size(right) - shared))
 
 
-def short_text(text: Column, limit: int) -> Column:
-    """Collapse spaces; cut long text at a word edge and add an ellipsis."""
+def short_text(text: Column, limit: int, cut: int | None = None) -> Column:
+    """Collapse spaces; cut long text before its last word and add an ellipsis."""
     flat = collapse(text)
-    cut = F.regexp_replace(F.substring(flat, 1, limit), "\\s+\\S*$", "")
-    return F.when(F.length(flat) > limit, F.concat(cut, F.lit("…"))).otherwise(flat)
+    head = F.regexp_replace(F.substring(flat, 1, cut or limit - 1), "[\\s,;:—-]+\\S*$", "")
+    return F.when(F.length(flat) > limit, F.concat(head, F.lit("…"))).otherwise(flat)
 
 
 def extract_ids(text: Column, pattern: str) -> Column:

@@ -23,7 +23,7 @@ def doc_claims(spark, sf):
             ELSE array_sort(array_distinct(array_compact(array(source, concat('src', ({n} + doc_id % 3) % 20), CASE WHEN doc_id % 13 = 0 THEN 'src99' END)))) END AS sources""",
         "doc_id % 10 = 0 AS superseded",
         f"CASE WHEN doc_id % 10 = 0 AND doc_id % 50 <> 0 THEN array(concat('CLM-', doc_id + 1)) ELSE {EMPTY} END AS supersededBy",
-        "CASE WHEN doc_id % 10 = 0 AND doc_id % 30 <> 0 THEN 'newer document' END AS supersededReason", "source AS own_source")
+        "CASE WHEN doc_id % 10 = 0 AND doc_id % 30 <> 0 THEN 'newer document' END AS supersededReason", "source AS own_source", "lang")
 
 
 cte("doc_claims", """
@@ -32,7 +32,7 @@ cte("doc_claims", """
     CASE WHEN doc_id % 11 = 0 THEN []::VARCHAR[] ELSE list_sort(list_distinct(list_filter([source, 'src' || ((substr(source, 4)::INTEGER + doc_id % 3) % 20)::VARCHAR,
       CASE WHEN doc_id % 13 = 0 THEN 'src99' END], lambda x: x IS NOT NULL))) END AS sources,
     doc_id % 10 = 0 AS superseded, CASE WHEN doc_id % 10 = 0 AND doc_id % 50 <> 0 THEN ['CLM-' || (doc_id + 1)] ELSE []::VARCHAR[] END AS successors,
-    CASE WHEN doc_id % 10 = 0 AND doc_id % 30 <> 0 THEN 'newer document' END AS reason, source AS own_source
+    CASE WHEN doc_id % 10 = 0 AND doc_id % 30 <> 0 THEN 'newer document' END AS reason, source AS own_source, lang
   FROM documents""")
 
 

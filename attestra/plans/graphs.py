@@ -72,11 +72,11 @@ def _(spark, sf):
     return G.filter_source_class(I.edges(spark, sf), "id", classes, ["official", "company"]).select("id")
 
 
-@query("P7_as_of", "SELECT 'E' || o_orderkey AS id FROM orders WHERE year(o_orderdate) <= 1999 AND (o_orderdate >= TIMESTAMP '1996-01-01' OR 1999 >= 1999)")
+@query("P7_as_of", "SELECT 'E' || o_orderkey AS id FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01' AND year(o_orderdate) <= 2000")
 def _(spark, sf):
     dates = table(spark, sf, "orders").selectExpr("concat('E', o_orderkey) AS id", "date_format(o_orderdate, 'yyyy-MM-dd') AS valid_from",
                                                   "CASE WHEN o_orderdate < timestamp'1996-01-01' THEN '1999-12-31' END AS valid_to")
-    return G.as_of_year(dates, 1999).select("id")
+    return G.as_of_year(dates, 2000).select("id")
 
 
 @query("J17_record_layers", with_ctes("nodes doc_claims doc_sources", """
@@ -151,12 +151,12 @@ def _(spark, sf):
 
 def inferences(spark, sf):
     """One inference per assessed document claim."""
-    return table(spark, sf, "documents").filter("doc_id % 7 = 3").selectExpr(
+    return I.doc_claims(spark, sf).filter("status = 'ASSESSED'").selectExpr(
         "concat('INF-', doc_id) AS id", "concat('inference of ', doc_id) AS label", "concat('CLM-', doc_id) AS produces", "doc_id",
         """array(named_struct('ref', concat('CLM-', doc_id - 1), 'role', 'supports'), named_struct('ref', concat('CLM-', doc_id - 2), 'role', CASE WHEN lang = 'fr' THEN 'contradicts' ELSE 'contextualizes' END),
              named_struct('ref', concat('CLM-', doc_id + 7), 'role', CASE WHEN lang = 'es' THEN 'guesses' ELSE 'supports' END)) AS premises""",
-        "array(concat('ASM-', lang)) AS assumptions", f"CASE WHEN lang = 'de' THEN {EMPTY} ELSE array(concat('not known: ', source)) END AS uncertainty",
-        "array(concat('other reading of ', doc_id)) AS alternatives", "lang", "source")
+        "array(concat('ASM-', lang)) AS assumptions", f"CASE WHEN lang = 'de' THEN {EMPTY} ELSE array(concat('not known: ', own_source)) END AS uncertainty",
+        "array(concat('other reading of ', doc_id)) AS alternatives", "lang", "own_source")
 
 
 def findings(spark, sf):
@@ -185,8 +185,8 @@ def reasoning(spark, sf):
     return Z.build_reasoning_graph(sources, spans, selectors, claim_nodes(spark, sf), links, assumptions, inferences(spark, sf), findings(spark, sf), conflicts(spark, sf))
 
 
-cte("inferences", """SELECT 'INF-' || doc_id AS id, 'inference of ' || doc_id AS label, 'CLM-' || doc_id AS produces, doc_id, lang, source, ['CLM-' || (doc_id - 1), 'CLM-' || (doc_id - 2), 'CLM-' || (doc_id + 7)] AS refs,
-  ['supports', CASE WHEN lang = 'fr' THEN 'contradicts' ELSE 'contextualizes' END, CASE WHEN lang = 'es' THEN 'guesses' ELSE 'supports' END] AS roles FROM documents WHERE doc_id % 7 = 3""")
+cte("inferences", """SELECT 'INF-' || doc_id AS id, 'inference of ' || doc_id AS label, 'CLM-' || doc_id AS produces, doc_id, lang, own_source AS source, ['CLM-' || (doc_id - 1), 'CLM-' || (doc_id - 2), 'CLM-' || (doc_id + 7)] AS refs,
+  ['supports', CASE WHEN lang = 'fr' THEN 'contradicts' ELSE 'contextualizes' END, CASE WHEN lang = 'es' THEN 'guesses' ELSE 'supports' END] AS roles FROM doc_claims WHERE status = 'ASSESSED'""", ["doc_claims"])
 cte("findings", "SELECT 'EXEC-' || item_id AS id, text AS label, ['CLM-' || (item_id * 7 + 3), 'CLM-' || item_id] AS refs, ['supports', 'contextualizes'] AS roles, CASE WHEN item_id % 3 = 0 THEN 'INF-' || (item_id * 7 + 3) END AS reasoning FROM benchmark")
 cte("conflicts", "SELECT 'CON-' || doc_id AS id, 'toxic of ' || doc_id AS label, ['CLM-' || doc_id] AS side_a, ['CLM-' || (doc_id + 1), 'src' || (doc_id % 20)] AS side_b, CASE WHEN quality = 1 THEN 'settled' ELSE 'open' END AS resolution_state, CASE WHEN toxic = 0 THEN 'none' END AS remaining_uncertainty FROM labels")
 cte("rnodes", """SELECT id, 'source' AS kind, title AS label, 0 AS layer FROM doc_sources UNION ALL SELECT 'OBS-' || id, 'observation', 'retrieval of ' || id, 0 FROM doc_sources
