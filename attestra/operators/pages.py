@@ -155,7 +155,8 @@ def orphan_findings(meta: DataFrame, root_relative: bool = False) -> DataFrame:
 def sitemap_findings(meta: DataFrame, files: DataFrame, sitemaps: DataFrame, robots: DataFrame) -> DataFrame:
     """Sitemap and robots file against the pages.
 
-    ``sitemaps``: site, xml. ``robots``: site, txt. ``files``: site, path.
+    ``sitemaps``: site, xml (any number of files per site). ``robots``: site,
+    txt. ``files``: site, path.
     """
     c = F.col
     sites = meta.select("site").distinct()

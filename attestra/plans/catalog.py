@@ -1,5 +1,5 @@
 """Importing this module fills the registry."""
 
 from attestra.plans import temporal  # noqa: F401, I001
-from attestra.plans import evidence, figures, freshness, graphs, monitoring, overview, pages  # noqa: F401
+from attestra.plans import evidence, figures, freshness, gates, graphs, monitoring, overview, pages  # noqa: F401
 from attestra.plans.registry import ORACLES, QUERIES  # noqa: F401
