@@ -138,11 +138,13 @@ def _(spark, sf):
 
 @query("G3_shortest_path", """
 WITH a AS (SELECT o_custkey AS c, c_nationkey AS n FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey = 1), s AS (SELECT s_nationkey AS n FROM supplier WHERE s_suppkey = 1),
-p AS (SELECT CASE WHEN a.n = s.n THEN ['o1', 'c' || a.c, 'n' || a.n, 's1'] WHEN x.n_regionkey = y.n_regionkey THEN ['o1', 'c' || a.c, 'n' || a.n, 'r' || x.n_regionkey, 'n' || s.n, 's1'] ELSE [] END AS path
+p AS (SELECT CASE WHEN a.n = s.n THEN ['o1', 'c' || a.c, 'n' || a.n, 's1'] WHEN x.n_regionkey = y.n_regionkey THEN ['o1', 'c' || a.c, 'n' || a.n, 'r' || x.n_regionkey, 'n' || s.n, 's1']
+    ELSE ['o1', 'c' || a.c, 'n' || a.n, 'r' || x.n_regionkey, 'world', 'r' || y.n_regionkey, 'n' || s.n, 's1'] END AS path
   FROM a, s, nation x, nation y WHERE x.n_nationkey = a.n AND y.n_nationkey = s.n)
 SELECT (generate_subscripts(path, 1) - 1)::BIGINT AS step, unnest(path) AS node, (len(path) - 1)::BIGINT AS hops FROM p""")
 def _(spark, sf):
-    r = G.shortest_path(fk_edges(spark, sf), "o1", "s1")
+    world = table(spark, sf, "region").selectExpr("concat('r', r_regionkey) AS source", "'world' AS target")
+    r = G.shortest_path(fk_edges(spark, sf).unionByName(world), "o1", "s1")
     return r.select(F.col("step").cast("bigint").alias("step"), "node", F.col("hops").cast("bigint").alias("hops"))
 
 
