@@ -11,6 +11,7 @@ from attestra.operators.classify import categorize_change, classify_change, mate
 from attestra.operators.diff import diff_chain
 from attestra.operators.extract import union_all
 from attestra.operators.numbering import number_rows, ordinal_id
+from attestra.session import cut_lineage
 
 KIND_ORDER = ["added", "removed", "changed"]
 KEY = ["to_seq", "object_type", "object_id", "change_kind"]
@@ -134,8 +135,12 @@ def number_changes(changes: DataFrame, prefix: str = "CHG-") -> DataFrame:
 
 def build_changes(objects: DataFrame, pairs: DataFrame, matches: DataFrame | None = None,
                   resolved: DataFrame | None = None) -> DataFrame:
-    """Diff, classify, date and number all adjacent snapshots."""
-    rows = change_rows(diff_chain(objects, pairs), matches, resolved)
+    """Diff, classify, date and number all adjacent snapshots.
+
+    The classified differences are read three times below, so they are written
+    once and never computed again.
+    """
+    rows = cut_lineage(change_rows(diff_chain(objects, pairs), matches, resolved))
     return number_changes(observed_at(rows, objects))
 
 

@@ -32,16 +32,13 @@ def diff_fields(old_payload: Column, new_payload: Column) -> Column:
     value.
     """
     none = F.lit("null")
-    old, new = _fields(old_payload), _fields(new_payload)
-    names = F.array_sort(F.array_union(F.map_keys(old), F.map_keys(new)))
-    pairs = F.transform(
-        names,
-        lambda n: F.struct(
-            n.alias("field"),
-            F.coalesce(F.try_element_at(old, n), none).alias("previous"),
-            F.coalesce(F.try_element_at(new, n), none).alias("current"),
-        ),
+    # both maps are built once; inside a lambda they would be rebuilt per field
+    both_sides = F.map_zip_with(
+        _fields(old_payload),
+        _fields(new_payload),
+        lambda n, a, b: F.struct(n.alias("field"), F.coalesce(a, none).alias("previous"), F.coalesce(b, none).alias("current")),
     )
+    pairs = F.array_sort(F.map_values(both_sides))
     unequal = F.filter(pairs, lambda p: p["previous"] != p["current"])
 
     def describe(p: Column) -> Column:

@@ -16,10 +16,11 @@ def number_rows(df: DataFrame, order_by: list[Column], out: str = "row_no") -> D
     """1..n in the given total order (the keys must be unique).
 
     Range partitioning sorts in parallel; only one count per partition is
-    brought together to find the offsets. The sorted rows are cut off first,
-    so a lost executor cannot renumber them.
+    brought together to find the offsets. The input is cut off first, because
+    range partitioning samples it in a pass of its own, and the sorted rows are
+    cut off as well, so a lost executor cannot renumber them.
     """
-    ordered = df.repartitionByRange(*order_by).sortWithinPartitions(*order_by)
+    ordered = cut_lineage(df).repartitionByRange(*order_by).sortWithinPartitions(*order_by)
     placed = cut_lineage(ordered.withColumn("_pos", F.monotonically_increasing_id()))
     part = F.shiftright("_pos", _INDEX_BITS)
     index = F.col("_pos").bitwiseAND(F.lit((1 << _INDEX_BITS) - 1))

@@ -135,14 +135,16 @@ def mention_entities(texts: DataFrame, nodes: DataFrame, key: str = "id", text:
     lengths = sorted(r[0] for r in keys.select(F.length("_key")).distinct().collect())
     if not lengths:
         return texts.select(F.col(key).alias("text_id")).limit(0).withColumn("node_id", F.lit(None).cast("string")).withColumn("mention_key", F.lit(None).cast("string"))
-    low = F.lower(F.col(text))
+    # lowered by a generator: inside the lambda it would be repeated per position
+    lowered = texts.select(F.col(key).alias("text_id"), F.explode(F.array(F.lower(text))).alias("_low"))
+    low = F.col("_low")
     starts = F.sequence(F.lit(1), F.greatest(F.length(low), F.lit(1)))
 
     def pieces_of(n: int) -> Column:
         return F.transform(starts, lambda i: F.substring(low, i, F.lit(n)))
 
     grams = F.flatten(F.array(*[pieces_of(n) for n in lengths]))
-    pieces = texts.select(F.col(key).alias("text_id"), F.explode(F.array_distinct(grams)).alias("_key"))
+    pieces = lowered.select("text_id", F.explode(F.array_distinct(grams)).alias("_key"))
     return pieces.join(keys, "_key").select("text_id", F.col("id").alias("node_id"), F.col("_key").alias("mention_key"))
 
 
