@@ -38,8 +38,9 @@ def apply_succession(diffs: DataFrame, matches: DataFrame | None, resolved: Data
     to_seq, removed_id, resolved_by.
     """
     null = F.lit(None).cast("string")
-    rows = diffs.withColumn("class", classify_change(
-        F.col("change_kind"), F.col("object_type"), F.col("old.payload"), F.col("new.payload"), F.col("field_changes")))
+    # classes come out of generators, so reading their parts never repeats the rules
+    classed = classify_change(F.col("change_kind"), F.col("object_type"), F.col("old.payload"), F.col("new.payload"), F.col("field_changes"))
+    rows = diffs.withColumn("class", F.explode(F.array(classed)))
     if matches is None:
         rows = rows.withColumn("successor_object_id", null).withColumn("predecessor_object_id", null)
     else:
@@ -70,7 +71,7 @@ def apply_succession(diffs: DataFrame, matches: DataFrame | None, resolved: Data
         .when(reworded, quiet)
         .otherwise(F.col("class"))
     )
-    return rows.withColumn("class", overridden)
+    return rows.withColumn("class", F.explode(F.array(overridden)))
 
 
 def change_rows(diffs: DataFrame, matches: DataFrame | None = None, resolved: DataFrame | None = None) -> DataFrame:

@@ -97,7 +97,8 @@ def diff_chain(objects: DataFrame, pairs: DataFrame) -> DataFrame:
 
     Every object is sorted by snapshot once: its previous row gives added and
     changed, its next row gives removed. No snapshot is joined to another, and
-    a group is never larger than the number of snapshots.
+    a group is never larger than the number of snapshots. Unchanged rows carry
+    no payload, so most of the data is not copied on.
     """
     key = ["object_type", "object_id"]
     history = W.partitionBy(*key).orderBy("snapshot_sequence")
@@ -112,10 +113,16 @@ def diff_chain(objects: DataFrame, pairs: DataFrame) -> DataFrame:
     )
     null_rev = F.lit(None).cast(rows.schema["rev"].dataType)
     continues = F.col("prev_seq") == F.col("seq") - 1
+    same = F.coalesce(continues & (F.col("prev_rev.content_hash") == F.col("rev.content_hash")), F.lit(False))
+
+    def slim(name: str) -> Column:
+        kept = [F.col(f"{name}.{f}").alias(f) for f in REVISION if f != "payload"]
+        return F.struct(*kept, F.when(~same, F.col(f"{name}.payload")).alias("payload"))
+
     arrived = F.struct(
         F.col("seq").alias("to_seq"),
-        F.when(continues, F.col("prev_rev")).otherwise(null_rev).alias("old"),
-        F.col("rev").alias("new"),
+        F.when(continues, slim("prev_rev")).otherwise(null_rev).alias("old"),
+        slim("rev").alias("new"),
     )
     left = F.struct((F.col("seq") + 1).alias("to_seq"), F.col("rev").alias("old"), null_rev.alias("new"))
     leaves = F.coalesce(F.col("next_seq") != F.col("seq") + 1, F.lit(True))
