@@ -43,29 +43,35 @@ def _class(change_type, materiality, impact) -> Column:
     )
 
 
+def _rule(rows: list[tuple], index: Column) -> Column:
+    """Row of a constant rule table. A table keeps the generated code small,
+    where one branch per rule would outgrow what the JVM compiles well."""
+    table = F.array(*[_class(*[v if v is not None else F.lit(None).cast("string") for v in r]) for r in rows])
+    return F.element_at(table, index)
+
+
 def _classify_added(kind: Column, payload: Column) -> Column:
     get = lambda n: F.get_json_object(payload, "$." + n)
-    verified = F.coalesce(get("status") == "VERIFIED_PRIMARY", F.lit(False))
-    ranked = F.coalesce(status_rank(get("status")) >= 2, F.lit(False))
+    status = get("status")
+    verified = F.coalesce(status == "VERIFIED_PRIMARY", F.lit(False))
     first_tier = F.coalesce(get("tier") == "1", F.lit(False))
     owner = F.coalesce(get("predicate").isin(rules.OWNERSHIP_PREDICATES), F.lit(False))
-    in_accounts = F.coalesce(get("bucket") == "verified", F.lit(False))
-    stronger = lambda cond: F.when(cond, "STRENGTHENED").otherwise(NO_CHANGE)
-    by_payload = {
-        "claim": (None, stronger(ranked)),
-        "source": (F.when(first_tier, "MEDIUM").otherwise("LOW"), stronger(first_tier)),
-        "relationship": (F.when(owner & verified, "HIGH").otherwise("LOW"), stronger(verified)),
-        "financial_fact": (None, stronger(in_accounts)),
-        "identity_field": (None, stronger(verified)),
-    }
-    expr = _class("OBJECT_ADDED", "INFORMATIONAL", NO_CHANGE)
-    for object_type, change_type, materiality, impact in rules.ADDED_RULES:
-        level, effect = by_payload.get(object_type, (None, None))
-        expr = F.when(
-            kind == object_type,
-            _class(change_type, materiality if level is None else level, impact if impact else effect),
-        ).otherwise(expr)
-    return expr
+    rows = [r[1:] for r in rules.ADDED_RULES] + [("OBJECT_ADDED", "INFORMATIONAL", NO_CHANGE)]
+    position = {r[0]: i for i, r in enumerate(rules.ADDED_RULES, start=1)}
+    base = _rule(rows, F.coalesce(lookup(kind, position), F.lit(len(rows))))
+    level = (
+        F.when(kind == "source", F.when(first_tier, "MEDIUM").otherwise("LOW"))
+        .when(kind == "relationship", F.when(owner & verified, "HIGH").otherwise("LOW"))
+        .otherwise(base["materiality"])
+    )
+    stronger = (
+        F.when(kind == "claim", F.coalesce(status_rank(status) >= 2, F.lit(False)))
+        .when(kind == "source", first_tier)
+        .when(kind.isin("relationship", "identity_field"), verified)
+        .when(kind == "financial_fact", F.coalesce(get("bucket") == "verified", F.lit(False)))
+    )
+    impact = F.coalesce(base["epistemic_impact"], F.when(stronger, "STRENGTHENED").otherwise(NO_CHANGE))
+    return _class(base["change_type"], level, impact)
 
 
 def _classify_changed(kind: Column, old: Column, new: Column, fields: Column) -> Column:
@@ -82,16 +88,19 @@ def _classify_changed(kind: Column, old: Column, new: Column, fields: Column) ->
         & (was == "CONTRADICTED")
         & F.coalesce(now != "CONTRADICTED", F.lit(True)),
     }
-    expr = _class("OBJECT_ENRICHED", "LOW", NO_CHANGE)
-    for object_type, trigger, change_type, materiality, impact in reversed(rules.CHANGED_RULES):
+    rows = [r[2:] for r in rules.CHANGED_RULES] + [("OBJECT_ENRICHED", "LOW", NO_CHANGE)]
+    index = F.lit(len(rows))
+    for position in range(len(rules.CHANGED_RULES), 0, -1):
+        object_type, trigger = rules.CHANGED_RULES[position - 1][:2]
         cond = kind == object_type
         if isinstance(trigger, str):
             cond = cond & F.coalesce(named[trigger], F.lit(False))
         elif trigger is not None:
             cond = cond & hit(trigger)
-        effect = epistemic_transition(was, now) if impact == "<status>" else impact
-        expr = F.when(cond, _class(change_type, materiality, effect)).otherwise(expr)
-    return expr
+        index = F.when(cond, F.lit(position)).otherwise(index)
+    base = _rule(rows, index)
+    impact = F.when(base["epistemic_impact"] == "<status>", epistemic_transition(was, now)).otherwise(base["epistemic_impact"])
+    return _class(base["change_type"], base["materiality"], impact)
 
 
 def classify_change(kind: Column, object_type: Column, old: Column, new: Column, fields: Column) -> Column:
