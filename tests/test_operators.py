@@ -69,7 +69,7 @@ def test_closure_survives_cycles_and_respects_depth(spark):
 
 
 def test_filed_figures(spark):
-    d = spark.createDataFrame([("able", "Net turnover (FY2024 / FY2023)", "36,319 / 42,642 tis. CZK (filed)", "V"), ("able", "Registered capital", "243,715 CZK", "V"), ("able", "Mood", "good", "V")],
+    d = spark.createDataFrame([("firm", "Net turnover (FY2024 / FY2023)", "36,319 / 42,642 tis. CZK (filed)", "V"), ("firm", "Registered capital", "243,715 CZK", "V"), ("firm", "Mood", "good", "V")],
                               "entity string, metric string, display string, status string")
     f = {(r.concept, r.period): (r.value, r.unit) for r in N.financial_facts(d, ["FY2024", "FY2023"]).collect()}
     assert f == {("net_turnover", "FY2024"): (36319.0, "thousand_czk"), ("net_turnover", "FY2023"): (42642.0, "thousand_czk"), ("registered_capital", "as_filed"): (243715.0, "czk")}
