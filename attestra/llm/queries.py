@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from attestra.llm.common import table
 from attestra.llm.minhash import near_duplicates
+from attestra.llm.pq import near_duplicate_vectors
+from attestra.llm.topk import embedding_top_k
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -19,6 +21,16 @@ def _register(fn: QueryFn) -> QueryFn:
     return fn
 
 
+@_register
+def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_top_k(table(spark, sf_dir, "embeddings"))
+
+
+@_register
+def op8_pq_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
 @_register
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
