@@ -5,9 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from attestra.llm.common import table
+from attestra.llm.langid import identify
 from attestra.llm.minhash import near_duplicates
+from attestra.llm.mixing import mix_sources
+from attestra.llm.packing import pack_documents
 from attestra.llm.pq import near_duplicate_vectors
 from attestra.llm.topk import embedding_top_k
 
@@ -21,11 +25,22 @@ def _register(fn: QueryFn) -> QueryFn:
     return fn
 
 
+@_register
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "rate", "copies")
+
+
 @_register
 def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_top_k(table(spark, sf_dir, "embeddings"))
 
 
+@_register
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
 @_register
 def op8_pq_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
@@ -34,3 +49,8 @@ def op8_pq_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@_register
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
