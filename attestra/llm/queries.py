@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from attestra.llm.common import table
 from attestra.llm.langid import identify
+from attestra.llm.lm import score_texts
 from attestra.llm.minhash import near_duplicates
 from attestra.llm.mixing import mix_sources
 from attestra.llm.packing import pack_documents
@@ -41,6 +42,11 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+@_register
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 @_register
 def op8_pq_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))

@@ -43,3 +43,28 @@ def near_duplicates(docs):
                 pairs[a, b] = pairs.get((a, b), 0) + 1
     links = [p for p, n in pairs.items() if 100 * n >= 75 * (len(sets[p[0]]) + len(sets[p[1]]) - n)]
     return {d: (len(sets[d]), c) for d, c in components(sets, links).items()}
+
+
+def lm(docs, mass):
+    """doc_id -> (held_out, n_tokens, n_known, train_tokens, base_score, score)."""
+    import math
+    import zlib
+    from collections import Counter
+
+    rows = [(d, zlib.crc32(str(d).encode()) % 5 == 1 if d is not None else False, WORD.findall(lower(t)) + [None]) for d, t in docs]
+    one, two = Counter(), Counter()
+    for _, held, w in rows:
+        if not held:
+            one.update(w)
+            two.update(zip(["<s>"] + w, w))
+    starts, n, v = sum(not h for _, h, _ in rows), sum(one.values()), len(one)
+    out = {}
+    for d, held, w in rows:
+        base = score = 0.0
+        for h, x in zip(["<s>"] + w, w):
+            p = (one[x] + 0.5) / (n + 0.5 * (v + 1))
+            base += math.log10(p)
+            c = starts if h == "<s>" else one[h]
+            score += math.log10((two[h, x] + mass * p) / (c + mass))
+        out[d] = (held, len(w), sum(one[x] > 0 for x in w), n, base, score)
+    return out
