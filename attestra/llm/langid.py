@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from attestra.llm.common import remainder
 
@@ -141,10 +142,10 @@ def train(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG, chars: int = SAMPLE_
     return fit(sample["text"].tolist(), sample["lang"].tolist(), marks)
 
 
-def _predict(model: Model):
+def _predict(model: Model, text_at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(text_at).to_pylist()
             pred, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
             todo = [i for i, t in enumerate(texts) if t and model.langs and _LETTER.search(t)]
             low = 0
@@ -157,12 +158,23 @@ def _predict(model: Model):
                 for i, best, s in zip(todo[low:high], part.argmax(1), part.max(1), strict=True):
                     pred[i], score[i] = model.langs[best], min(1.0, max(0.0, (s + 1) / 2))
                 low = high
-            columns = [batch.column(0), batch.column(2), pa.array(pred, pa.string()), pa.array(score, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
 
     return run
 
 
+def _held_out(docs: DataFrame):
+    return remainder(docs["doc_id"], 4) == 2
+
+
+def fit_and_predict(docs: DataFrame, keep: tuple[str, ...] | None = None) -> DataFrame:
+    """``docs`` (or its columns ``keep``, text among them) with lang_pred and score."""
+    model = train(docs.filter(~_held_out(docs)))
+    kept = docs.select(*(keep or docs.columns))
+    schema = T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return kept.mapInArrow(_predict(model, kept.columns.index("text")), schema)
+
+
 def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score: one row per row of ``docs``.
 
@@ -173,7 +185,5 @@ def identify(docs: DataFrame) -> DataFrame:
     plus the regression value, held to 0..1. Repeated rows get equal answers; an empty
     table gives an empty result.
     """
-    base = docs.select("doc_id", F.col("text").cast("string"), F.col("lang").cast("string"), (remainder(F.col("doc_id"), 4) == 2).alias("held_out"))
-    model = train(base.filter(~F.col("held_out")))
-    kind = base.schema["doc_id"].dataType.simpleString()
-    return base.select("doc_id", "text", "held_out").mapInArrow(_predict(model), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    told = fit_and_predict(docs, ("doc_id", "text"))
+    return told.select("doc_id", _held_out(told).alias("held_out"), "lang_pred", "score")

@@ -250,3 +250,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     out = base.select("doc_id", "n_shingles", *[F.when(own, F.col(c)).alias(c) for c in key]).join(named, key, "left")
     component = F.coalesce("_component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+
+
+def keep_representatives(docs: DataFrame) -> DataFrame:
+    """Rows of ``docs`` that stand for their near-duplicate class; equal rows of one id stay once."""
+    kept = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
+    rows = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi")
+    repeated = docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1")
+    return rows if repeated.isEmpty() else rows.dropDuplicates()

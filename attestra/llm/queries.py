@@ -15,6 +15,7 @@ from attestra.llm.minhash import near_duplicates
 from attestra.llm.mixing import mix_sources
 from attestra.llm.packing import pack_documents
 from attestra.llm.pq import near_duplicate_vectors
+from attestra.llm.secrets import scan_secrets
 from attestra.llm.topk import embedding_top_k
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +28,12 @@ def _register(fn: QueryFn) -> QueryFn:
     return fn
 
 
+@_register
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scanned = scan_secrets(table(spark, sf_dir, "documents"))
+    return scanned.select("doc_id", "start", F.length("candidate").alias("length"), F.sha2("candidate", 256).alias("candidate_sha256"), "before", "after", "score", "is_secret")
+
+
 @_register
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
