@@ -106,15 +106,18 @@ def fit(texts: list[str], langs: list[str], landmarks: np.ndarray, ridge: float
     codes, against, scaled = [], np.zeros((len(texts), len(landmarks))), []
     for k in range(len(ORDERS)):
         table = np.unique(np.concatenate([spectra[i][k] for i in landmarks]))
-        rows = np.zeros((len(texts), len(table)), np.float32)
-        for i, s in enumerate(spectra):
-            at = np.searchsorted(table, s[k])
-            at = at[(at < len(table))]
-            at = at[np.isin(table[at], s[k], assume_unique=True)]
-            rows[i, at] = 1
         size = np.sqrt([max(1, len(s[k])) for s in spectra])
-        marks = rows[landmarks] / size[landmarks][:, None]
-        against += (rows / size[:, None]) @ marks.T
+
+        def presence(part, table=table, k=k) -> np.ndarray:
+            rows = np.zeros((len(part), len(table)), np.float32)
+            for r, i in enumerate(part):
+                rows[r, np.nonzero(np.isin(table, spectra[i][k], assume_unique=True))[0]] = 1
+            return rows
+
+        marks = presence(landmarks) / size[landmarks].astype(np.float32)[:, None]
+        for low in range(0, len(texts), 128):
+            part = range(low, min(low + 128, len(texts)))
+            against[part] += (presence(part) @ marks.T) / size[part][:, None]
         codes.append(table)
         scaled.append(marks)
     value, vector = np.linalg.eigh(against[landmarks])
@@ -124,7 +127,7 @@ def fit(texts: list[str], langs: list[str], landmarks: np.ndarray, ridge: float
     target = np.array([[1.0 if lang == name else -1.0 for name in names] for lang in langs])
     bias = target.mean(0)
     solved = np.linalg.solve(features.T @ features + ridge * np.eye(features.shape[1]), features.T @ (target - bias))
-    return Model(names, codes, [m.T @ (white @ solved) for m in scaled], bias)
+    return Model(names, codes, [m.T @ (white @ solved).astype(np.float32) for m in scaled], bias)
 
 
 def train(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG, chars: int = SAMPLE_CHARS) -> Model:
