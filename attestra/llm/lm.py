@@ -32,7 +32,7 @@ from attestra.llm.common import mix, remainder, settle, word_hashes, words_of
 
 #: Mass that a state gives to words that never followed it, in counts.
 MASS = 200.0
-CHUNK_BYTES = 8_000_000
+CHUNK_BYTES = 4_000_000
 #: Text for each bucket of n-gram counts.
 BUCKET_BYTES = 8_000_000
 START, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
