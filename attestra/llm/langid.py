@@ -19,7 +19,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -135,7 +135,7 @@ def train(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG, chars: int = SAMPLE_
 
     Texts of more than ``chars`` characters, or without a letter, are not sampled.
     """
-    usable = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= chars) & F.col("text").rlike(r"\p{L}"))
+    usable = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= chars) & F.col("text").rlike(r"\p{L}"))
     order = W.partitionBy("lang").orderBy("_mark", "doc_id", "text")
     rows = usable.select("doc_id", "text", "lang", F.xxhash64("doc_id").alias("_mark")).withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= per_lang)
     sample = rows.select("lang", "text", "_place").toPandas().sort_values(["lang", "_place"])
@@ -166,16 +166,22 @@ def _predict(model: Model, text_at: int):
     return run
 
 
-def _held_out(docs: DataFrame):
+def _held_out(docs: DataFrame) -> Column:
     return remainder(docs["doc_id"], 4) == 2
 
 
-def fit_and_predict(docs: DataFrame, keep: tuple[str, ...] | None = None) -> DataFrame:
-    """``docs`` (or its columns ``keep``, text among them) with lang_pred and score."""
+def fit_and_predict(docs: DataFrame, *more: Column) -> DataFrame:
+    """doc_id, text, the columns ``more``, lang_pred and score: one row per row of ``docs``."""
     model = train(docs.filter(~_held_out(docs)))
-    kept = docs.select(*(keep or docs.columns))
+    kept = docs.select("doc_id", F.col("text").cast("string"), *more)
     schema = T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return kept.mapInArrow(_predict(model, kept.columns.index("text")), schema)
+    return kept.mapInArrow(_predict(model, 1), schema)
+
+
+def identified(docs: DataFrame) -> DataFrame:
+    """``docs`` without the documents whose language is `und`; columns of any name stay as they are."""
+    told = fit_and_predict(docs, F.struct(*docs.columns).alias("row"))
+    return told.filter(F.col("lang_pred") != UNKNOWN).select("row.*")
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -188,5 +194,5 @@ def identify(docs: DataFrame) -> DataFrame:
     plus the regression value, held to 0..1. Repeated rows get equal answers; an empty
     table gives an empty result.
     """
-    told = fit_and_predict(docs, ("doc_id", "text"))
+    told = fit_and_predict(docs)
     return told.select("doc_id", _held_out(told).alias("held_out"), "lang_pred", "score")

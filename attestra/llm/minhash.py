@@ -254,7 +254,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def keep_representatives(docs: DataFrame) -> DataFrame:
     """Rows of ``docs`` that stand for their near-duplicate class; equal rows of one id stay once."""
-    kept = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
-    rows = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi")
+    kept = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("id")).distinct()
+    rows = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["id"]), "left_semi")
     repeated = docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1")
     return rows if repeated.isEmpty() else rows.dropDuplicates()

@@ -26,7 +26,7 @@ WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 MOST = 2.0
 #: Documents of one source that are rounded together, on average.
-STRATUM_ROWS = 20_000
+STRATUM_ROWS = 4_096
 TOLERANCE = 1e-12
 NEWTON_ROUNDS = 60
 
@@ -106,15 +106,16 @@ def copies(units: DataFrame, most: float = MOST) -> DataFrame:
 
 
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """``docs`` and size, source_size, target, rate, copies; rows, columns and texts stay as they are.
+    """doc_id, source, size, source_size, target, rate, copies and row (all columns of ``docs``): one row per row.
 
-    ``docs``: doc_id, text, source and any other columns but those five. Size is the
-    number of words (null text: 0). A null source is a source of its own and comes last.
-    A source without words has target 0 and rate 0. Rows that agree in id, source and
-    size get the same number of copies. An empty table gives an empty result. Copies
-    follow from ids and sizes alone, so reruns agree.
+    ``docs``: doc_id, text, source and any other columns. Size is the number of words
+    (null text: 0). A null source is a source of its own and comes last. A source without
+    words has target 0 and rate 0. Rows that agree in id, source and size get the same
+    number of copies. An empty table gives an empty result. Copies follow from ids and
+    sizes alone, so reruns agree.
     """
-    sized = docs.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
+    size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
+    sized = docs.select("doc_id", "source", size.alias("size"), F.struct(*docs.columns).alias("row"))
     light = settle(sized.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("rows")))
     sources = balance(targets(source_sizes(light), weights, share, most))
     units = light.join(sources, light["source"].eqNullSafe(sources["source"])).drop(sources["source"])
@@ -123,3 +124,9 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: fl
     whole = sized.join(taken, same[0] & same[1] & same[2]).drop(*[taken[c] for c in ("doc_id", "source", "size")])
     of = sources.select("source", "source_size", "target", "rate")
     return whole.join(of, whole["source"].eqNullSafe(of["source"])).drop(of["source"])
+
+
+def mixed_documents(docs: DataFrame) -> DataFrame:
+    """Rows of ``docs`` as often as the mix reads them."""
+    taken = mix_sources(docs).filter("copies > 0")
+    return taken.select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select("row.*")

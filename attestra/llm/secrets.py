@@ -148,10 +148,17 @@ def scan_secrets(docs: DataFrame, findings: DataFrame | None = None, sample: int
 def redact(docs: DataFrame, scanned: DataFrame) -> DataFrame:
     """``docs`` with every found secret replaced in the text and n_chars, if there is one, counted anew."""
     secrets = scanned.filter("is_secret").select("mark", F.struct((-F.length("candidate")).alias("order"), "candidate").alias("hit"))
-    lists = secrets.groupBy("mark").agg(F.sort_array(F.collect_set("hit")).alias("_secrets")).withColumnRenamed("mark", "_mark")
-    marked = docs.withColumn("_mark", F.xxhash64("text")).join(lists, "_mark", "left")
-    cleaned = F.aggregate("_secrets", F.col("text"), lambda text, s: F.replace(text, s["candidate"], F.lit(REDACTED)))
-    out = marked.withColumn("text", F.when(F.col("_secrets").isNull(), F.col("text")).otherwise(cleaned))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_secrets").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    lists = secrets.groupBy("mark").agg(F.sort_array(F.collect_set("hit")).alias("secrets"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64("text").alias("mark")).join(lists, "mark", "left")
+    clean = F.aggregate("secrets", F.col("row.text"), lambda text, s: F.replace(text, s["candidate"], F.lit(REDACTED)))
+    untouched = F.col("secrets").isNull()
+    rows = rows.select("row", untouched.alias("untouched"), F.when(untouched, F.col("row.text")).otherwise(clean).alias("clean"))
+
+    def column(name: str) -> Column:
+        if name == "text":
+            return F.col("clean").alias(name)
+        if name == "n_chars":
+            return F.when(F.col("untouched"), F.col("row.n_chars")).otherwise(F.length("clean")).cast(docs.schema[name].dataType).alias(name)
+        return F.col(f"row.`{name}`")
+
+    return rows.select(*[column(c) for c in docs.columns])

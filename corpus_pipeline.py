@@ -7,19 +7,18 @@ but the last return the columns of documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from attestra.llm.common import settle, table
-from attestra.llm.langid import UNKNOWN, fit_and_predict
+from attestra.llm.langid import identified
 from attestra.llm.minhash import keep_representatives
-from attestra.llm.mixing import mix_sources
+from attestra.llm.mixing import mixed_documents
 from attestra.llm.packing import pack_documents
 from attestra.llm.secrets import redact, scan_secrets
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents of which no language can be told: null text, or no letter in it."""
-    return fit_and_predict(docs).filter(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
+    return identified(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +33,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix reads them."""
-    mixed = mix_sources(docs).filter("copies > 0")
-    return mixed.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    return mixed_documents(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
