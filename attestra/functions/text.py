@@ -26,8 +26,13 @@ ACCENTED, FOLDED = _accent_table()
 
 
 def canonical_json(text: Column) -> Column:
-    """JSON text with keys sorted at every level; array order is kept."""
-    return F.to_json(F.parse_json(text))
+    """JSON text with keys sorted at every level; array order is kept.
+
+    Null for text that is not JSON. Of a repeated key the last value counts where
+    ``spark.sql.variant.allowDuplicateKeys`` is set, as in ``local_session``;
+    elsewhere such a text gives null instead of ending the job.
+    """
+    return F.to_json(F.try_parse_json(text))
 
 
 def canonical_struct(columns: dict[str, Column]) -> Column:
@@ -45,11 +50,11 @@ def revision_id(object_id: Column, digest: Column) -> Column:
 
 
 def fnv1a32(text: Column) -> Column:
-    """FNV-1a over the characters of ``text`` as eight hex digits."""
-    codes = F.filter(F.split(text, ""), lambda c: c != "")
+    """FNV-1a over the UTF-16 units of ``text`` as eight hex digits."""
+    units = F.regexp_extract_all(F.hex(F.encode(text, "UTF-16BE")), F.lit("[0-9A-F]{4}"), F.lit(0))
     # FNV-1a offset basis, prime and word size.
-    step = lambda h, c: (h.bitwiseXOR(F.ascii(c).cast("bigint")) * F.lit(16777619)) % F.lit(4294967296)
-    return F.lower(F.lpad(F.hex(F.aggregate(codes, F.lit(2166136261).cast("bigint"), step)), 8, "0"))
+    step = lambda h, u: (h.bitwiseXOR(F.conv(u, 16, 10).cast("bigint")) * F.lit(16777619)) % F.lit(4294967296)
+    return F.lower(F.lpad(F.hex(F.aggregate(units, F.lit(2166136261).cast("bigint"), step)), 8, "0"))
 
 
 def fold_accents(text: Column) -> Column:

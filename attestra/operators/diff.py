@@ -93,26 +93,33 @@ def diff_snapshots(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def diff_chain(objects: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Differences of all adjacent snapshots with a single shuffle.
+    """Differences of all neighbours of the snapshot list with a single shuffle.
 
+    ``pairs`` lists the neighbours; sequence numbers may be missing between them.
     Every object is sorted by snapshot once: its previous row gives added and
     changed, its next row gives removed. No snapshot is joined to another, and
     a group is never larger than the number of snapshots. Unchanged rows carry
     no payload, so most of the data is not copied on.
     """
     key = ["object_type", "object_id"]
+    before = pairs.select(F.col("to_seq").alias("seq"), F.col("from_seq").alias("before_seq"))
+    after = pairs.select(F.col("from_seq").alias("seq"), F.col("to_seq").alias("after_seq"))
+    # one row per snapshot of the list; objects of other snapshots take no part
+    listed = before.join(after, "seq", "full_outer").withColumnRenamed("seq", "snapshot_sequence")
     history = W.partitionBy(*key).orderBy("snapshot_sequence")
     rev = F.struct(*REVISION)
-    rows = objects.select(
+    rows = objects.join(listed, "snapshot_sequence").select(
         *key,
         F.col("snapshot_sequence").alias("seq"),
+        "before_seq",
+        "after_seq",
         rev.alias("rev"),
         F.lag("snapshot_sequence").over(history).alias("prev_seq"),
         F.lag(rev).over(history).alias("prev_rev"),
         F.lead("snapshot_sequence").over(history).alias("next_seq"),
     )
     null_rev = F.lit(None).cast(rows.schema["rev"].dataType)
-    continues = F.col("prev_seq") == F.col("seq") - 1
+    continues = F.col("prev_seq") == F.col("before_seq")
     same = F.coalesce(continues & (F.col("prev_rev.content_hash") == F.col("rev.content_hash")), F.lit(False))
 
     def slim(name: str) -> Column:
@@ -124,8 +131,8 @@ def diff_chain(objects: DataFrame, pairs: DataFrame) -> DataFrame:
         F.when(continues, slim("prev_rev")).otherwise(null_rev).alias("old"),
         slim("rev").alias("new"),
     )
-    left = F.struct((F.col("seq") + 1).alias("to_seq"), F.col("rev").alias("old"), null_rev.alias("new"))
-    leaves = F.coalesce(F.col("next_seq") != F.col("seq") + 1, F.lit(True))
+    left = F.struct(F.col("after_seq").alias("to_seq"), F.col("rev").alias("old"), null_rev.alias("new"))
+    leaves = F.coalesce(F.col("next_seq") != F.col("after_seq"), F.lit(True))
     steps = F.when(leaves, F.array(arrived, left)).otherwise(F.array(arrived))
     exploded = rows.select(*key, F.explode(steps).alias("s")).select(*key, "s.to_seq", "s.old", "s.new")
     # the pair dimension has one row per snapshot; it also drops the steps

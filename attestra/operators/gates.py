@@ -340,7 +340,7 @@ def changes(records: DataFrame, diffs: DataFrame, summary: DataFrame, objects: D
     routed = records.join(routes.select("change_id", F.lit(True).alias("_page")), "change_id", "left")
     material = materiality_rank(c("materiality")) <= materiality_rank(F.lit("MEDIUM"))
     page = F.coalesce("_page", F.lit(False))
-    stale = current_snapshot.join(records.agg(F.max("to_snapshot_id").alias("_last")), c("_last").isNotNull()).filter("snapshot_id <> _last")
+    stale = current_snapshot.join(records.agg(F.max(F.struct(F.length("to_snapshot_id"), "to_snapshot_id"))["to_snapshot_id"].alias("_last")), c("_last").isNotNull()).filter("snapshot_id <> _last")
     return union_all([
         _as_findings(stale, g, "MANIFEST_NOT_CURRENT", "snapshot_id"), check_unique(records, g, "DUPLICATE_ID", ["change_id"]),
         check_rows(compared, g, "to_snapshot_id", [
@@ -361,6 +361,11 @@ def numbering(records: DataFrame) -> DataFrame:
     return _as_findings(again.filter("_told <> change_id"), "changes", "NUMBERING", "_told")
 
 
+def _one_row(df: DataFrame, text: str) -> DataFrame:
+    """One row with ``_id``, also for an empty table."""
+    return df.agg(F.count(F.lit(1))).select(F.lit(text).alias("_id"))
+
+
 def freshness(fresh: DataFrame, plan: DataFrame, as_of: str, cutoff: str) -> DataFrame:
     g = "freshness"
     key = ["object_type", "object_id"]
@@ -370,7 +375,7 @@ def freshness(fresh: DataFrame, plan: DataFrame, as_of: str, cutoff: str) -> Dat
         _as_findings(lost, g, "BLOCKED_NOT_PLANNED", "object_id"), check_rows(fresh, g, "object_id", [("HIGH_OVERDUE", "warn", overdue)]),
         check_rows(plan, g, "task_id", [("TASK_NO_PROVIDER", "error", _blank("recommended_provider")), ("TASK_NO_STOP", "error", _blank("stop_condition"))])]
     if as_of != cutoff:
-        found.append(_as_findings(fresh.limit(1).withColumn("_id", F.lit(as_of)), g, "AS_OF_DIFFERS", "_id", "warn"))
+        found.append(_as_findings(_one_row(fresh, as_of), g, "AS_OF_DIFFERS", "_id", "warn"))
     return union_all(found)
 
 
@@ -431,7 +436,7 @@ def monitoring(published: DataFrame, told: DataFrame, truth: DataFrame, executio
         check_rows(published, g, "id", [("LEAKED_CANDIDATE", "error", ~F.coalesce(F.col("gate_status").isin(K.PUBLISHABLE), F.lit(False)))]),
         _as_findings(drift, g, "COUNT_MISMATCH", "measure"), _as_findings(over, g, "CALL_CAP_EXCEEDED", "run_id")]
     if not note:
-        found.append(_as_findings(told.limit(1), g, "NO_NOTE", "measure"))
+        found.append(_as_findings(_one_row(told, "note"), g, "NO_NOTE", "_id"))
     return union_all(found)
 
 

@@ -49,7 +49,7 @@ def component_sizes(labels: DataFrame) -> DataFrame:
     return labels.groupBy("component").agg(F.count(F.lit(1)).alias("nodes"))
 
 
-def shortest_path(edges: DataFrame, start: str, goal: str, max_hops: int = 64) -> DataFrame:
+def shortest_path(edges: DataFrame, start: str, goal: str) -> DataFrame:
     """Steps of one unweighted undirected shortest path; empty if there is none.
 
     Each round keeps the smallest path per reached node, so the result does not
@@ -60,9 +60,7 @@ def shortest_path(edges: DataFrame, start: str, goal: str, max_hops: int = 64) -
     frontier = spark.createDataFrame([(start, [start])], "node string, path array<string>")
     seen = frontier
     hit = frontier.filter(F.col("node") == goal)
-    for _ in range(max_hops):
-        if not hit.isEmpty() or frontier.isEmpty():
-            break
+    while hit.isEmpty() and not frontier.isEmpty():
         step = frontier.join(links, "node").select(F.col("other").alias("node"), F.concat("path", F.array("other")).alias("path"))
         fresh = step.groupBy("node").agg(F.min("path").alias("path")).join(seen.select("node"), "node", "left_anti")
         frontier = cut_lineage(fresh)

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 # four thousand nodes, then the root. A leaf stays small at any table size,
 # because unique keys spread evenly over hash prefixes.
 TREE_LEVELS = (6, 3)
-FLAT_LIMIT = 1_000_000
 
 
 def object_line() -> F.Column:
@@ -32,31 +31,21 @@ def tree_hash(rows: DataFrame, by: list[str], key: F.Column, line: F.Column) ->
     return level.groupBy(*by).agg(_join_sorted(F.concat_ws(":", "_q", "_h")).alias("content_hash"))
 
 
-def flat_hash(rows: DataFrame, by: list[str], line: F.Column, limit: int = FLAT_LIMIT) -> DataFrame:
-    """One hash over all sorted lines of a group; refused for large groups."""
-    sizes = rows.groupBy(*by).count().agg(F.max("count")).first()
-    if (sizes[0] or 0) > limit:
-        raise ValueError(f"a group has {sizes[0]} lines; use mode='tree' above {limit}")
-    return rows.groupBy(*by).agg(_join_sorted(line).alias("content_hash"))
-
-
-def _hash(objects: DataFrame, by: list[str], line: F.Column, mode: str) -> DataFrame:
+def _hash(objects: DataFrame, by: list[str], line: F.Column) -> DataFrame:
     key = F.concat_ws(":", "object_type", "object_id")
-    hashed = flat_hash(objects, by, line) if mode == "flat" else tree_hash(objects, by, key, line)
-    return hashed.withColumn("hash_mode", F.lit(mode))
+    return tree_hash(objects, by, key, line).withColumn("hash_mode", F.lit("tree"))
 
 
-def semantic_hash(objects: DataFrame, by: list[str], mode: str = "tree") -> DataFrame:
+def semantic_hash(objects: DataFrame, by: list[str]) -> DataFrame:
     """Hash of which revision of which object a snapshot holds.
 
-    ``flat`` is the exact single digest over all lines and is checked for size;
-    ``tree`` works at any size. The two give different values, so the mode is
-    stored beside the hash.
+    The tree hash is the one definition, at any size; ``hash_mode`` beside the hash
+    names it, so stored hashes tell how they came about.
     """
-    return _hash(objects, by, object_line(), mode)
+    return _hash(objects, by, object_line())
 
 
-def object_manifest_hash(objects: DataFrame, by: list[str], mode: str = "tree") -> DataFrame:
+def object_manifest_hash(objects: DataFrame, by: list[str]) -> DataFrame:
     """Hash over the full ordered revisions, payloads included."""
     fields = ["content_hash", "object_id", "object_type", "payload", "revision_id", "valid_from", "valid_to"]
     line = F.concat(
@@ -66,7 +55,7 @@ def object_manifest_hash(objects: DataFrame, by: list[str], mode: str = "tree")
         F.lit(" "),
         F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}),
     )
-    return _hash(objects, by, line, mode).withColumnRenamed("content_hash", "object_manifest_hash")
+    return _hash(objects, by, line).withColumnRenamed("content_hash", "object_manifest_hash")
 
 
 def _superseded() -> F.Column:
@@ -98,15 +87,15 @@ def counts_by_type(objects: DataFrame, by: list[str]) -> DataFrame:
     return objects.groupBy(*by, "object_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-def build_snapshot(objects: DataFrame, mode: str = "tree") -> DataFrame:
+def build_snapshot(objects: DataFrame) -> DataFrame:
     """One manifest row per snapshot: counts, hashes and the chain link.
 
     ``objects`` needs snapshot_id, snapshot_sequence and evidence_cutoff.
     """
     by = ["snapshot_id", "snapshot_sequence", "evidence_cutoff"]
     counts = snapshot_counts(objects, by)
-    hashes = semantic_hash(objects, ["snapshot_id"], mode)
-    manifest = object_manifest_hash(objects, ["snapshot_id"], mode).drop("hash_mode")
+    hashes = semantic_hash(objects, ["snapshot_id"])
+    manifest = object_manifest_hash(objects, ["snapshot_id"]).drop("hash_mode")
     rows = counts.join(hashes, "snapshot_id").join(manifest, "snapshot_id")
     # one row per snapshot: the ordered window below is over a small dimension
     chain = W.orderBy("snapshot_sequence")
@@ -144,13 +133,13 @@ def chain_findings(snapshots: DataFrame) -> DataFrame:
     return rows.select("snapshot_id", F.explode(F.array_compact(F.array(gap, link))).alias("rule"))
 
 
-def ensure_snapshot(current: DataFrame, latest: DataFrame, cutoff: str, mode: str = "tree") -> DataFrame:
+def ensure_snapshot(current: DataFrame, latest: DataFrame, cutoff: str) -> DataFrame:
     """Decide whether the current objects need a new snapshot.
 
     ``latest`` is the manifest row of the newest snapshot. The result says
     ``no-op`` when the semantic hashes agree, else it carries the next sequence.
     """
-    now = semantic_hash(current, [], mode).select(F.col("content_hash").alias("current_hash"), "hash_mode")
+    now = semantic_hash(current, []).select(F.col("content_hash").alias("current_hash"), "hash_mode")
     last = latest.select("snapshot_id", "snapshot_sequence", "content_hash", "hash_mode")
     joined = now.join(last, "hash_mode", "left")
     same = F.coalesce(F.col("content_hash") == F.col("current_hash"), F.lit(False))

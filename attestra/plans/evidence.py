@@ -236,14 +236,14 @@ def _(spark, sf):
 
 @query("A10_source_rollup", """
 WITH s AS (SELECT DISTINCT source AS source_id FROM documents), a AS (SELECT 'src' || (user_id % 20) AS source_id, 'https://p.example/' || user_id || '/' || (props->>'$.k') AS url, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS t, event_type FROM events)
-SELECT s.source_id, (SELECT count(*) FROM documents d WHERE d.source = s.source_id) AS artifacts, (SELECT count(*) FROM documents d WHERE d.source = s.source_id AND length(d.text) > 500) AS spans,
+SELECT s.source_id, (SELECT count(*) FROM documents d WHERE d.source = s.source_id) AS artifacts, (SELECT count(*) FROM documents d WHERE d.source = s.source_id) AS spans,
   (SELECT count(*) FROM documents d WHERE d.source = s.source_id) AS claims, (SELECT arg_max(event_type, t || url) FROM a WHERE a.source_id = s.source_id) AS availability, (SELECT max(t) FROM a WHERE a.source_id = s.source_id) AS last_checked FROM s""")
 def _(spark, sf):
     d = table(spark, sf, "documents").withColumnRenamed("source", "source_id")
     av = table(spark, sf, "events").selectExpr("concat('src', user_id % 20) AS source_id", "concat('https://p.example/', user_id, '/', get_json_object(props, '$.k')) AS url",
                                                "date_format(ts, 'yyyy-MM-dd HH:mm:ss.SSSSSS') AS last_checked", "event_type AS status")
     claims = d.select(F.array("source_id").alias("sources"))
-    return S.source_rollup(I.doc_sources(spark, sf), d, d.filter("length(text) > 500"), av, claims)
+    return S.source_rollup(I.doc_sources(spark, sf), d, d, av, claims)
 
 
 @query("J15_verify_artifacts", with_ctes("artifacts", """

@@ -173,14 +173,14 @@ cte("hypotheses", """SELECT 'HYP-' || item_id AS id, 'subject ' || (item_id % 5)
 
 def runs(spark, sf):
     return table(spark, sf, "events").selectExpr(
-        "concat('RUN-', lpad(cast(event_id as string), 12, '0')) AS run_id", "concat('SRC-', user_id) AS source_id",
+        "concat('RUN-', lpad(cast(event_id as string), greatest(12, length(cast(event_id as string))), '0')) AS run_id", "concat('SRC-', user_id) AS source_id",
         "concat('https://p.example/', user_id, '/', get_json_object(props, '$.k')) AS url", "date_format(ts, 'yyyy-MM-dd HH:mm:ss.SSSSSS') AS finished_at",
         "CASE WHEN event_type = 'error' THEN CASE WHEN value < 8 THEN 'provider_error' ELSE 'http_error' END WHEN event_type = 'signup' AND value < 2 THEN 'fetch_failed' ELSE 'ok' END AS outcome",
         "CASE WHEN event_type = 'error' THEN CASE WHEN value < 8 THEN 500 ELSE 404 END WHEN event_type = 'signup' AND value < 2 THEN NULL ELSE 200 END AS http_status",
         "event_type AS tag", "concat('u', user_id) AS entity", "sha2(props, 256) AS sha256", "ts")
 
 
-cte("runs", """SELECT 'RUN-' || lpad(event_id::VARCHAR, 12, '0') AS run_id, 'SRC-' || user_id AS source_id, 'https://p.example/' || user_id || '/' || (props->>'$.k') AS url,
+cte("runs", """SELECT 'RUN-' || lpad(event_id::VARCHAR, greatest(12, length(event_id::VARCHAR))::INT, '0') AS run_id, 'SRC-' || user_id AS source_id, 'https://p.example/' || user_id || '/' || (props->>'$.k') AS url,
   strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS finished_at,
   CASE WHEN event_type = 'error' THEN CASE WHEN value < 8 THEN 'provider_error' ELSE 'http_error' END WHEN event_type = 'signup' AND value < 2 THEN 'fetch_failed' ELSE 'ok' END AS outcome,
   CASE WHEN event_type = 'error' THEN CASE WHEN value < 8 THEN 500 ELSE 404 END WHEN event_type = 'signup' AND value < 2 THEN NULL ELSE 200 END AS http_status,
@@ -206,7 +206,7 @@ cte("artifacts", """SELECT *, 'ART-' || substr(sha256, 1, 12) AS artifact_id FRO
 
 def links(spark, sf):
     """One evidence link per document, of a kind that depends on the document."""
-    return table(spark, sf, "documents").filter("n_chars >= 300").selectExpr(
+    return table(spark, sf, "documents").selectExpr(
         "CASE WHEN doc_id % 17 = 0 THEN concat('CLM-X', doc_id) ELSE concat('CLM-', doc_id) END AS claim_id", "1 AS link_no",
         "CASE WHEN doc_id % 5 = 1 THEN CASE WHEN doc_id % 7 = 0 THEN 'src77' ELSE source END END AS sourceId",
         "CASE WHEN doc_id % 5 = 2 THEN concat('SP-', doc_id) END AS spanId", "CASE WHEN doc_id % 5 = 4 THEN concat('WS-', doc_id) END AS webSpanId",
@@ -216,7 +216,7 @@ def links(spark, sf):
 cte("links", """SELECT CASE WHEN doc_id % 17 = 0 THEN 'CLM-X' || doc_id ELSE 'CLM-' || doc_id END AS claim_id, 1 AS link_no,
   CASE WHEN doc_id % 5 = 1 THEN CASE WHEN doc_id % 7 = 0 THEN 'src77' ELSE source END END AS sid, CASE WHEN doc_id % 5 = 2 THEN 'SP-' || doc_id END AS span,
   CASE WHEN doc_id % 5 = 4 THEN 'WS-' || doc_id END AS wspan, CASE WHEN doc_id % 5 = 3 THEN 'SEL-' || doc_id END AS sel,
-  CASE WHEN doc_id % 5 IN (0, 4) THEN 'tag-' || (doc_id + doc_id % 2 * 1000000) END AS atag FROM documents WHERE n_chars >= 300""")
+  CASE WHEN doc_id % 5 IN (0, 4) THEN 'tag-' || (doc_id + doc_id % 2 * 1000000) END AS atag FROM documents""")
 
 
 def spans(spark, sf):

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from attestra.functions import text as X
 from attestra.operators.extract import RecordSpec, project_objects, union_all
+from attestra.operators.numbering import ordinal_id
 
 FIRST_YEAR = 1995
 SNAPSHOTS = 10
@@ -33,7 +34,7 @@ def _by_snapshot(df: DataFrame, date_col: str) -> DataFrame:
 
 
 def _snapshot_columns(rows: DataFrame) -> DataFrame:
-    rows = rows.withColumn("snapshot_id", F.concat(F.lit("SNAP-"), F.lpad(F.col("snapshot_sequence").cast("string"), 2, "0")))
+    rows = rows.withColumn("snapshot_id", ordinal_id("SNAP-", F.col("snapshot_sequence"), 2))
     return rows.withColumn(
         "evidence_cutoff", F.concat((F.col("snapshot_sequence") + FIRST_YEAR - 1).cast("string"), F.lit("-12-31"))
     )
@@ -186,7 +187,7 @@ def with_ctes(names: str, body: str) -> str:
 cte(
     "claim_records",
     """
-  SELECT y - 1994 + a.a AS seq, 'SNAP-' || lpad((y - 1994 + a.a)::VARCHAR, 2, '0') AS snapshot_id,
+  SELECT y - 1994 + a.a AS seq, 'SNAP-' || lpad((y - 1994 + a.a)::VARCHAR, greatest(2, length((y - 1994 + a.a)::VARCHAR))::INT, '0') AS snapshot_id,
          (y + a.a)::VARCHAR || '-12-31' AS cutoff, 'CLM-' || o_orderkey AS id,
          'Order ' || o_orderkey || ' ' || CASE WHEN o_orderpriority = '5-LOW' AND d > 500 THEN 'low priority' ELSE o_orderpriority END AS text,
          CASE WHEN d < 180 THEN 'SELF_REPORTED' WHEN o_orderstatus = 'F' THEN 'VERIFIED_PRIMARY'
@@ -201,7 +202,7 @@ cte(
 cte(
     "source_records",
     """
-  SELECT s.s AS seq, 'SNAP-' || lpad(s.s::VARCHAR, 2, '0') AS snapshot_id, (1994 + s.s)::VARCHAR || '-12-31' AS cutoff,
+  SELECT s.s AS seq, 'SNAP-' || lpad(s.s::VARCHAR, greatest(2, length(s.s::VARCHAR))::INT, '0') AS snapshot_id, (1994 + s.s)::VARCHAR || '-12-31' AS cutoff,
          'SRC-' || c_custkey AS id, c_name AS title, 'https://s.example/' || c_custkey AS url, c_nationkey % 3 + 1 AS tier,
          CASE c_mktsegment WHEN 'BUILDING' THEN 'official register' WHEN 'AUTOMOBILE' THEN 'company website'
               WHEN 'MACHINERY' THEN 'primary registry document' WHEN 'HOUSEHOLD' THEN 'media' WHEN 'FURNITURE' THEN 'aggregator profile' END AS kind,
@@ -213,7 +214,7 @@ cte(
 cte(
     "relationship_records",
     """
-  SELECT y - 1994 + a.a AS seq, 'SNAP-' || lpad((y - 1994 + a.a)::VARCHAR, 2, '0') AS snapshot_id,
+  SELECT y - 1994 + a.a AS seq, 'SNAP-' || lpad((y - 1994 + a.a)::VARCHAR, greatest(2, length((y - 1994 + a.a)::VARCHAR))::INT, '0') AS snapshot_id,
          (y + a.a)::VARCHAR || '-12-31' AS cutoff, 'REL-' || l_orderkey || '-' || l_suppkey AS id,
          'ORD-' || l_orderkey AS source, 'SUP-' || l_suppkey AS target,
          CASE WHEN flag = 'R' THEN 'historical delivery' ELSE 'delivery' END AS label,

@@ -20,7 +20,7 @@ def stream_table(spark, sf, name):
 
 def run_stream(spark, sf):
     return stream_table(spark, sf, "events").selectExpr(
-        "concat('RUN-', lpad(cast(event_id as string), 12, '0')) AS run_id", "concat('SRC-', user_id) AS source_id", "date_format(ts, 'yyyy-MM-dd HH:mm:ss.SSSSSS') AS finished_at",
+        "concat('RUN-', lpad(cast(event_id as string), greatest(12, length(cast(event_id as string))), '0')) AS run_id", "concat('SRC-', user_id) AS source_id", "date_format(ts, 'yyyy-MM-dd HH:mm:ss.SSSSSS') AS finished_at",
         "CASE WHEN event_type = 'error' THEN CASE WHEN value < 8 THEN 'provider_error' ELSE 'http_error' END WHEN event_type = 'signup' AND value < 2 THEN 'fetch_failed' ELSE 'ok' END AS outcome",
         "CASE WHEN event_type = 'error' THEN CASE WHEN value < 8 THEN 500 ELSE 404 END WHEN event_type = 'signup' AND value < 2 THEN NULL ELSE 200 END AS http_status",
         "sha2(props, 256) AS sha256", "user_id", "cast(ts as timestamp) AS ts")
@@ -44,8 +44,10 @@ def _(spark, sf):
 
 @query("R7_dedupe_artifacts", "SELECT DISTINCT sha256(props) AS sha256, user_id FROM events")
 def _(spark, sf):
-    kept = S.dedupe_artifacts(run_stream(spark, sf).select("sha256", "user_id", "ts"), ["sha256", "user_id"], "ts", "40 days")
-    return S.run_to_table(kept.select("sha256", "user_id"), scratch(spark, "dedupe"))
+    path = scratch(spark, "dedupe")
+    arriving = run_stream(spark, sf).select("sha256", "user_id")
+    S.append_artifacts(arriving, path, ["sha256", "user_id"], scratch(spark, "dedupe-log")).awaitTermination()
+    return spark.read.parquet(path)
 
 
 @query("R8_gate_stream", with_ctes("gated", "SELECT id, decision, gate_status FROM gated"))

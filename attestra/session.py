@@ -8,7 +8,7 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(app: str = "attestra", cores: str = "8", shuffle_partitions: int = 8) -> SparkSession:
+def local_session(app: str = "attestra", cores: str = "8", shuffle_partitions: int = 8, checkpoints: str | None = None) -> SparkSession:
     """A session for tests and benchmarks; a cluster brings its own."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
@@ -21,8 +21,11 @@ def local_session(app: str = "attestra", cores: str = "8", shuffle_partitions: i
         .config("spark.ui.enabled", "false")
         # call-site capture costs several JVM round trips per Column call
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
+        .config("spark.sql.variant.allowDuplicateKeys", "true")
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
+    if checkpoints:
+        builder = builder.config("spark.checkpoint.dir", checkpoints)
     return builder.getOrCreate()
 
 

@@ -6,6 +6,7 @@ import json
 import os
 import statistics
 import sys
+import tempfile
 import time
 
 from attestra.plans.catalog import QUERIES
@@ -46,7 +47,8 @@ def main() -> None:
     cores = os.environ.get("BENCH_CPUS", "8")
     repeats = int(os.environ.get("BENCH_REPEATS", "2"))
     wanted = sys.argv[1:] or HEADLINE
-    spark = local_session("bench", cores, int(cores))
+    folder = tempfile.mkdtemp(prefix="bench-")  # one machine: shared by all of the session
+    spark = local_session("bench", cores, int(cores), folder)
     spark.sparkContext.setLogLevel("ERROR")
     times = {}
     for name in wanted:

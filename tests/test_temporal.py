@@ -156,15 +156,78 @@ def test_chain_and_reconciliation(spark, tmp_path):
     assert S.chain_findings(snaps).count() == 0
 
 
-def test_flat_hash_is_one_digest_and_refuses_large_groups(spark, tmp_path):
-    import hashlib
-
+def test_tree_hash_ignores_order_and_sees_every_line(spark, tmp_path):
     o = objects_of(spark, tmp_path, doc())
-    lines = sorted(f"{r.object_type}:{r.object_id}@{r.content_hash}" for r in o.collect())
-    want = hashlib.sha256("\n".join(lines).encode()).hexdigest()
-    assert S.semantic_hash(o, ["snapshot_id"], mode="flat").first().content_hash == want
-    with pytest.raises(ValueError):
-        S.flat_hash(o, ["snapshot_id"], S.object_line(), limit=2)
+    first = S.semantic_hash(o, ["snapshot_id"]).first()
+    assert first.hash_mode == "tree"
+    assert S.semantic_hash(o.repartition(5), ["snapshot_id"]).first().content_hash == first.content_hash
+    lost = o.orderBy("object_type", "object_id").limit(o.count() - 1)
+    assert S.semantic_hash(lost, ["snapshot_id"]).first().content_hash != first.content_hash
+
+
+def revisions(spark, rows):
+    """(sequence, id, hash) as object revisions."""
+    df = spark.createDataFrame(rows, "snapshot_sequence int, object_id string, content_hash string")
+    return df.select(
+        "snapshot_sequence", F.lit("t").alias("object_type"), "object_id", F.concat_ws("@", "object_id", "content_hash").alias("revision_id"), "content_hash",
+        F.lit(None).cast("string").alias("valid_from"), F.lit("UNKNOWN").alias("valid_time_precision"), F.to_json(F.struct(F.col("content_hash").alias("v"))).alias("payload"))
+
+
+@pytest.mark.parametrize("listed", [[3, 5], [3, 5, 9], [1, 2, 3, 5, 9]])
+def test_chain_pairs_neighbours_of_the_list_over_gaps(spark, listed):
+    o = revisions(spark, [(3, "a", "1"), (3, "b", "1"), (3, "c", "1"), (4, "b", "8"), (4, "c", "1"), (4, "e", "1"), (5, "a", "1"), (5, "b", "2"), (5, "d", "1"), (9, "a", "3"), (9, "c", "1")])
+    pairs = spark.createDataFrame(list(zip(listed, listed[1:])), "from_seq int, to_seq int")
+    got = {(r.to_seq, r.object_id, r.change_kind) for r in diff_chain(o, pairs).collect()}
+    want = set()
+    for a, b in zip(listed, listed[1:]):
+        side = lambda n: o.filter(F.col("snapshot_sequence") == n)
+        want |= {(b, r.object_id, r.change_kind) for r in diff_snapshots(side(a), side(b)).collect()}
+    assert got == want
+
+
+def test_ids_outgrow_their_width(spark):
+    from attestra.operators.numbering import ordinal_id
+
+    ids = spark.range(99, 101).select(ordinal_id("SNAP-", F.col("id"), 2).alias("s")).collect()
+    assert [r.s for r in ids] == ["SNAP-99", "SNAP-100"]
+
+
+def test_path_of_seventy_hops(spark):
+    from attestra.operators.graph import shortest_path
+
+    edges = spark.range(70).select(F.concat(F.lit("n"), "id").alias("source"), F.concat(F.lit("n"), F.col("id") + 1).alias("target"))
+    steps = shortest_path(edges, "n0", "n70").collect()
+    assert len(steps) == 71 and {r.hops for r in steps} == {70}
+    assert shortest_path(edges, "n0", "elsewhere").count() == 0
+
+
+@pytest.mark.parametrize("text", ["", "a", "a\U0001F600", "ž\u4e2d"])
+def test_fnv_hashes_utf16_units(spark, text):
+    from attestra.functions.text import fnv1a32
+
+    h, units = 2166136261, text.encode("utf-16-be")
+    for i in range(0, len(units), 2):
+        h = ((h ^ int.from_bytes(units[i : i + 2], "big")) * 16777619) % 2**32
+    assert spark.createDataFrame([(text,)], "t string").select(fnv1a32(F.col("t"))).first()[0] == f"{h:08x}"
+
+
+def test_canonical_json_keeps_the_last_of_a_repeated_key(spark):
+    from attestra.functions.text import canonical_json
+
+    df = spark.createDataFrame([('{"b":1,"a":2,"b":3}',), ("{bad",)], "t string").select(canonical_json(F.col("t")).alias("c"))
+    assert [r.c for r in df.collect()] == ['{"a":2,"b":3}', None]
+
+
+def test_findings_about_a_table_survive_its_emptiness(spark):
+    from attestra.operators import gates
+
+    fresh = spark.createDataFrame([], "object_type string, object_id string, current_state string, materiality string")
+    plan = spark.createDataFrame([], "task_id string, object_type string, object_id string, recommended_provider string, stop_condition string")
+    assert [r.rule for r in gates.freshness(fresh, plan, "2001-01-20", "2000-12-31").collect()] == ["AS_OF_DIFFERS"]
+    published = spark.createDataFrame([], "id string, gate_status string")
+    told = spark.createDataFrame([], "measure string, value long")
+    runs = spark.createDataFrame([], "run_id string")
+    assert [r.rule for r in gates.monitoring(published, told, told, runs, None).collect()] == ["NO_NOTE"]
 
 
 def test_numbering_is_dense_and_ordered(spark):
