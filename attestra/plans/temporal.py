@@ -241,6 +241,19 @@ def _(spark, sf):
                     F.col("new.content_hash").alias("new_hash"))
 
 
+@query("J1_diff_over_gap", with_ctes("objects", """
+, list AS (SELECT DISTINCT seq FROM objects WHERE seq <> 4), p AS (SELECT lag(seq) OVER (ORDER BY seq) AS a, seq AS b FROM list),
+d AS (SELECT p.b, CASE WHEN o.object_id IS NULL THEN 'added' WHEN o.content_hash <> n.content_hash THEN 'changed' ELSE 'unchanged' END AS change_kind
+  FROM p JOIN objects n ON n.seq = p.b LEFT JOIN objects o ON o.seq = p.a AND o.object_type = n.object_type AND o.object_id = n.object_id WHERE p.a IS NOT NULL
+  UNION ALL SELECT p.b, 'removed' FROM p JOIN objects o ON o.seq = p.a LEFT JOIN objects n ON n.seq = p.b AND o.object_type = n.object_type AND o.object_id = n.object_id WHERE n.object_id IS NULL)
+SELECT b::BIGINT AS to_seq, change_kind, count(*) AS objects FROM d GROUP BY ALL"""))
+def _(spark, sf):
+    """The snapshot list without its fourth entry: 3 and 5 are neighbours."""
+    listed = snapshots(spark, sf).filter("snapshot_sequence <> 4")
+    d = D.diff_chain(objects(spark, sf), S.adjacent_pairs(listed))
+    return d.groupBy(F.col("to_seq").cast("bigint").alias("to_seq"), "change_kind").agg(F.count(F.lit(1)).alias("objects"))
+
+
 @query("J16_graph_layer_diff", with_ctes("objects", """
 SELECT object_type, coalesce(o.object_id, n.object_id) AS object_id,
   CASE WHEN o.object_id IS NULL THEN 'added' WHEN n.object_id IS NULL THEN 'removed' WHEN o.content_hash <> n.content_hash THEN 'changed' ELSE 'unchanged' END AS change_kind
