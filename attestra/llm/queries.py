@@ -16,6 +16,7 @@ from attestra.llm.mixing import mix_sources
 from attestra.llm.packing import pack_documents
 from attestra.llm.pq import near_duplicate_vectors
 from attestra.llm.secrets import scan_secrets
+from attestra.llm.suffixes import repeated_passages
 from attestra.llm.topk import embedding_top_k
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -63,6 +64,11 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+@_register
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 @_register
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(table(spark, sf_dir, "documents"))

@@ -68,3 +68,25 @@ def lm(docs, mass):
             score += math.log10((two[h, x] + mass * p) / (c + mass))
         out[d] = (held, len(w), sum(one[x] > 0 for x in w), n, base, score)
     return out
+
+
+def repeated(docs, least=50):
+    """(doc_id, start, words, documents) of maximal spans of shared windows; ``docs``: (doc_id, text) rows."""
+    words = [WORD.findall(lower(t)) for _, t in docs]
+    held = {}
+    for n, w in enumerate(words):
+        for i in range(len(w) - least + 1):
+            held.setdefault(tuple(w[i : i + least]), set()).add(n)
+    out = []
+    for n, w in enumerate(words):
+        spans = []
+        for i in range(len(w) - least + 1):
+            k = len(held[tuple(w[i : i + least])])
+            if k < 2:
+                continue
+            if spans and i <= spans[-1][1]:
+                spans[-1] = (spans[-1][0], i + least, max(spans[-1][2], k))
+            else:
+                spans.append((i, i + least, k))
+        out += [(docs[n][0], a, b - a, k) for a, b, k in spans]
+    return out
