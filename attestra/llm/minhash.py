@@ -4,8 +4,8 @@
    same set are one class; from here on only classes are compared.
 2. A class keeps the ``k`` smallest hashes. Two sets of similarity 0.75 share at least
    ``least`` of them (64 and 26: a shortfall lies six standard deviations off; sets of
-   at most k hashes are kept whole, so the bound 0.75 n is exact there). Ordered from
-   rare to common, they then share a value among the first ``size - least + 1``: only
+   at most k hashes are kept whole and share at least 0.75 n, or k - n / 3 where the other
+   set is larger than k). Ordered from rare to common, they then share a value among the first ``size - least + 1``: only
    these enter the inverted lists, so lines that many documents quote make no pairs.
 3. All lists with the same smallest member are compared together, once, in blocks of a
    bounded number of shingles: shared retained values give overlaps, the union sketch
@@ -107,7 +107,9 @@ def _candidates(classes: DataFrame) -> DataFrame:
     """(leader, cid): members that share a list of rare retained values, lists joined by their leader."""
     values = classes.select("cid", "kept", F.explode("sketch").alias("value"))
     common = values.groupBy("value").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    held = F.when(F.col("kept") < K, F.ceil(F.col("kept") * 0.75).cast("int")).otherwise(LEAST)
+    # a whole set and a set of m > K hashes share 3 / 7 (n + m) of which the sketch lacks at most m - K
+    whole = F.least(F.ceil(F.col("kept") * 0.75), K - F.floor(F.col("kept") / 3)).cast("int")
+    held = F.when(F.col("kept") < K, whole).otherwise(LEAST)
     # values of one class only come first in the order from rare to common
     reach = (F.col("kept") - held + 1) - (F.col("kept") - F.size("shared"))
     prefix = (

@@ -79,6 +79,17 @@ def test_near_duplicates_of_a_hot_group_are_split_into_blocks(spark, monkeypatch
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute.near_duplicates(rows)
 
 
+def test_near_duplicates_of_sets_around_the_size_of_a_sketch(spark):
+    """The smaller set is retained whole, the larger one is not."""
+    rows = []
+    for i in range(60):
+        short = [f"w{i}x{j}" for j in range(53 + i % 15)]
+        n = len(short) - 4
+        rows += [(2 * i, " ".join(short)), (2 * i + 1, " ".join(short + [f"y{i}x{j}" for j in range(n // 3)]))]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute.near_duplicates(rows)
+
+
 def test_language(docs, empty):
     got = langid.identify(docs).collect()
     assert len(got) == docs.count()
