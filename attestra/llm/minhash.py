@@ -4,13 +4,17 @@
    same set are one class; from here on only classes are compared.
 2. A class keeps the ``k`` smallest hashes. Two sets of similarity 0.75 share at least
    ``least`` of them (64 and 26: a shortfall lies six standard deviations off; sets of
-   at most k hashes are kept whole and share at least 0.75 n, or k - n / 3 where the other
-   set is larger than k). Ordered from rare to common, they then share a value among the first ``size - least + 1``: only
-   these enter the inverted lists, so lines that many documents quote make no pairs.
-3. All lists with the same smallest member are compared together, once, in blocks of a
-   bounded number of shingles: shared retained values give overlaps, the union sketch
-   filters, full sets verify. A block returns a spanning forest of its links, never
-   all pairs.
+   at most k hashes are kept whole and share at least 0.75 n, or k - n / 3 where the
+   other set is larger than k). Ordered from rare to common, they then share a value
+   among the first ``size - least + 1``: only these enter the inverted lists, so lines
+   that many documents quote make no pairs.
+3. All lists with the same smallest member, their leader, are compared together, once,
+   in blocks of a bounded number of shingles: shared retained values give overlaps, the
+   union sketch filters, full sets verify. A block returns a spanning forest of its
+   links, never all pairs.
+   A group of many blocks is first compared block by block, the leader being in all of
+   them. Members that this links to the leader are one class already, so blocks are then
+   set against each other only for the rest: a hot group of near copies is sent once.
 4. Connected components over the links give the classes of near-duplicates.
 """
 
@@ -22,7 +26,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestra.llm.common import mix, settle, word_hashes, words_of
@@ -167,7 +171,10 @@ def _union_estimate(pad: np.ndarray, sizes: np.ndarray, a: np.ndarray, b: np.nda
 
 
 def _links(group: pd.DataFrame) -> pd.DataFrame:
-    """Spanning forest of the links of one block, or between two blocks of one leader."""
+    """Spanning forest of the links of one block, or between two blocks of one leader: every member and its head.
+
+    ``settled`` tells which members the links join to the leader.
+    """
     sets: list[np.ndarray] = []
     keep: list[int] = []
     rows = list(zip(group["text"], group["print_a"], group["print_b"], strict=True))
@@ -179,7 +186,7 @@ def _links(group: pd.DataFrame) -> pd.DataFrame:
                 keep.append(i)
             i += 1
     group = group.iloc[keep].reset_index(drop=True)
-    none = pd.DataFrame({"source": np.empty(0, np.int64), "target": np.empty(0, np.int64)})
+    none = pd.DataFrame({"leader": [], "source": [], "target": []}).astype("int64").assign(settled=np.empty(0, bool))
     if len(group) < 2:
         return none
     within = group["low"].iloc[0] == group["high"].iloc[0]
@@ -215,20 +222,50 @@ def _links(group: pd.DataFrame) -> pd.DataFrame:
     _, first = np.unique(root, return_index=True)
     head = dict(zip(root[first], ids[first], strict=True))
     target = np.array([head[r] for r in root])
-    return pd.DataFrame({"source": ids, "target": target})[ids != target]
+    return pd.DataFrame({"leader": group["leader"], "source": ids, "target": target, "settled": np.isin(root, root[ids == group["leader"].iloc[0]])})
+
+
+def _sizes(part: Column, name: str) -> list[Column]:
+    """Number of a leader's members for which ``part`` holds, and of the blocks they fill."""
+    n = F.count(F.when(part, 1))
+    words = F.coalesce(F.sum(F.when(part, F.col("n_shingles"))), F.lit(0))
+    return [n.alias(f"{name}_n"), F.greatest(F.ceil(words / BLOCK_SHINGLES), F.ceil(n / BLOCK_CLASSES)).cast("int").alias(f"{name}_blocks")]
+
+
+def _block(blocks: str) -> Column:
+    return F.pmod(F.xxhash64("cid", F.lit(7)), F.col(blocks)).cast("int")
+
+
+def _compared(placed: DataFrame, docs: DataFrame) -> DataFrame:
+    """leader, source, target, settled for ``placed`` (leader, cid, print_a, print_b, block, low, high)."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("cid"), F.col("text").cast("string"))
+    rows = placed.select("leader", "cid", "print_a", "print_b", "block", "low", "high").join(texts, "cid")
+    return settle(rows.groupBy("leader", "low", "high").applyInPandas(_links, "leader long, source long, target long, settled boolean"))
 
 
 def near_links(classes: DataFrame, docs: DataFrame) -> DataFrame:
     """(source, target) links of similarity 0.75 or more that connect what is connected."""
     members = settle(_candidates(classes)).join(classes.select("cid", "n_shingles", "print_a", "print_b"), "cid")
-    spread = members.groupBy("leader").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("words")).filter("n > 1")
-    blocks = F.greatest(F.ceil(F.col("words") / BLOCK_SHINGLES), F.ceil(F.col("n") / BLOCK_CLASSES)).cast("int")
-    placed = members.join(spread.select("leader", blocks.alias("blocks")), "leader")
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("cid", F.lit(7)), F.col("blocks")).cast("int"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.select("leader", "cid", "print_a", "print_b", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("cid"), F.col("text").cast("string"))
-    return placed.join(texts, "cid").groupBy("leader", "low", "high").applyInPandas(_links, "source long, target long")
+    led = members.groupBy("leader").agg(*_sizes(F.lit(True), "all")).filter("all_n > 1")
+    members = settle(members.join(led, "leader"))
+    every = F.when(F.col("cid") == F.col("leader"), F.sequence(F.lit(0), F.col("all_blocks") - 1)).otherwise(F.array(_block("all_blocks")))
+    alone = members.withColumn("block", F.explode(every))
+    found = _compared(alone.withColumn("low", F.col("block")).withColumn("high", F.col("block")), docs)
+    links = found.select("source", "target").filter("source <> target")
+
+    joined = found.filter("settled").select("leader", F.col("source").alias("cid"), "settled").distinct()
+    large = members.filter("all_blocks > 1").join(joined, ["leader", "cid"], "left")
+    large = settle(large.withColumn("settled", F.coalesce("settled", F.lit(False))))
+    parts = large.groupBy("leader").agg(*_sizes(~F.col("settled"), "loose"), *_sizes(F.col("settled"), "settled")).filter("loose_n > 0")
+    if parts.isEmpty():
+        return links
+    # blocks of loose members come first and meet all blocks, settled ones meet only those
+    rest = large.join(parts, "leader")
+    rest = rest.withColumn("block", F.when(F.col("settled"), F.col("loose_blocks") + _block("settled_blocks")).otherwise(_block("loose_blocks")))
+    met = F.when(F.col("settled"), F.col("loose_blocks")).otherwise(F.col("loose_blocks") + F.col("settled_blocks"))
+    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), met - 1)))
+    more = _compared(rest.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")), docs)
+    return links.union(more.select("source", "target").filter("source <> target"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

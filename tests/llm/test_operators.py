@@ -79,6 +79,24 @@ def test_near_duplicates_of_a_hot_group_are_split_into_blocks(spark, monkeypatch
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute.near_duplicates(rows)
 
 
+def test_near_duplicates_of_a_hot_group_that_its_leader_does_not_hold_together(spark, monkeypatch):
+    """Chains and islands of documents that share a rare passage: members far from the leader meet every block."""
+    from attestra.llm import minhash
+
+    monkeypatch.setattr(minhash, "BLOCK_CLASSES", 12)
+    common = [f"c{i}" for i in range(90)]
+    rows = []
+    for island in range(6):
+        own = [f"i{island}x{i}" for i in range(90)]
+        for step in range(15):
+            w = own[step * (island % 3) :] + [f"n{island}s{j}" for j in range(step * (island % 3))]
+            rows.append((len(rows), " ".join(common + w)))
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = brute.near_duplicates(rows)
+    assert 1 < len({c for _, c in want.values()}) < len(rows)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+
+
 def test_near_duplicates_of_sets_around_the_size_of_a_sketch(spark):
     """The smaller set is retained whole, the larger one is not."""
     rows = []
