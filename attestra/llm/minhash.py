@@ -39,6 +39,7 @@ LEAST = 26
 BLOCK_SHINGLES = 300_000
 BLOCK_CLASSES = 1_500
 _BATCH_BYTES = 4_000_000
+_MEMBER = ["leader", "cid", "n_shingles", "print_a", "print_b", "block", "all_blocks"]
 _WEIGHTS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -173,7 +174,8 @@ def _union_estimate(pad: np.ndarray, sizes: np.ndarray, a: np.ndarray, b: np.nda
 def _links(group: pd.DataFrame) -> pd.DataFrame:
     """Spanning forest of the links of one block, or between two blocks of one leader: every member and its head.
 
-    ``settled`` tells which members the links join to the leader.
+    ``settled`` tells which members the links join to the leader; members of a group of
+    many blocks keep their text, as these blocks may have to meet.
     """
     sets: list[np.ndarray] = []
     keep: list[int] = []
@@ -186,7 +188,7 @@ def _links(group: pd.DataFrame) -> pd.DataFrame:
                 keep.append(i)
             i += 1
     group = group.iloc[keep].reset_index(drop=True)
-    none = pd.DataFrame({"leader": [], "source": [], "target": []}).astype("int64").assign(settled=np.empty(0, bool))
+    none = group.iloc[:0][_MEMBER].assign(target=np.empty(0, np.int64), settled=np.empty(0, bool), text=None)
     if len(group) < 2:
         return none
     within = group["low"].iloc[0] == group["high"].iloc[0]
@@ -222,7 +224,8 @@ def _links(group: pd.DataFrame) -> pd.DataFrame:
     _, first = np.unique(root, return_index=True)
     head = dict(zip(root[first], ids[first], strict=True))
     target = np.array([head[r] for r in root])
-    return pd.DataFrame({"leader": group["leader"], "source": ids, "target": target, "settled": np.isin(root, root[ids == group["leader"].iloc[0]])})
+    settled = np.isin(root, root[ids == group["leader"].iloc[0]])
+    return group[_MEMBER].assign(target=target, settled=settled, text=group["text"].where(group["all_blocks"] > 1, None))
 
 
 def _sizes(part: Column, name: str) -> list[Column]:
@@ -236,27 +239,24 @@ def _block(blocks: str) -> Column:
     return F.pmod(F.xxhash64("cid", F.lit(7)), F.col(blocks)).cast("int")
 
 
-def _compared(placed: DataFrame, docs: DataFrame) -> DataFrame:
-    """leader, source, target, settled for ``placed`` (leader, cid, print_a, print_b, block, low, high)."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("cid"), F.col("text").cast("string"))
-    rows = placed.select("leader", "cid", "print_a", "print_b", "block", "low", "high").join(texts, "cid")
-    return settle(rows.groupBy("leader", "low", "high").applyInPandas(_links, "leader long, source long, target long, settled boolean"))
+def _compared(placed: DataFrame) -> DataFrame:
+    """Members, their heads, settled and text for ``placed``: members with text, low and high."""
+    schema = "leader long, cid long, n_shingles long, print_a long, print_b long, block int, all_blocks int, target long, settled boolean, text string"
+    return settle(placed.select(*_MEMBER, "low", "high", "text").groupBy("leader", "low", "high").applyInPandas(_links, schema))
 
 
 def near_links(classes: DataFrame, docs: DataFrame) -> DataFrame:
     """(source, target) links of similarity 0.75 or more that connect what is connected."""
     members = settle(_candidates(classes)).join(classes.select("cid", "n_shingles", "print_a", "print_b"), "cid")
     led = members.groupBy("leader").agg(*_sizes(F.lit(True), "all")).filter("all_n > 1")
-    members = settle(members.join(led, "leader"))
     every = F.when(F.col("cid") == F.col("leader"), F.sequence(F.lit(0), F.col("all_blocks") - 1)).otherwise(F.array(_block("all_blocks")))
-    alone = members.withColumn("block", F.explode(every))
-    found = _compared(alone.withColumn("low", F.col("block")).withColumn("high", F.col("block")), docs)
-    links = found.select("source", "target").filter("source <> target")
-
-    joined = found.filter("settled").select("leader", F.col("source").alias("cid"), "settled").distinct()
-    large = members.filter("all_blocks > 1").join(joined, ["leader", "cid"], "left")
-    large = settle(large.withColumn("settled", F.coalesce("settled", F.lit(False))))
-    parts = large.groupBy("leader").agg(*_sizes(~F.col("settled"), "loose"), *_sizes(F.col("settled"), "settled")).filter("loose_n > 0")
+    alone = members.join(led, "leader").withColumn("block", F.explode(every)).withColumns({"low": F.col("block"), "high": F.col("block")})
+    found = _compared(alone.join(docs.select(F.col("doc_id").cast("long").alias("cid"), F.col("text").cast("string")), "cid"))
+    links = found.select(F.col("cid").alias("source"), "target").filter("source <> target")
+
+    # the leader stands in all blocks; its own is enough here
+    large = found.filter((F.col("all_blocks") > 1) & (F.col("block") == _block("all_blocks")))
+    parts = settle(large.groupBy("leader").agg(*_sizes(~F.col("settled"), "loose"), *_sizes(F.col("settled"), "settled")).filter("loose_n > 0"))
     if parts.isEmpty():
         return links
     # blocks of loose members come first and meet all blocks, settled ones meet only those
@@ -264,8 +264,9 @@ def near_links(classes: DataFrame, docs: DataFrame) -> DataFrame:
     rest = rest.withColumn("block", F.when(F.col("settled"), F.col("loose_blocks") + _block("settled_blocks")).otherwise(_block("loose_blocks")))
     met = F.when(F.col("settled"), F.col("loose_blocks")).otherwise(F.col("loose_blocks") + F.col("settled_blocks"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), met - 1)))
-    more = _compared(rest.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")), docs)
-    return links.union(more.select("source", "target").filter("source <> target"))
+    # nothing comes after this, so no text is kept
+    more = _compared(rest.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other"), "all_blocks": F.lit(1)}))
+    return links.union(more.select(F.col("cid").alias("source"), "target").filter("source <> target"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
