@@ -36,19 +36,24 @@ def ratio(num: Column, den: Column) -> Column:
     return F.when(den != 0, half_up(num / den, 2))
 
 
-def financial_facts(displays: DataFrame, periods: list[str]) -> DataFrame:
-    """One fact per entity, concept and period from filed display texts.
+def financial_facts(displays: DataFrame, periods: list[str] | str) -> DataFrame:
+    """One fact per filed value: entity, concept and period from display texts.
 
     ``displays``: entity, metric, display, status. Values stand in the order
     current, comparative. Point-in-time concepts keep their first value.
+    ``periods`` in that order: one list for all filings, or the name of an array
+    column with each filing's own.
     """
+    if not isinstance(periods, str):
+        displays = displays.withColumn("_periods", F.array(*[F.lit(p) for p in periods]))
+        periods = "_periods"
     point = [concept for _, concept, once in rules.FINANCE_CONCEPTS if once]
     rows = displays.withColumn("concept", concept_of(F.col("metric"))).filter("concept IS NOT NULL")
     rows = rows.withColumn("p", parse_amounts(F.col("display")))
-    rows = rows.select("entity", "metric", "status", "concept", F.col("p.unit").alias("unit"), F.posexplode("p.values").alias("pos", "value"))
+    rows = rows.select("entity", "metric", "status", "concept", F.col(periods).alias("periods"), F.col("p.unit").alias("unit"), F.posexplode("p.values").alias("pos", "value"))
     once = F.col("concept").isin(point)
-    rows = rows.filter((once & (F.col("pos") == 0)) | (~once & (F.col("pos") < len(periods))))
-    period = F.when(once, "as_filed").otherwise(F.element_at(F.array(*[F.lit(p) for p in periods]), F.col("pos") + 1))
+    rows = rows.filter((once & (F.col("pos") == 0)) | (~once & (F.col("pos") < F.size("periods"))))
+    period = F.when(once, "as_filed").otherwise(F.get("periods", F.col("pos")))
     rows = rows.withColumn("period", period)
     fact_id = F.concat(F.lit("FIN-"), F.upper("entity"), F.lit("-"), F.regexp_replace("period", "[^A-Za-z0-9]", ""), F.lit("-"),
                        F.replace(F.upper("concept"), F.lit("_"), F.lit("-")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from attestra.functions import text as X
@@ -13,8 +14,8 @@ from attestra.plans.registry import query
 
 PERIODS = ["FY2000", "FY1999"]
 LABELS = {
-    "1-URGENT": "Net turnover (FY2000 / FY1999)",
-    "2-HIGH": "Net result (FY2000 / FY1999)",
+    "1-URGENT": "Net turnover (current / previous)",
+    "2-HIGH": "Net result (current / previous)",
     "3-MEDIUM": "Total assets",
     "4-NOT SPECIFIED": "Equity (total)",
     "5-LOW": "Liabilities (total)",
@@ -22,32 +23,35 @@ LABELS = {
 
 
 def displays(spark, sf):
-    """Order sums per customer and priority as filed display texts."""
-    o = table(spark, sf, "orders").filter("o_orderdate >= timestamp'1999-01-01' AND o_orderdate < timestamp'2001-01-01'")
-    cents = F.col("o_totalprice").cast("decimal(18,2)")
-    year = lambda y: F.sum(F.when(F.year("o_orderdate") == y, cents))
-    g = o.groupBy("o_custkey", "o_orderpriority").agg(year(2000).alias("a"), year(1999).alias("b"))
+    """One filing per customer, priority and year with orders: its order sum, and that of the year before if there is one."""
+    o = table(spark, sf, "orders").select("o_custkey", "o_orderpriority", F.year("o_orderdate").alias("y"), F.col("o_totalprice").cast("decimal(18,2)").alias("cents"))
+    years = W.partitionBy("o_custkey", "o_orderpriority").orderBy("y")
+    g = o.groupBy("o_custkey", "o_orderpriority", "y").agg(F.sum("cents").alias("a"))
+    g = g.withColumn("b", F.when(F.lag("y").over(years) == F.col("y") - 1, F.lag("a").over(years)))
     num = lambda c: F.format_number(F.floor(c), 0)
+    scale = F.when(F.col("o_custkey") % 2 == 0, F.concat(F.lit(" tis. CZK (filed "), F.col("y") + 1, F.lit(")"))).otherwise(" CZK")
     return g.select(
         F.concat(F.lit("c"), "o_custkey").alias("entity"), X.lookup(F.col("o_orderpriority"), LABELS).alias("metric"),
-        F.concat(F.concat_ws(" / ", num(F.col("a")), num(F.col("b"))), F.when(F.col("o_custkey") % 2 == 0, " tis. CZK (filed 2001)").otherwise(" CZK")).alias("display"),
+        F.concat(F.concat_ws(" / ", num(F.col("a")), num(F.col("b"))), scale).alias("display"),
+        F.transform(F.array(F.col("y"), F.col("y") - 1), lambda y: F.concat(F.lit("FY"), y)).alias("periods"),
         F.lit("VERIFIED_PRIMARY").alias("status"))
 
 
 def facts(spark, sf):
-    return N.financial_facts(displays(spark, sf), PERIODS)
+    """A year's figure stands in its own filing and, the same, in the next one."""
+    return N.financial_facts(displays(spark, sf), "periods").distinct()
 
 
+cte("sums", """
+  SELECT o_custkey AS k, o_orderpriority AS p, year(o_orderdate) AS y, floor(sum(o_totalprice::DECIMAL(18,2)))::BIGINT AS s FROM orders GROUP BY 1, 2, 3""")
 cte("displays", """
-  SELECT 'c' || k AS entity, k, label AS metric, concept, a, b, CASE WHEN k % 2 = 0 THEN 'thousand_czk' ELSE 'czk' END AS unit,
-    concat_ws(' / ', format('{:,}', a), format('{:,}', b)) || CASE WHEN k % 2 = 0 THEN ' tis. CZK (filed 2001)' ELSE ' CZK' END AS display
-  FROM (SELECT o_custkey AS k, o_orderpriority AS p, floor(sum(o_totalprice::DECIMAL(18,2)) FILTER (year(o_orderdate) = 2000))::BIGINT AS a, floor(sum(o_totalprice::DECIMAL(18,2)) FILTER (year(o_orderdate) = 1999))::BIGINT AS b
-        FROM orders WHERE year(o_orderdate) IN (1999, 2000) GROUP BY 1, 2)
-  JOIN (VALUES ('1-URGENT', 'Net turnover (FY2000 / FY1999)', 'net_turnover'), ('2-HIGH', 'Net result (FY2000 / FY1999)', 'net_result'), ('3-MEDIUM', 'Total assets', 'total_assets'), ('4-NOT SPECIFIED', 'Equity (total)', 'total_equity'),
-    ('5-LOW', 'Liabilities (total)', 'total_liabilities')) l(p, label, concept) USING (p)""")
+  SELECT 'c' || k AS entity, k, y, label AS metric, concept, a, b, CASE WHEN k % 2 = 0 THEN 'thousand_czk' ELSE 'czk' END AS unit,
+    concat_ws(' / ', format('{:,}', a), format('{:,}', b)) || CASE WHEN k % 2 = 0 THEN ' tis. CZK (filed ' || (y + 1) || ')' ELSE ' CZK' END AS display
+  FROM (SELECT n.k, n.p, n.y, n.s AS a, v.s AS b FROM sums n LEFT JOIN sums v ON v.k = n.k AND v.p = n.p AND v.y = n.y - 1)
+  JOIN (VALUES ('1-URGENT', 'Net turnover (current / previous)', 'net_turnover'), ('2-HIGH', 'Net result (current / previous)', 'net_result'), ('3-MEDIUM', 'Total assets', 'total_assets'), ('4-NOT SPECIFIED', 'Equity (total)', 'total_equity'),
+    ('5-LOW', 'Liabilities (total)', 'total_liabilities')) l(p, label, concept) USING (p)""", ["sums"])
 cte("facts", """
-  SELECT 'FIN-' || upper(entity) || '-' || period || '-' || replace(upper(concept), '_', '-') AS id, entity, concept, period, value::DOUBLE AS value, unit
-  FROM (SELECT entity, concept, unit, 'FY2000' AS period, coalesce(a, b) AS value FROM displays UNION ALL SELECT entity, concept, unit, 'FY1999', b FROM displays WHERE a IS NOT NULL AND b IS NOT NULL)""", ["displays"])
+  SELECT 'FIN-' || upper(entity) || '-FY' || y || '-' || replace(upper(concept), '_', '-') AS id, entity, concept, 'FY' || y AS period, a::DOUBLE AS value, unit FROM displays""", ["displays"])
 
 
 @query("F23_parse_amounts", with_ctes("displays", """

@@ -86,6 +86,14 @@ def test_filed_figures(spark):
         ("", None, None, None, None, None, None, "unresolved"),
     ],
 )
+
+def test_each_filing_has_its_own_periods(spark):
+    rows = [("c1", "Net turnover", "20 / 10 CZK", ["FY2001", "FY2000"], "S"), ("c1", "Net turnover", "10 CZK", ["FY2000", "FY1999"], "S"), ("c1", "Net turnover", "CZK", ["FY1990"], "S")]
+    d = spark.createDataFrame(rows, "entity string, metric string, display string, periods array<string>, status string")
+    got = sorted((r.period, r.value) for r in N.financial_facts(d, "periods").collect())
+    assert got == [("FY2000", 10.0), ("FY2000", 10.0), ("FY2001", 20.0)]
+
+
 def test_address_components(spark, raw, street, house, orientation, part, postcode, city, resolution):
     a = spark.createDataFrame([(raw,)], "raw string").select(A.parse_address(F.col("raw")).alias("a")).first().a
     assert tuple(a) == (street, house, orientation, part, postcode, city, resolution)
