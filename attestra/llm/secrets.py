@@ -1,9 +1,11 @@
 """Secret scans: candidate strings, and a random forest that removes false positives.
 
-Candidates are runs of key-like characters of at least 12, with a digit in them. The
-forest looks at length, transitions between character classes, how much of the letters
-is dictionary words, the path (source) and the neighbouring words; it is trained on
-labelled findings. All steps are DataFrame operations.
+Candidates are runs of key-like characters of at least 12 with a digit, with mixed case or
+with the prefix of a known provider, and values of any printable characters assigned with
+a colon or equals sign to a password, secret, token or key. The forest looks at length,
+transitions between character classes, how much of the letters is dictionary words, the
+name that a value is assigned to, the path (source) and the neighbouring words; it is
+trained on labelled findings. All steps are DataFrame operations.
 """
 
 from __future__ import annotations
@@ -18,7 +20,19 @@ from pyspark.sql import functions as F
 from attestra.llm.common import settle
 
 _KEY = r"A-Za-z0-9+/_.@\-"
-CANDIDATE = rf"(?<![{_KEY}])(?=[{_KEY}]{{12}})(?=[A-Za-z+/_.@\-]*+[0-9])[{_KEY}]++={{0,2}}"
+_PREFIX = r"(?:A[KS]IA|[sr]k_(?:live|test)_|sk-|gh[pousr]_|github_pat_|glpat-|xox[abeprs]-|AIza|SG\.|npm_|hf_)"
+# of a run without a digit: capitals behind the first character besides small letters, or a prefix at its start or behind a symbol
+_DIGIT, _MIXED, _KNOWN = r"[A-Za-z+/_.@\-]*+[0-9]", rf"(?=[{_KEY}]+[A-Z])[{_KEY}]*[a-z]", rf"(?:[{_KEY}]*[+/_.@\-])?{_PREFIX}"
+_RUN = rf"(?<![{_KEY}])(?=[{_KEY}]{{12}})(?:(?={_DIGIT})|(?={_MIXED})|(?={_KNOWN}))[{_KEY}]++={{0,2}}"
+#: Characters of an assigned value at least.
+SHORTEST = 6
+_PASSWORD = "password|passwd|passphrase|pwd"
+_QUOTE = "\"'`"
+_SIGN = rf"s?\d{{0,2}}[{_QUOTE}\])]?\s{{0,4}}[:=]{{1,2}}>?\s{{0,4}}[{_QUOTE}]?"
+_NAME = rf"(?i:{_PASSWORD}|secret|token|key){_SIGN}"
+# up to white space or a quote, a mark-up tag or the next parameter of a URL; closing punctuation only inside
+_VALUE = rf"(?<=[:=>\s{_QUOTE}])(?![:=>])(?=[^\s{_QUOTE}]{{{SHORTEST}}})(?<={_NAME})(?:[^\s{_QUOTE}&<,;.:)\]}}>]|&(?!\w+=)|<(?!/?[A-Za-z])|[,;.:)\]}}>]++(?=[^\s{_QUOTE}&<]))++"
+CANDIDATE = f"(?:{_VALUE}|{_RUN})"
 #: Characters of text looked at on either side of a candidate.
 CONTEXT = 80
 #: Labelled findings that the forest is fitted on, at most; the first in hash order.
@@ -29,13 +43,17 @@ TREES, DEPTH, SEED = 30, 6, 7
 REDACTED = "[SECRET]"
 _CLASSES = "lads"  # lower, upper, digit, symbol
 _RATES = ("path", "before", "after")
+# forms of keys that tell their provider; words and capitalised parts of words, with symbols between
+_PROVIDED = r"^(?:A[KS]IA[0-9A-Z]{16}|[sr]k_(?:live|test)_[0-9A-Za-z]{16,}|gh[pousr]_[0-9A-Za-z]{36,}|github_pat_\w{22,}|glpat-[\w\-]{20,}|xox[abeprs]-[0-9A-Za-z\-]{10,}|AIza[\w\-]{35})\.?$"
+_WORDS = r"^(?:[A-Z]{2,}+|[A-Z]?[a-z]{2,}+)(?:[A-Z][a-z]{2,}+|[+/_.@\-]++(?:[A-Z]{2,}+|[A-Z]?[a-z]{2,}+))*+[+/_.@\-]*+$"
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """doc_id, path, mark (hash of the text), start, candidate, before, after, context: one row per candidate.
+    """doc_id, path, mark (hash of the text), start, candidate, before, after, assigned, context: one row per candidate.
 
     ``start`` counts code points from 0; ``before`` and ``after`` are the nearest words
-    within 80 characters, lower case, empty if there is none.
+    within 80 characters, lower case, empty if there is none. ``assigned`` is 2 for a
+    value assigned to a password, 1 for one of a secret, token or key, 0 for others.
     """
     rows = docs.select("doc_id", F.col("source").cast("string").alias("path"), F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
     found = rows.filter(F.col("text").rlike(CANDIDATE)).select(
@@ -45,17 +63,19 @@ def candidates(docs: DataFrame) -> DataFrame:
     each = found.select(
         "doc_id", "path", "row", "mark",
         F.posexplode(F.transform("hits", lambda h, i: F.struct(
-            h.alias("candidate"), F.length(F.get("gaps", i)).alias("gap"), F.right(F.get("gaps", i), F.lit(CONTEXT)).alias("left"), F.left(F.get("gaps", i + 1), F.lit(CONTEXT)).alias("right")
+            h.alias("candidate"), F.length(F.get("gaps", i)).alias("gap"), F.right(F.get("gaps", i), F.lit(CONTEXT)).alias("left"), F.left(F.get("gaps", i + 1), F.lit(CONTEXT)).alias("right"),
+            F.right(F.concat(F.coalesce(F.get("hits", i - 1), F.lit("")), F.get("gaps", i)), F.lit(CONTEXT)).alias("lead"),
         ))).alias("at", "hit"),
     ).select("doc_id", "path", "row", "mark", "at", "hit.*")
     until = W.partitionBy("row").orderBy("at").rowsBetween(W.unboundedPreceding, W.currentRow)
     start = F.sum(F.col("gap") + F.length("candidate")).over(until) - F.length("candidate")
     word = r"([\p{L}_]+)"
+    assigned = F.when(F.col("lead").rlike(f"(?i:{_PASSWORD}){_SIGN}$"), 2.0).when(F.col("lead").rlike(f"{_NAME}$"), 1.0).otherwise(0.0)
     return each.select(
         "doc_id", "path", "mark", start.cast("long").alias("start"), "candidate",
         F.lower(F.regexp_extract("left", word + r"[^\p{L}_]*$", 1)).alias("before"), F.lower(F.regexp_extract("right", r"^[^\p{L}_]*" + word, 1)).alias("after"),
-        F.concat_ws(" ", "left", "right").alias("context"),
-    )
+        assigned.alias("assigned"), F.concat_ws(" ", "left", "right").alias("context"),
+    ).filter(F.length("candidate") >= SHORTEST)
 
 
 def dictionary(found: DataFrame) -> DataFrame:
@@ -82,7 +102,7 @@ def _shape(candidate: Column) -> list[Column]:
     return [n.cast("double").alias("chars"), *kinds, *steps]
 
 
-FEATURES = ["chars", *[f"share_{c}" for c in _CLASSES], *[f"step_{a}{b}" for a in _CLASSES for b in _CLASSES], "covered", *[f"{c}_rate" for c in _RATES]]
+FEATURES = ["chars", *[f"share_{c}" for c in _CLASSES], *[f"step_{a}{b}" for a in _CLASSES for b in _CLASSES], "covered", "assigned", *[f"{c}_rate" for c in _RATES]]
 
 
 def _with_rates(rows: DataFrame, taught: DataFrame) -> DataFrame:
@@ -96,14 +116,21 @@ def _with_rates(rows: DataFrame, taught: DataFrame) -> DataFrame:
     return rows
 
 
-def label_by_format(found: DataFrame) -> DataFrame:
-    """candidate, mark, start, label for candidates whose nature their format gives away; no row for others."""
+def _by_format() -> Column:
+    """1.0 or 0.0 for candidates whose nature their format gives away, null for others."""
     c = F.col("candidate")
     named = F.col("before").isin("password", "passwd", "secret", "token", "key", "api_key", "apikey")
-    true = c.rlike("^AKIA[0-9A-Z]{16}$") | (named & c.rlike("^[0-9a-f]{16,}$"))
-    false = c.rlike(r"^[^@]+@[^@]+\.[a-z]+\.?$") | c.rlike(r"^\d{1,3}(\.\d{1,3}){3}\.?$") | c.rlike(r"^[0-9./\-]+$")
-    label = F.when(true, 1.0).when(false, 0.0)
-    return found.select("mark", "start", "candidate", label.alias("label")).filter("label is not null")
+    password = F.col("assigned") == 2
+    varied = c.rlike("[a-z]").cast("int") + c.rlike("[A-Z]").cast("int") + c.rlike("[0-9]").cast("int") + c.rlike("[^A-Za-z0-9]").cast("int")
+    true = c.rlike(_PROVIDED) | ((named | (F.col("assigned") > 0)) & c.rlike("^[0-9a-f]{16,}$")) | ((password | ((F.col("assigned") > 0) & c.rlike(r"[$!#%&*^~]"))) & (F.length(c) >= 8) & (varied >= 3) & ~c.rlike(r"[()\[\]{}]"))
+    # a password may be a word or a number
+    false = c.rlike(r"^[^@]+@[^@]+\.[a-z]+\.?$") | c.rlike(r"^\d{1,3}(\.\d{1,3}){3}\.?$") | (~password & (c.rlike(r"^[0-9./\-]+$") | c.rlike(_WORDS)))
+    return F.when(true, 1.0).when(false, 0.0)
+
+
+def label_by_format(found: DataFrame) -> DataFrame:
+    """candidate, mark, start, label for candidates whose nature their format gives away; no row for others."""
+    return found.select("mark", "start", "candidate", _by_format().alias("label")).filter("label is not null")
 
 
 def scan_secrets(docs: DataFrame, findings: DataFrame | None = None, sample: int = SAMPLE) -> DataFrame:
@@ -111,7 +138,7 @@ def scan_secrets(docs: DataFrame, findings: DataFrame | None = None, sample: int
 
     ``docs``: doc_id, text, source; other columns are ignored. ``findings``: mark, start,
     candidate, label (1.0 secret, 0.0 not) for some candidates; by default those that
-    their format gives away. The forest is fitted on at most ``sample`` of them; the
+    their format gives away, which then keep that label as score. The forest is fitted on at most ``sample`` of them; the
     rates of paths and neighbours come from one half, the trees from the other. A null
     or empty text has no candidates; a null source is unknown to the rates. Repeated rows
     give repeated findings. If findings of one kind only are known, every candidate gets
@@ -121,7 +148,7 @@ def scan_secrets(docs: DataFrame, findings: DataFrame | None = None, sample: int
     label = label_by_format(found) if findings is None else findings
     # copies of one text are one lesson
     label = label.groupBy("mark", "start", "candidate").agg(F.max("label").alias("label"))
-    lesson = found.groupBy("mark", "start", "candidate").agg(*[F.min(c).alias(c) for c in _RATES]).join(label, ["mark", "start", "candidate"])
+    lesson = found.groupBy("mark", "start", "candidate").agg(*[F.min(c).alias(c) for c in _RATES], F.max("assigned").alias("assigned")).join(label, ["mark", "start", "candidate"])
     order = F.xxhash64("mark", "start")
     taught = settle(lesson.withColumn("order", order).orderBy("order", "mark", "start", "candidate").limit(sample))
     first_half = F.pmod("order", F.lit(2)) == 0
@@ -142,6 +169,8 @@ def scan_secrets(docs: DataFrame, findings: DataFrame | None = None, sample: int
     model = forest.fit(assembler.transform(lessons).select("label", "features").coalesce(1))
     scored = model.transform(assembler.transform(described(found)))
     score = F.get(vector_to_array("probability"), F.lit(1))
+    if findings is None:  # what the format gives away needs no guess
+        score = F.coalesce(_by_format(), score)
     return scored.select(*keep, score.alias("score"), (score >= 0.5).alias("is_secret"))
 
 
