@@ -141,8 +141,9 @@ def scan_secrets(docs: DataFrame, findings: DataFrame | None = None, sample: int
     their format gives away, which then keep that label as score. The forest is fitted on at most ``sample`` of them; the
     rates of paths and neighbours come from one half, the trees from the other. A null
     or empty text has no candidates; a null source is unknown to the rates. Repeated rows
-    give repeated findings. If findings of one kind only are known, every candidate gets
-    their share of secrets (0 without any). An empty table gives an empty result.
+    give repeated findings. If findings of one kind only are known, there is no forest: a
+    candidate's score is its own label, else 1 or 0 by its format, else 1 for a value that
+    is assigned to a name and no plain word. An empty table gives an empty result.
     """
     found = settle(candidates(docs))
     label = label_by_format(found) if findings is None else findings
@@ -150,13 +151,17 @@ def scan_secrets(docs: DataFrame, findings: DataFrame | None = None, sample: int
     label = label.groupBy("mark", "start", "candidate").agg(F.max("label").alias("label"))
     lesson = found.groupBy("mark", "start", "candidate").agg(*[F.min(c).alias(c) for c in _RATES], F.max("assigned").alias("assigned")).join(label, ["mark", "start", "candidate"])
     order = F.xxhash64("mark", "start")
-    taught = settle(lesson.withColumn("order", order).orderBy("order", "mark", "start", "candidate").limit(sample))
-    first_half = F.pmod("order", F.lit(2)) == 0
-    known = taught.agg(*[F.count(F.when((F.col("label") == v) & (first_half == h), 1)).alias(f"n{int(v)}{int(h)}") for v in (0.0, 1.0) for h in (False, True)], F.avg("label").alias("share")).first()
+    taught = lesson.withColumn("order", order).orderBy("order", "mark", "start", "candidate").limit(sample)
+    # both kinds are halved, so the trees see each kind that there is; a single finding of a kind goes to them
+    place = F.row_number().over(W.partitionBy("label").orderBy("order", "mark", "start", "candidate"))
+    taught = settle(taught.withColumn("half", F.pmod(place, F.lit(2))))
+    first_half = F.col("half") == 0
+    known = taught.agg(*[F.count(F.when(F.col("label") == v, 1)).alias(f"n{int(v)}") for v in (0.0, 1.0)]).first()
     keep = ["doc_id", "path", "mark", "start", "candidate", "before", "after"]
-    if not (known["n00"] and known["n10"]):
-        share = F.lit(float(known["share"] or 0.0))
-        return found.select(*keep, share.alias("score"), (share >= 0.5).alias("is_secret"))
+    if not (known["n0"] and known["n1"]):
+        named = ((F.col("assigned") > 0) & ~F.col("candidate").rlike(_WORDS)).cast("double")
+        alone = F.coalesce("label", _by_format(), named)
+        return found.join(label, ["mark", "start", "candidate"], "left").select(*keep, alone.alias("score"), (alone >= 0.5).alias("is_secret"))
     covered = settle(_coverage(found))
 
     def described(rows: DataFrame) -> DataFrame:
