@@ -28,7 +28,8 @@ from attestra.llm.common import remainder
 
 ORDERS = (1, 2, 3, 4)
 #: Labelled texts per language to fit on, those of them that serve as landmarks, and the
-#: longest text (in characters) that the sample takes.
+#: length (in characters) up to which texts are short: these come first, and the sample and
+#: the landmarks of a language hold as many characters as that many texts of this length.
 SAMPLE_PER_LANG = 400
 LANDMARKS_PER_LANG = 60
 SAMPLE_CHARS = 5_000
@@ -130,19 +131,46 @@ def fit(texts: list[str], langs: list[str], landmarks: np.ndarray, ridge: float
     return Model(names, codes, [m.T @ (white @ solved).astype(np.float32) for m in scaled], bias)
 
 
+def _first(usable: DataFrame, order: list[Column], per_lang: int) -> DataFrame:
+    """lang, text, _place: the first ``per_lang`` rows of each language in this order."""
+    by = W.partitionBy("lang").orderBy(*order, "_mark", "doc_id", "text")
+    rows = usable.withColumn("_mark", F.xxhash64("doc_id"))
+    return rows.withColumn("_place", F.row_number().over(by)).filter(F.col("_place") <= per_lang)
+
+
 def train(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG, chars: int = SAMPLE_CHARS) -> Model:
     """Fit on at most ``per_lang`` labelled texts of each language, in hash order of the id.
 
-    Texts of more than ``chars`` characters, or without a letter, are not sampled.
+    Texts without a letter are not sampled. Texts of more than ``chars`` characters come
+    after the others, shortest first, for languages with fewer short ones than
+    ``per_lang``. Of all of a language's texts no more than ``per_lang * chars``
+    characters are held, but one text at least; of one text, as many characters as the
+    landmarks may hold, from its first letter on.
     """
-    usable = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= chars) & F.col("text").rlike(r"\p{L}"))
-    order = W.partitionBy("lang").orderBy("_mark", "doc_id", "text")
-    rows = usable.select("doc_id", "text", "lang", F.xxhash64("doc_id").alias("_mark")).withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= per_lang)
-    sample = rows.select("lang", "text", "_place").toPandas().sort_values(["lang", "_place"])
+    usable = docs.select("doc_id", F.col("text").cast("string").alias("text"), "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    lettered = F.col("text").rlike(r"\p{L}")
+    length = F.length("text")
+    sample = _first(usable.filter((length <= chars) & lettered), [], per_lang).select("lang", "text", "_place").toPandas()
+    held = sample.groupby("lang")["text"].agg(["size", lambda texts: texts.str.len().sum()])
+    full = held.index[held["size"] >= per_lang].tolist()
+
+    # languages that short texts do not fill; their long ones stay short of the same bound
+    long = usable.filter(~F.col("lang").isin(full) & (length > chars) & lettered) if full else usable.filter((length > chars) & lettered)
+    cut = F.substring(F.regexp_replace("text", r"^\P{L}++", ""), 1, chars * LANDMARKS_PER_LANG)
+    first = _first(long.select("doc_id", "lang", cut.alias("text"), length.alias("_length")), [F.col("_length")], per_lang)
+    until = W.partitionBy("lang").orderBy("_place")
+    bounded = first.withColumn("_sum", F.sum(F.length("text")).over(until)).filter((F.col("_place") == 1) | (F.col("_sum") <= per_lang * chars))
+    more = bounded.select("lang", "text", "_place", "_sum").toPandas()
+    have = more["lang"].map(dict(zip(held.index, held.to_numpy().tolist(), strict=True)))
+    have = [h if isinstance(h, list) else [0, 0] for h in have]
+    more["_place"] += [h[0] for h in have]
+    fits = (more["_place"] <= per_lang) & ((more["_place"] == 1) | (more["_sum"] + [h[1] for h in have] <= per_lang * chars))
+    sample = pd.concat([sample, more[fits]])[["lang", "text", "_place"]].sort_values(["lang", "_place"]).reset_index(drop=True)
     if sample.empty:
         return Model([], [np.empty(0, np.uint64)] * len(ORDERS), [np.empty((0, 0))] * len(ORDERS), np.empty(0))
-    marks = np.nonzero((sample["_place"] <= LANDMARKS_PER_LANG).to_numpy())[0]
-    return fit(sample["text"].tolist(), sample["lang"].tolist(), marks)
+    total = sample["text"].str.len().groupby(sample["lang"]).cumsum()
+    marks = (sample["_place"] <= LANDMARKS_PER_LANG) & ((sample["_place"] == 1) | (total <= chars * LANDMARKS_PER_LANG))
+    return fit(sample["text"].tolist(), sample["lang"].tolist(), np.nonzero(marks.to_numpy())[0])
 
 
 def _predict(model: Model, text_at: int):

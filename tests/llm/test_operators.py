@@ -127,6 +127,22 @@ def test_language_accuracy_on_held_out_texts(spark):
     assert told.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.97
 
 
+def test_language_learned_from_long_texts_only(spark):
+    words = {"en": PROSE.split(), "es": "el perro corre por la calle y la niña come una manzana roja".split(), "de": "der alte hund schläft unter dem warmen stein".split()}
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(rng.choice(words[lang], 3000)), lang, "s0", 0) for i, lang in enumerate(["en", "es"] * 15)]
+    # of the last language one text is more than a sample holds; the others are held out
+    big = next(i for i in range(100, 200) if zlib.crc32(str(i).encode()) % 4 != 2)
+    rows.append((big, "12 " * 200_000 + " ".join(rng.choice(words["de"], 100_000)), "de", "s0", 0))
+    rows += [(i, " ".join(rng.choice(words["de"], 3000)), "de", "s0", 0) for i in range(100, 140) if zlib.crc32(str(i).encode()) % 4 == 2]
+    long = spark.createDataFrame(rows, DOCS)
+    table = long.unionByName(spark.createDataFrame([(500 + i, PROSE, "en", "s0", 0) for i in range(20)], DOCS))
+    assert langid.train(long).langs == langid.train(table).langs == ["de", "en", "es"]
+    for docs in (long, table):
+        assert all(r.lang == r.lang_pred for r in langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").collect())
+    assert langid.identified(long).count() == len(rows)
+
+
 def test_kernel_weights_equal_the_plain_kernel():
     texts = ["the cat and the dog", "el gato y el perro", "the old man", "la casa roja", "a dog"]
     model = langid.fit(texts, ["en", "es", "en", "es", "en"], np.array([0, 1, 2, 3]))
