@@ -173,12 +173,16 @@ def train(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG, chars: int = SAMPLE_
     return fit(sample["text"].tolist(), sample["lang"].tolist(), np.nonzero(marks.to_numpy())[0])
 
 
-def _predict(model: Model, text_at: int):
+def _predict(model: Model, text_at: int, untaught: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(text_at).to_pylist()
             pred, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
-            todo = [i for i, t in enumerate(texts) if t and model.langs and _LETTER.search(t)]
+            todo = [i for i, t in enumerate(texts) if t and _LETTER.search(t)]
+            if not model.langs:
+                for i in todo:
+                    pred[i] = untaught
+                todo = []
             low = 0
             while low < len(todo):
                 high, chars = low, 0
@@ -198,17 +202,23 @@ def _held_out(docs: DataFrame) -> Column:
     return remainder(docs["doc_id"], 4) == 2
 
 
-def fit_and_predict(docs: DataFrame, *more: Column) -> DataFrame:
-    """doc_id, text, the columns ``more``, lang_pred and score: one row per row of ``docs``."""
+def fit_and_predict(docs: DataFrame, *more: Column, untaught: str = UNKNOWN) -> DataFrame:
+    """doc_id, text, the columns ``more``, lang_pred and score: one row per row of ``docs``.
+
+    ``untaught`` is said of texts with a letter if there was nothing to learn from.
+    """
     model = train(docs.filter(~_held_out(docs)))
     kept = docs.select("doc_id", F.col("text").cast("string"), *more)
     schema = T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return kept.mapInArrow(_predict(model, 1), schema)
+    return kept.mapInArrow(_predict(model, 1, untaught), schema)
 
 
 def identified(docs: DataFrame) -> DataFrame:
-    """``docs`` without the documents whose language is `und`; columns of any name stay as they are."""
-    told = fit_and_predict(docs, F.struct(*docs.columns).alias("row"))
+    """``docs`` without those whose text is null or has no letter; columns of any name stay as they are.
+
+    These are `und` to the model. A table without labelled texts keeps its others, too.
+    """
+    told = fit_and_predict(docs, F.struct(*docs.columns).alias("row"), untaught="")
     return told.filter(F.col("lang_pred") != UNKNOWN).select("row.*")
 
 

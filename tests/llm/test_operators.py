@@ -121,6 +121,12 @@ def test_language(docs, empty):
     assert langid.identified(docs).columns == docs.columns
 
 
+def test_unlabelled_corpus_keeps_its_documents(docs):
+    stay = sorted(r[0] or 0 for r in odd_documents() if r[1] and any(c.isalpha() for c in r[1]))
+    for table in (docs, docs.withColumn("lang", F.lit(None).cast("string"))):
+        assert sorted(r.doc_id or 0 for r in langid.identified(table).collect()) == stay
+
+
 def test_language_accuracy_on_held_out_texts(spark):
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     told = langid.identify(table).filter("held_out").join(table.select("doc_id", "lang"), "doc_id")
