@@ -87,7 +87,7 @@ def _print_of(values: np.ndarray) -> tuple[int, int]:
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, texts = batch.column(0), batch.column(1).to_pylist()
+        ids, texts, marks = batch.column(0), batch.column(1).to_pylist(), batch.column(2)
         counts, high, low, kept = [], [], [], []
         for part in _pieces(texts):
             for values in shingle_sets(part):
@@ -97,15 +97,15 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 low.append(b)
                 kept.append(values[:K].view(np.int64))
         yield pa.RecordBatch.from_arrays(
-            [ids, pa.array(counts, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(kept, pa.list_(pa.int64()))],
-            ["doc_id", "n_shingles", "print_a", "print_b", "sketch"],
+            [ids, marks, pa.array(counts, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(kept, pa.list_(pa.int64()))],
+            ["doc_id", "mark", "n_shingles", "print_a", "print_b", "sketch"],
         )
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, print_a, print_b, sketch: one row per row of ``docs``."""
-    schema = "doc_id long, n_shingles long, print_a long, print_b long, sketch array<long>"
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_sketch, schema)
+    """doc_id, mark (hash of the text), n_shingles, print_a, print_b, sketch: one row per row of ``docs``."""
+    schema = "doc_id long, mark long, n_shingles long, print_a long, print_b long, sketch array<long>"
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64(F.col("text").cast("string"))).mapInArrow(_sketch, schema)
 
 
 def _candidates(classes: DataFrame) -> DataFrame:
@@ -278,6 +278,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     component and share its smallest doc_id. A row without doc_id is linked with
     nothing and kept. An empty table gives an empty result.
     """
+    return _labelled(docs).drop("mark")
+
+
+def _labelled(docs: DataFrame) -> DataFrame:
+    """``near_duplicates`` with the mark of each row's text."""
     base = settle(sketches(docs))
     linked = base.filter("n_shingles > 0 and doc_id is not null")
     key = ["print_a", "print_b"]
@@ -287,14 +292,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     labels = connected_components(links).select(F.col("node").alias("cid"), "component")
     named = classes.select(*key, "cid").join(labels, "cid", "left").select(*key, F.coalesce("component", "cid").alias("_component"))
     own = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
-    out = base.select("doc_id", "n_shingles", *[F.when(own, F.col(c)).alias(c) for c in key]).join(named, key, "left")
+    out = base.select("doc_id", "mark", "n_shingles", *[F.when(own, F.col(c)).alias(c) for c in key]).join(named, key, "left")
     component = F.coalesce("_component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    return out.select("doc_id", "mark", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
 def keep_representatives(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs`` that stand for their near-duplicate class; equal rows of one id stay once."""
-    kept = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("id")).distinct()
-    rows = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["id"]), "left_semi")
+    """Rows of ``docs`` that stand for their near-duplicate class; equal rows of one id stay once, those without id all."""
+    kept = _labelled(docs).filter("kept").select(F.col("doc_id").alias("id"), "mark").distinct()
+    doc_id = docs["doc_id"].cast("long")
+    rows = docs.join(kept, doc_id.eqNullSafe(kept["id"]) & (F.xxhash64(docs["text"].cast("string")) == kept["mark"]), "left_semi")
     repeated = docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1")
-    return rows if repeated.isEmpty() else rows.dropDuplicates()
+    if repeated.isEmpty():
+        return rows
+    apart = "_apart_" + "_".join(docs.columns)
+    return rows.withColumn(apart, F.when(doc_id.isNull(), F.monotonically_increasing_id())).dropDuplicates().drop(apart)

@@ -64,6 +64,13 @@ def test_near_duplicates(docs, empty):
     assert near_duplicates(empty).count() == 0
 
 
+def test_representatives_are_rows(spark):
+    other = "un dos tres cuatro cinco seis siete ocho nueve diez"
+    rows = [(5, PROSE), (7, other), (7, PROSE), (9, "alpha beta gamma delta"), (9, "alpha beta gamma delta"), (None, PROSE), (None, PROSE)]
+    kept = keep_representatives(spark.createDataFrame([(*r, "en", "s0", 0) for r in rows], DOCS)).collect()
+    assert Counter((r.doc_id, r.text) for r in kept) == Counter([(5, PROSE), (7, other), rows[3], (None, PROSE), (None, PROSE)])
+
+
 def test_near_duplicates_of_a_hot_group_are_split_into_blocks(spark, monkeypatch):
     from attestra.llm import minhash
 
