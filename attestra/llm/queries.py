@@ -9,8 +9,13 @@ from pyspark.sql import functions as F
 
 from attestra.llm.chat import digest, format_conversations
 from attestra.llm.common import table
+from attestra.llm.html import extract_text
 from attestra.llm.langid import identify
+from attestra.llm.lexical import ORACLE as LEXICAL_ORACLE
+from attestra.llm.lexical import search
 from attestra.llm.lm import score_texts
+from attestra.llm.merkle import ORACLE as MERKLE_ORACLE
+from attestra.llm.merkle import manifest
 from attestra.llm.minhash import near_duplicates
 from attestra.llm.mixing import mix_sources
 from attestra.llm.packing import pack_documents
@@ -21,7 +26,7 @@ from attestra.llm.topk import embedding_top_k
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op11_lexical_search": LEXICAL_ORACLE, "op13_merkle_manifest": MERKLE_ORACLE}
 
 
 def _register(fn: QueryFn) -> QueryFn:
@@ -87,3 +92,18 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
+
+
+@_register
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@_register
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
+@_register
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest(table(spark, sf_dir, "documents"))
