@@ -54,7 +54,24 @@ def test_append_if_new_is_idempotent(spark, tmp_path):
     df = spark.createDataFrame([("h1", "u1"), ("h1", "u1"), ("h2", "u1")], "sha256 string, url string")
     for _ in range(2):
         W.append_if_new(df, path, ["sha256", "url"])
-    assert spark.read.parquet(path).count() == 2
+    assert W.read_appended(spark, path).columns == ["sha256", "url"]
+    assert W.read_appended(spark, path).count() == 2
+
+
+def test_a_batch_opens_only_the_folders_of_its_keys(spark, tmp_path):
+    path = str(tmp_path / "a")
+    W.append_if_new(spark.range(2000).selectExpr("cast(id as string) AS sha256", "id AS payload"), path, ["sha256"])
+    folders = len([p for p in (tmp_path / "a").iterdir() if p.name.startswith(W.PREFIX)])
+    assert folders > 200
+    batch = spark.createDataFrame([("5", -1), ("new", -2)], "sha256 string, payload long")
+    prefixes = [r[0] for r in batch.select(W._prefix(["sha256"], 2)).collect()]
+    opened = W.known_keys(spark, path, ["sha256"], prefixes).select(F.input_file_name()).distinct().count()
+    assert opened <= 2
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "a").rglob("*.parquet")}
+    W.append_if_new(batch, path, ["sha256"])
+    after = {p: p.stat().st_mtime_ns for p in (tmp_path / "a").rglob("*.parquet")}
+    assert before.items() <= after.items() and len(after) == len(before) + 1
+    assert W.read_appended(spark, path).filter("payload < 0").collect()[0].sha256 == "new"
 
 
 def test_write_if_changed(spark, tmp_path):
@@ -91,8 +108,8 @@ def test_changes_by_stream_do_not_regress(spark, tmp_path):
     rows = [("t", "p", "1", "OK", "owners", "A"), ("t", "p", "3", "OK", "owners", "B"), ("t", "p", "2", "ERROR", None, None), ("t", "p", "4", "OK", "owners", ""), ("t", "p", "5", "OK", "note", "x")]
     spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in" / "d=1"))
     read = lambda: spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
-    T.run_to_table(T.detect_changes(read()), str(tmp_path / "o"))
+    T.detect_changes(read(), str(tmp_path / "o"))
     late = [("t", "p", "2", "OK", "owners", "old"), ("t", "p", "6", "OK", "owners", "C")]
     spark.createDataFrame(late, schema).coalesce(1).write.parquet(str(tmp_path / "in" / "d=2"))
-    got = T.run_to_table(T.detect_changes(read()), str(tmp_path / "o")).orderBy("at").collect()
+    got = T.detect_changes(read(), str(tmp_path / "o")).orderBy("at").collect()
     assert [(r.before, r.after, r.at) for r in got] == [("A", "B", "3"), ("B", "C", "6")]
