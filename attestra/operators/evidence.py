@@ -111,9 +111,34 @@ def verify_quotes(web_spans: DataFrame, bodies: DataFrame) -> DataFrame:
                        (F.col("body").isNotNull() & (F.size(missing) == 0)).alias("verified"))
 
 
+def selector_bridge(selectors: DataFrame) -> DataFrame:
+    """(selector_id, entity, predicate): what each selector asks for, each once.
+
+    With the assertions by (entity, predicate) it says which assertions a
+    selector selects, in as many rows as selectors and assertions have, also
+    where many selectors ask for what many assertions state.
+    """
+    return selectors.select(F.col("id").alias("selector_id"), "entity", F.explode(F.array_distinct("predicates")).alias("predicate")).distinct()
+
+
+def selector_counts(selectors: DataFrame, assertions: DataFrame) -> DataFrame:
+    """(selector_id, matches): how many assertions each selector selects, 0 where none matched.
+
+    Assertions are counted by (entity, predicate) first, so no pair is formed.
+    """
+    stated = assertions.groupBy("entity", "predicate").agg(F.count(F.lit(1)).alias("_n"))
+    found = selector_bridge(selectors).join(stated, ["entity", "predicate"]).groupBy("selector_id").agg(F.sum("_n").alias("matches"))
+    every = selectors.select(F.col("id").alias("selector_id")).distinct()
+    return every.join(found, "selector_id", "left").select("selector_id", F.coalesce("matches", F.lit(0)).alias("matches"))
+
+
 def resolve_selectors(selectors: DataFrame, assertions: DataFrame) -> DataFrame:
-    """(selector, assertion) rows; the assertion is null where none matched."""
-    wanted = selectors.select(F.col("id").alias("selector_id"), "entity", F.explode("predicates").alias("predicate"))
+    """(selector, assertion) rows; the assertion is null where none matched.
+
+    Spells out every pair. For checks and look-ups ``selector_counts`` and the
+    bridge are enough; pass only the selectors whose pairs are asked for.
+    """
+    wanted = selector_bridge(selectors)
     hits = wanted.join(assertions.select("entity", "predicate", F.col("id").alias("assertion_id")), ["entity", "predicate"])
     hits = hits.select("selector_id", "assertion_id")
     empty = selectors.select(F.col("id").alias("selector_id")).join(hits, "selector_id", "left_anti")

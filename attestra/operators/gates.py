@@ -191,7 +191,7 @@ def evidence_build(claims: DataFrame, link_refs: DataFrame, selectors: DataFrame
     """Errors of the evidence build, from the resolved parts.
 
     ``link_refs``: result of ``resolve_links``; ``selectors``: result of
-    ``resolve_selectors``; ``citations`` and ``quotes``: verified flags;
+    ``selector_counts``; ``citations`` and ``quotes``: verified flags;
     ``artifacts``: result of ``verify_artifacts``.
     """
     g = "evidence build"
@@ -204,7 +204,7 @@ def evidence_build(claims: DataFrame, link_refs: DataFrame, selectors: DataFrame
         bad_refs,
         check_present(live, g, "LIVE_CLAIM_WITHOUT_EVIDENCE", "claim_id", linked, "claim_id"),
         _as_findings(gone.join(linked, "claim_id", "left_semi"), g, "SUPERSEDED_WITH_LINKS", "claim_id"),
-        _as_findings(selectors.filter("assertion_id IS NULL"), g, "SELECTOR_EMPTY", "selector_id"),
+        _as_findings(selectors.filter("matches = 0"), g, "SELECTOR_EMPTY", "selector_id"),
         check_rows(citations, g, "id", [("SPAN_FILE_MISSING", "error", F.col("match") == "file missing"), ("SPAN_TEXT_NOT_FOUND", "error", F.col("match") == "not found")]),
         check_rows(quotes, g, "id", [("QUOTE_NOT_FOUND", "error", F.col("missing") > 0)]),
         artifacts.select(F.lit(g).alias("gate"), F.lit("error").alias("level"), F.col("artifact_id").alias("object_id"), "rule")])

@@ -49,24 +49,165 @@ def component_sizes(labels: DataFrame) -> DataFrame:
     return labels.groupBy("component").agg(F.count(F.lit(1)).alias("nodes"))
 
 
-def shortest_path(edges: DataFrame, start: str, goal: str) -> DataFrame:
-    """Steps of one unweighted undirected shortest path; empty if there is none.
+#: Rounds of the plain search before chains are drawn together.
+PLAIN_ROUNDS = 12
 
-    Each round keeps the smallest path per reached node, so the result does not
-    depend on the order of rows, and the state holds one row per node.
+
+class _Side:
+    """Labels of the search from one end: node, dist, prev and via, the chain that led to it."""
+
+    def __init__(self, links: DataFrame, root: str):
+        self.links = links
+        self.frontier = links.sparkSession.createDataFrame([(root, 0, None, None)], "node string, dist long, prev string, via string")
+        self.seen = self.frontier
+        self.least: int | None = 0
+
+    def labels(self) -> DataFrame:
+        return self.seen.groupBy("node").agg(F.min(F.struct("dist", "prev", "via")).alias("l")).select("node", "l.*")
+
+    def step(self, round_no: int, bound: int | None) -> None:
+        """Relax the links of the frontier; labels of ``bound`` or more cannot be part of a shorter path."""
+        near = self.frontier.join(self.links, "node").select(F.col("other").alias("node"), (F.col("dist") + F.col("steps")).alias("dist"), F.col("node").alias("prev"), F.col("chain").alias("via"))
+        near = near if bound is None else near.filter(F.col("dist") < bound)
+        best = near.groupBy("node").agg(F.min(F.struct("dist", "prev", "via")).alias("l")).select("node", "l.*")
+        known = self.seen.groupBy("node").agg(F.min("dist").alias("_known"))
+        self.frontier = cut_lineage(best.join(known, "node", "left").filter("_known IS NULL OR dist < _known").drop("_known"))
+        self.least = self.frontier.agg(F.min("dist")).first()[0]
+        self.seen = self.seen.union(self.frontier)
+        if round_no % 8 == 7:
+            self.seen = cut_lineage(self.labels())
+
+
+def _search(links: DataFrame, start: str, goal: str, rounds: int | None) -> tuple[_Side, _Side, tuple[str, int] | None, bool]:
+    """Search from both ends: both sides, the meeting node with the length, and whether that is settled.
+
+    Each side keeps one row of constant size for each node. A label is only worth
+    following if it, and the least label of the other side's frontier, stay below
+    the best length found.
+    """
+    sides = (_Side(links, start), _Side(links, goal))
+    met: tuple[str, int] | None = None
+    round_no = 0
+    while True:
+        joint = sides[0].frontier.union(sides[1].frontier).select("node").distinct()
+        totals = [s.seen.join(joint, "node", "left_semi").groupBy("node").agg(F.min("dist").alias(f"_{i}")) for i, s in enumerate(sides)]
+        hit = totals[0].join(totals[1], "node").agg(F.min(F.struct((F.col("_0") + F.col("_1")).alias("length"), "node"))).first()[0]
+        if hit is not None and (met is None or (hit.length, hit.node) < (met[1], met[0])):
+            met = (hit.node, hit.length)
+        at = [s.least for s in sides]
+        if None in at or (met is not None and sum(at) >= met[1]):
+            return *sides, met, True
+        if rounds is not None and round_no >= rounds:
+            return *sides, met, False
+        # the side that has come less far goes first
+        for side, other in (sides, sides[::-1]) if at[0] <= at[1] else (sides[::-1], sides):
+            if side.least is not None:
+                side.step(round_no, None if met is None else met[1] - (other.least or 0))
+        round_no += 1
+
+
+def _chains(links: DataFrame, start: str, goal: str) -> tuple[DataFrame, DataFrame]:
+    """Links between the nodes that are not inside a chain, and the steps along the chains.
+
+    A node with two neighbours is inside a chain. Every step along a chain points
+    to the step after it; pointers are doubled, so a chain of any length is
+    followed in a few rounds. Links: node, other, steps, chain. Steps: node,
+    other, chain, left (steps from ``other`` to the chain's end).
+    """
+    degree = links.groupBy("node").agg(F.count(F.lit(1)).alias("_n"))
+    inner = cut_lineage(degree.filter((F.col("_n") == 2) & ~F.col("node").isin(start, goal)).select("node"))
+    from_inner = links.join(inner, "node", "left_semi")
+    into = links.join(inner.select(F.col("node").alias("other"), F.lit(True).alias("_goes_on")), "other", "left").select("node", "other", F.coalesce("_goes_on", F.lit(False)).alias("goes_on"))
+    onward = from_inner.select(F.col("node").alias("other"), F.col("other").alias("_next"))
+    ahead = into.filter("goes_on").join(onward, "other").filter("_next <> node")
+    # the step that is ``left`` steps ahead; a step into an end points to itself
+    points = into.filter("NOT goes_on").select("node", "other", F.col("node").alias("to_node"), F.col("other").alias("to_other"), F.lit(0).cast("long").alias("left"), F.lit(True).alias("done"))
+    points = points.union(ahead.select("node", "other", F.col("other"), F.col("_next"), F.lit(1).cast("long"), F.lit(False)))
+    points = cut_lineage(points)
+    reach, last = 1, -1
+    while True:
+        waiting = points.filter("NOT done").count()
+        if not waiting or waiting == last and reach > waiting:
+            # what still waits runs in a ring without an end
+            break
+        last = waiting
+        target = points.select(F.col("node").alias("to_node"), F.col("other").alias("to_other"), F.col("to_node").alias("_n"), F.col("to_other").alias("_o"), F.col("left").alias("_l"), F.col("done").alias("_d"))
+        moved = points.filter("NOT done").join(target, ["to_node", "to_other"]).select("node", "other", F.col("_n").alias("to_node"), F.col("_o").alias("to_other"), (F.col("left") + F.col("_l")).alias("left"), F.col("_d").alias("done"))
+        points = cut_lineage(points.filter("done").union(moved))
+        reach *= 2
+    chain = F.to_json(F.array("to_node", "to_other"))
+    steps = cut_lineage(points.filter("done").select("node", "other", F.col("to_other").alias("_end"), chain.alias("chain"), "left"))
+    whole = steps.join(inner, "node", "left_anti").filter("node <> _end").groupBy("node", F.col("_end").alias("other")).agg(F.min(F.struct((F.col("left") + 1).alias("steps"), "chain")).alias("c"))
+    return cut_lineage(whole.select("node", "other", "c.*")), steps.drop("_end")
+
+
+def _trail(side: _Side, node: str) -> DataFrame:
+    """Labels on the way from the root of a side to ``node``; pointers to the predecessors are doubled."""
+    labels = cut_lineage(side.labels())
+    jump = labels.filter("prev IS NOT NULL").select("node", F.col("prev").alias("to"))
+    on = labels.filter(F.col("node") == node).select("node")
+    while True:
+        on = cut_lineage(on.union(on.join(jump, "node").select("to")).distinct())
+        jump = cut_lineage(jump.join(jump.select(F.col("node").alias("to"), F.col("to").alias("_far")), "to").select("node", F.col("_far").alias("to")))
+        if jump.join(on, "node", "left_semi").isEmpty():
+            break
+    return labels.join(on, "node", "left_semi")
+
+
+def shortest_path(edges: DataFrame, start: str, goal: str, plain_rounds: int = PLAIN_ROUNDS) -> DataFrame:
+    """(step, node, hops): one unweighted undirected shortest path; empty if there is none.
+
+    Both ends search towards each other. If they have not met after
+    ``plain_rounds`` rounds, chains of nodes with two neighbours are drawn
+    together to single links, and the search starts again on what is left. Only
+    one predecessor is kept for each node and side; the path is read back at
+    the end. The choice among equal paths depends on ids only.
     """
     spark = edges.sparkSession
     links = cut_lineage(both_directions(edges))
-    frontier = spark.createDataFrame([(start, [start])], "node string, path array<string>")
+    schema = "step long, node string, hops long"
+    if start == goal:
+        return spark.createDataFrame([(0, start, 0)], schema)
+    steps = None
+    one = links.withColumns({"steps": F.lit(1).cast("long"), "chain": F.lit(None).cast("string")})
+    front, back, met, settled = _search(one, start, goal, plain_rounds)
+    if not settled:
+        whole, steps = _chains(links, start, goal)
+        front, back, met, _ = _search(whole, start, goal, None)
+    if met is None:
+        return spark.createDataFrame([], schema)
+    node, hops = met
+    out = []
+    for side, place in ((front, lambda d: d), (back, lambda d: F.lit(hops) - d)):
+        trail = cut_lineage(_trail(side, node))
+        out.append(trail.select(place(F.col("dist")).alias("step"), "node"))
+        if steps is not None:
+            inside = trail.filter("via IS NOT NULL").select(F.col("via").alias("chain"), "dist").join(steps, "chain").filter("left > 0")
+            out.append(inside.select(place(F.col("dist") - F.col("left")).alias("step"), F.col("other").alias("node")))
+    return union_all(out).distinct().withColumn("hops", F.lit(hops).cast("long"))
+
+
+def carry_up(edges: DataFrame, facts: DataFrame, roles: list[str] | None = None, max_depth: int = 12) -> DataFrame:
+    """(node, fact): the facts of everything that a node rests on.
+
+    ``edges``: from, to, role. ``facts``: node, fact. Each round hands the facts
+    that are new to a node on to what rests on it, so there is never more than
+    one row for each node and fact, and none for the nodes in between. Reaches
+    as far as ``support_closure``; a node's own facts do not count.
+    """
+    kept = edges.filter(F.col("role").isin(roles or rules.SUPPORT_ROLES)).select(F.col("from").alias("node"), F.col("to").alias("_next"))
+    kept = cut_lineage(kept.distinct())
+    frontier = cut_lineage(facts.select("node", "fact").distinct())
     seen = frontier
-    hit = frontier.filter(F.col("node") == goal)
-    while hit.isEmpty() and not frontier.isEmpty():
-        step = frontier.join(links, "node").select(F.col("other").alias("node"), F.concat("path", F.array("other")).alias("path"))
-        fresh = step.groupBy("node").agg(F.min("path").alias("path")).join(seen.select("node"), "node", "left_anti")
-        frontier = cut_lineage(fresh)
-        seen = seen.select("node").union(frontier.select("node"))
-        hit = frontier.filter(F.col("node") == goal)
-    return hit.select(F.posexplode("path").alias("step", "node"), (F.size("path") - 1).alias("hops")).select("step", "node", "hops")
+    found = [frontier.limit(0)]
+    for _ in range(max_depth + 1):
+        step = frontier.join(kept, "node").select(F.col("_next").alias("node"), "fact").distinct()
+        frontier = cut_lineage(step.join(seen, ["node", "fact"], "left_anti"))
+        if frontier.isEmpty():
+            break
+        seen = seen.union(frontier)
+        found.append(frontier)
+    return union_all(found)
 
 
 def support_closure(edges: DataFrame, roots: DataFrame, roles: list[str] | None = None, max_depth: int = 12) -> DataFrame:

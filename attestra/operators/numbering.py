@@ -45,8 +45,8 @@ def ordinal_id(prefix: str, number: Column, width: int = 4) -> Column:
     return F.concat(F.lit(prefix), F.when(F.length(text) >= width, text).otherwise(F.lpad(text, width, "0")))
 
 
-def _spread(df: DataFrame, group: list[str], order_by: list[str]) -> DataFrame:
-    """``df`` sorted over range partitions, with the partition of each row; a large group fills several."""
+def spread(df: DataFrame, group: list[str], order_by: list[str]) -> DataFrame:
+    """``df`` sorted over range partitions, with the partition of each row (_part); a large group fills several."""
     keys = [*group, *order_by]
     ordered = cut_lineage(df).repartitionByRange(*keys).sortWithinPartitions(*keys)
     return cut_lineage(ordered.withColumn("_part", F.spark_partition_id()))
@@ -58,7 +58,7 @@ def _with_carried(rows: DataFrame, carried: DataFrame, group: list[str]) -> Data
     on = F.col("_part") == F.col("_c__part")
     for g in group:
         on = on & F.col(g).eqNullSafe(F.col(f"_c_{g}"))
-    return rows.join(named, on).drop("_part", *[f"_c_{c}" for c in ["_part", *group]])
+    return rows.join(named, on).drop(*[f"_c_{c}" for c in ["_part", *group]])
 
 
 def lag_within(df: DataFrame, group: list[str], order_by: list[str], value: str, out: str) -> DataFrame:
@@ -67,21 +67,25 @@ def lag_within(df: DataFrame, group: list[str], order_by: list[str], value: str,
     Windows stay inside range partitions; only the last value of a group in
     each partition is handed to the next one. The order must be total.
     """
-    placed = _spread(df, group, order_by)
+    placed = spread(df, group, order_by)
     near = W.partitionBy("_part", *group).orderBy(*order_by)
     rows = placed.withColumns({out: F.lag(value).over(near), "_first": F.row_number().over(near) == 1})
     last = placed.groupBy("_part", *group).agg(F.max_by(F.struct(value), F.struct(*order_by)).alias("_last"))
     carried = last.withColumn("_carried", F.lag("_last").over(W.partitionBy(*group).orderBy("_part")))
     joined = _with_carried(rows, carried, group)
-    return joined.withColumn(out, F.when(F.col("_first"), F.col(f"_carried.{value}")).otherwise(F.col(out))).drop("_first", "_carried")
+    return joined.withColumn(out, F.when(F.col("_first"), F.col(f"_carried.{value}")).otherwise(F.col(out))).drop("_first", "_carried", "_part")
 
 
-def sum_before_within(df: DataFrame, group: list[str], order_by: list[str], value: str, out: str) -> DataFrame:
-    """Sum of ``value`` over the earlier rows of the group, 0 for the first, also when one group holds most rows."""
-    placed = _spread(df, group, order_by)
+def sum_before(placed: DataFrame, group: list[str], order_by: list[str], value: str, out: str) -> DataFrame:
+    """Sum of ``value`` over the earlier rows of the group, 0 for the first; ``placed`` comes from ``spread``."""
     before = [W.unboundedPreceding, -1]
     near = W.partitionBy("_part", *group).orderBy(*order_by).rowsBetween(*before)
     rows = placed.withColumn(out, F.coalesce(F.sum(value).over(near), F.lit(0)))
     total = placed.groupBy("_part", *group).agg(F.sum(value).alias("_total"))
     carried = total.withColumn("_carried", F.coalesce(F.sum("_total").over(W.partitionBy(*group).orderBy("_part").rowsBetween(*before)), F.lit(0)))
     return _with_carried(rows, carried, group).withColumn(out, F.col(out) + F.col("_carried")).drop("_carried")
+
+
+def sum_before_within(df: DataFrame, group: list[str], order_by: list[str], value: str, out: str) -> DataFrame:
+    """``sum_before`` of rows that are not spread yet; also when one group holds most rows."""
+    return sum_before(spread(df, group, order_by), group, order_by, value, out).drop("_part")

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from attestra.functions.text import fnv1a32
 from attestra.functions.time import year_of
 from attestra.operators.extract import union_all
+from attestra.session import cut_lineage
 
 
 def tally(df: DataFrame, key: str) -> DataFrame:
@@ -71,15 +76,48 @@ def search(index: DataFrame, text: str, k: int = 12, min_length: int = 2) -> Dat
     return found.orderBy((F.lower("id") == q).desc(), "kind_rank", "id").limit(k)
 
 
-def related_claims(metrics: DataFrame, claims: DataFrame, words: str) -> DataFrame:
-    """Claims about finance that share a source with a metric.
+def citing(records: DataFrame, out: str) -> DataFrame:
+    """Bridge table (record, source_id): each source of each record once."""
+    return records.select(F.col("id").alias(out), F.explode(F.array_distinct("sources")).alias("source_id")).filter("source_id IS NOT NULL").distinct()
+
 
-    The vocabulary filter comes before the join, and both sides are reduced to
-    distinct (record, source) pairs.
+def related_bridges(metrics: DataFrame, claims: DataFrame, words: str) -> tuple[DataFrame, DataFrame]:
+    """(metric_id, source_id) and (source_id, claim_id): the relation of metrics and finance claims.
+
+    A metric and a claim are related if they share a source. Two bridge tables
+    say that in as many rows as there are citations; a source that a third of
+    both cites would otherwise give a row for each pair. ``resolve_related``
+    spells the pairs out for the metrics that are asked for.
     """
-    cited = claims.filter(F.col("text").rlike("(?i)" + words)).select(F.col("id").alias("claim_id"), F.explode(F.array_distinct("sources")).alias("source_id"))
-    own = metrics.select(F.col("id").alias("metric_id"), F.explode(F.array_distinct("sources")).alias("source_id"))
-    return own.join(cited, "source_id").select("metric_id", "claim_id").distinct()
+    finance = claims.filter(F.col("text").rlike("(?i)" + words))
+    return citing(metrics, "metric_id"), citing(finance, "claim_id").select("source_id", "claim_id")
+
+
+def _classes(bridge: DataFrame, member: str) -> DataFrame:
+    """Members with the same sources are one class: (class, n, sources)."""
+    sets = bridge.groupBy(member).agg(F.array_sort(F.collect_set("source_id")).alias("sources"))
+    named = sets.withColumn("class", F.sha2(F.to_json("sources"), 256))
+    return named.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.any_value("sources").alias("sources"))
+
+
+def related_counts(own: DataFrame, cited: DataFrame) -> DataFrame:
+    """(metric_id, related_claims): how many distinct claims share a source with each metric.
+
+    Claims with the same sources are counted as one class, and so are metrics,
+    so the pairs that are formed are pairs of distinct source sets.
+    """
+    a, b = _classes(own, "metric_id"), _classes(cited, "claim_id")
+    left = a.select(F.col("class").alias("_a"), F.explode("sources").alias("source_id"))
+    right = b.select(F.col("class").alias("_b"), "n", F.explode("sources").alias("source_id"))
+    pairs = left.join(right, "source_id").groupBy("_a", "_b").agg(F.any_value("n").alias("n"))
+    counts = pairs.groupBy("_a").agg(F.sum("n").alias("related_claims"))
+    members = own.groupBy("metric_id").agg(F.sha2(F.to_json(F.array_sort(F.collect_set("source_id"))), 256).alias("_a"))
+    return members.join(counts, "_a", "left").select("metric_id", F.coalesce("related_claims", F.lit(0)).alias("related_claims"))
+
+
+def resolve_related(asked: DataFrame, own: DataFrame, cited: DataFrame) -> DataFrame:
+    """(metric_id, claim_id) pairs of the metrics in ``asked`` (metric_id) only."""
+    return own.join(asked.select("metric_id").distinct(), "metric_id", "left_semi").join(cited, "source_id").select("metric_id", "claim_id").distinct()
 
 
 # Vocabulary of claims that can explain a figure.
@@ -124,32 +162,88 @@ def mention_key(label: Column) -> Column:
     return F.element_at(F.split(plain, "\\s+"), -1)
 
 
-def mention_entities(texts: DataFrame, nodes: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
+#: Keys, and characters of keys, of one automaton; it is sent to every task.
+AUTOMATON_KEYS = 100_000
+AUTOMATON_CHARS = 4_000_000
+
+
+def _key_blocks(keys: DataFrame, most_keys: int, most_chars: int) -> tuple[DataFrame, int]:
+    """``keys`` (_key, id) dealt into blocks of bounded size by their hash."""
+    whole = keys.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("_key") + F.length("id")).alias("chars")).first()
+    # dealt at random, so twice the blocks leave room for uneven ones
+    blocks = max(-(-whole.n // most_keys), -(-(whole.chars or 0) // most_chars))
+    blocks = blocks if blocks <= 1 else 2 * blocks
+    return keys.withColumn("_block", F.pmod(F.xxhash64("_key"), F.lit(max(blocks, 1)))), blocks
+
+
+def _automaton(keys: list[tuple[str, str]]):
+    """Aho-Corasick automaton of the keys: one walk over a text finds all that occur in it."""
+    import ahocorasick
+
+    automaton = ahocorasick.Automaton()
+    for key, node in keys:
+        automaton.add_word(key, (len(key), key, node))
+    automaton.make_automaton()
+    return automaton
+
+
+def _walk(keys: list[tuple[str, str]], longest_only: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = _automaton(keys)
+        for batch in batches:
+            at, nodes, found = [], [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                hits = {hit for _, hit in automaton.iter(text)} if text else set()
+                if hits and longest_only:
+                    longest = max(n for n, _, _ in hits)
+                    hits = {min((h for h in hits if h[0] == longest), key=lambda h: h[2])}
+                for _, key, node in hits:
+                    at.append(i)
+                    nodes.append(node)
+                    found.append(key)
+            ids = batch.column(0).take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(nodes, pa.string()), pa.array(found, pa.string())], ["text_id", "node_id", "mention_key"])
+
+    return run
+
+
+def _mentions(texts: DataFrame, keys: DataFrame, key: str, text: str, longest_only: bool, most_keys: int, most_chars: int) -> DataFrame:
+    """(text_id, node_id, mention_key) of every text and every key that occurs in it, or of the longest in each block."""
+    dealt, blocks = _key_blocks(keys, most_keys, most_chars)
+    dealt = cut_lineage(dealt) if blocks > 1 else dealt
+    lowered = texts.select(F.col(key).alias("text_id"), F.lower(text).alias("text"))
+    schema = StructType([StructField("text_id", lowered.schema["text_id"].dataType), StructField("node_id", StringType()), StructField("mention_key", StringType())])
+    parts = []
+    for b in range(blocks):
+        # a block is bounded, so it may stand in the task; texts are read once for each block
+        block = [(r["_key"], r["id"]) for r in dealt.filter(F.col("_block") == b).select("_key", "id").collect()]
+        if block:
+            parts.append(lowered.mapInArrow(_walk(block, longest_only), schema))
+    return union_all(parts) if parts else texts.sparkSession.createDataFrame([], schema)
+
+
+def _keys(nodes: DataFrame) -> DataFrame:
+    return nodes.select("id", mention_key(F.col("label")).alias("_key")).filter(F.length("_key") > 3)
+
+
+def mention_entities(texts: DataFrame, nodes: DataFrame, key: str = "id", text: str = "text", most_keys: int = AUTOMATON_KEYS, most_chars: int = AUTOMATON_CHARS) -> DataFrame:
     """(text id, node) pairs where the node's key occurs inside the text.
 
-    Substrings of the lengths that keys really have meet the keys in an equi
-    join; no text is compared with every node. Distinct lengths are a handful of
-    small numbers.
+    Every distinct key is in one automaton of a bounded block of keys, which a
+    text is walked through once; the nodes of a key are joined to what was
+    found. Null texts hold nothing.
     """
-    keys = nodes.select("id", mention_key(F.col("label")).alias("_key")).filter(F.length("_key") > 3)
-    lengths = sorted(r[0] for r in keys.select(F.length("_key")).distinct().collect())
-    if not lengths:
-        return texts.select(F.col(key).alias("text_id")).limit(0).withColumn("node_id", F.lit(None).cast("string")).withColumn("mention_key", F.lit(None).cast("string"))
-    # lowered by a generator: inside the lambda it would be repeated per position
-    lowered = texts.select(F.col(key).alias("text_id"), F.explode(F.array(F.lower(text))).alias("_low"))
-    low = F.col("_low")
-    starts = F.sequence(F.lit(1), F.greatest(F.length(low), F.lit(1)))
-
-    def pieces_of(n: int) -> Column:
-        return F.transform(starts, lambda i: F.substring(low, i, F.lit(n)))
-
-    grams = F.flatten(F.array(*[pieces_of(n) for n in lengths]))
-    pieces = lowered.select("text_id", F.explode(F.array_distinct(grams)).alias("_key"))
-    return pieces.join(keys, "_key").select("text_id", F.col("id").alias("node_id"), F.col("_key").alias("mention_key"))
-
-
-def mention_entity(texts: DataFrame, nodes: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
-    """The node with the longest key found in each text; smallest id on a tie."""
-    hits = mention_entities(texts, nodes, key, text)
-    return hits.groupBy("text_id").agg(F.min_by("node_id", F.struct(-F.length("mention_key"), F.col("node_id"))).alias("node_id"))
+    keys = _keys(nodes)
+    found = _mentions(texts, keys.groupBy("_key").agg(F.min("id").alias("id")), key, text, False, most_keys, most_chars)
+    return found.select("text_id", "mention_key").join(keys.select(F.col("id").alias("node_id"), F.col("_key").alias("mention_key")), "mention_key").select("text_id", "node_id", "mention_key")
+
 
+def mention_entity(texts: DataFrame, nodes: DataFrame, key: str = "id", text: str = "text", most_keys: int = AUTOMATON_KEYS, most_chars: int = AUTOMATON_CHARS) -> DataFrame:
+    """The node with the longest key found in each text; smallest id on a tie.
+
+    Only the smallest id of a key can win, and only the longest key of a block,
+    so a text gives one row for each block of keys.
+    """
+    best = _keys(nodes).groupBy("_key").agg(F.min("id").alias("id"))
+    hits = _mentions(texts, best, key, text, True, most_keys, most_chars)
+    return hits.groupBy("text_id").agg(F.min_by("node_id", F.struct(-F.length("mention_key"), F.col("node_id"))).alias("node_id"))

@@ -113,7 +113,7 @@ cte("selhits", "SELECT DISTINCT s.id FROM (SELECT id, entity, unnest(predicates)
 
 
 def dictionary(spark, sf):
-    hits = E.resolve_selectors(I.selectors(spark, sf), I.assertions(spark, sf)).filter("assertion_id IS NOT NULL")
+    hits = E.selector_counts(I.selectors(spark, sf), I.assertions(spark, sf)).filter("matches > 0")
     return R.known_refs([("claim", I.doc_claims(spark, sf), "id"), ("source", I.doc_sources(spark, sf), "id"), ("span", I.spans(spark, sf), "id"),
                          ("web_span", I.web_spans(spark, sf), "id"), ("selector", hits, "selector_id"), ("artifact", I.artifacts(spark, sf), "tag")])
 
@@ -125,6 +125,17 @@ def _(spark, sf):
     return E.resolve_selectors(I.selectors(spark, sf), I.assertions(spark, sf))
 
 
+@query("J2_selector_bridge", with_ctes("selectors", "SELECT DISTINCT id AS selector_id, entity, unnest(predicates) AS predicate FROM selectors"))
+def _(spark, sf):
+    return E.selector_bridge(I.selectors(spark, sf))
+
+
+@query("J2_selector_counts", with_ctes("selectors assertions", """
+SELECT s.id AS selector_id, (SELECT count(*) FROM assertions a WHERE a.entity = s.entity AND list_contains(s.predicates, a.predicate)) AS matches FROM selectors s"""))
+def _(spark, sf):
+    return E.selector_counts(I.selectors(spark, sf), I.assertions(spark, sf))
+
+
 @query("J3_resolve_links", with_ctes("resolved", "SELECT claim_id, link_no::BIGINT AS link_no, space, id, resolved FROM resolved"))
 def _(spark, sf):
     return E.resolve_links(I.links(spark, sf), dictionary(spark, sf)).withColumn("link_no", F.col("link_no").cast("bigint"))

@@ -153,7 +153,7 @@ def _(spark, sf):
     files = d.filter("lang <> 'es'").select(F.concat(F.lit("store/"), "doc_id").alias("path"), F.encode("text", "UTF-8").alias("content"))
     cites = E.verify_citations(I.spans(spark, sf), d.select(F.col("doc_id").alias("file"), F.col("text").alias("body")))
     quotes = E.verify_quotes(I.web_spans(spark, sf), d.select(F.concat(F.lit("tag-"), "doc_id").alias("artifact_tag"), F.col("text").alias("body")))
-    return out(Q.evidence_build(I.doc_claims(spark, sf), refs, E.resolve_selectors(I.selectors(spark, sf), I.assertions(spark, sf)), cites, quotes, E.verify_artifacts(I.artifacts(spark, sf), files)))
+    return out(Q.evidence_build(I.doc_claims(spark, sf), refs, E.selector_counts(I.selectors(spark, sf), I.assertions(spark, sf)), cites, quotes, E.verify_artifacts(I.artifacts(spark, sf), files)))
 
 
 @query("Q12_claims", with_ctes("doc_claims diversity", """

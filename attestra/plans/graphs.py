@@ -246,18 +246,22 @@ vec AS (SELECT root, count(j.id) AS source_count, count(v.id) AS evidence_count,
 """
 
 
-def vector(spark, sf, roots):
+def vector(spark, sf, roots=None):
+    """Diversity of the given roots, or of every node."""
     n, e = reasoning(spark, sf)
     src = I.doc_sources(spark, sf).selectExpr("id", "concat('up', n % 5) AS upstream", "concat('J', n % 3) AS jurisdiction", "retrievedAt AS retrieved")
     d = table(spark, sf, "documents")
     ev = d.selectExpr("concat('SP-', doc_id) AS id", "lang AS document").unionByName(d.filter("lang = 'en'").selectExpr("concat('SEL-', doc_id) AS id", "cast(null as string) AS document"))
     runs = table(spark, sf, "events").selectExpr("concat('src', user_id % 16) AS source_id")
-    return Z.diversity_vector(G.support_closure(e, roots), src, ev, runs)
+    if roots is not None:
+        return Z.diversity_vector(G.support_closure(e, roots), src, ev, runs)
+    leaves = src.select("id").union(ev.select("id")).select(F.col("id").alias("node"), F.col("id").alias("fact"))
+    return Z.diversity_vector(G.carry_up(e, leaves).select(F.col("node").alias("root"), F.col("fact").alias("node")), src, ev, runs)
 
 
 @query("A16_diversity_vector", recursive("redges rnodes doc_sources", "SELECT id FROM rnodes", VECTOR + "SELECT * FROM vec"))
 def _(spark, sf):
-    return vector(spark, sf, reasoning(spark, sf)[0])
+    return vector(spark, sf)
 
 
 @query("G6_why_index", with_ctes("rnodes redges inferences", """

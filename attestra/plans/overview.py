@@ -74,10 +74,37 @@ def _(spark, sf):
     return O.search(index, "C17").select("kind", "id")
 
 
-@query("J20_related_claims", with_ctes("doc_claims financials", """
-SELECT DISTINCT m.id AS metric_id, c.id AS claim_id FROM (SELECT id, unnest(sources) AS s FROM financials) m JOIN (SELECT id, unnest(sources) AS s FROM doc_claims WHERE regexp_matches(lower(text), 'thera|eren')) c ON c.s = m.s"""))
+cte("finance_cites", "SELECT DISTINCT unnest(sources) AS source_id, id AS claim_id FROM doc_claims WHERE regexp_matches(lower(text), 'thera|eren')", ["doc_claims"])
+cte("metric_cites", "SELECT DISTINCT id AS metric_id, unnest(sources) AS source_id FROM financials", ["financials"])
+
+
+def bridges(spark, sf):
+    return O.related_bridges(I.financials(spark, sf), I.doc_claims(spark, sf), "thera|eren")
+
+
+@query("J20_metric_bridge", with_ctes("metric_cites", "SELECT metric_id, source_id FROM metric_cites"))
+def _(spark, sf):
+    return bridges(spark, sf)[0]
+
+
+@query("J20_claim_bridge", with_ctes("finance_cites", "SELECT source_id, claim_id FROM finance_cites"))
+def _(spark, sf):
+    return bridges(spark, sf)[1]
+
+
+@query("J20_related_counts", with_ctes("metric_cites finance_cites", "SELECT metric_id, count(DISTINCT claim_id) AS related_claims FROM metric_cites LEFT JOIN finance_cites USING (source_id) GROUP BY metric_id"))
+def _(spark, sf):
+    return O.related_counts(*bridges(spark, sf))
+
+
+OPENED = "fin:7"
+
+
+@query("J20_related_claims", with_ctes("metric_cites finance_cites", f"SELECT DISTINCT metric_id, claim_id FROM metric_cites JOIN finance_cites USING (source_id) WHERE metric_id = '{OPENED}'"))
 def _(spark, sf):
-    return O.related_claims(I.financials(spark, sf), I.doc_claims(spark, sf), "thera|eren")
+    """The claims beside one metric, as a reader opens it."""
+    own, cited = bridges(spark, sf)
+    return O.resolve_related(own.filter(F.col("metric_id") == OPENED), own, cited)
 
 
 def events(spark, sf):
