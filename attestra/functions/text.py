@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from attestra import rules
@@ -25,14 +25,40 @@ def _accent_table() -> tuple[str, str]:
 ACCENTED, FOLDED = _accent_table()
 
 
+#: Strings, numbers, and what stands between them in JSON text.
+_JSON_TOKEN = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|-?[0-9][0-9.eE+-]*+|[^"0-9-]++|-'
+#: Numbers that may be spelled in several ways: with a fraction, an exponent or many digits.
+_JSON_UNEVEN = r"[0-9][.eE]|[0-9]{16}"
+
+
+def canonical_number(token: Column) -> Column:
+    """One spelling for every double: ``1e3``, ``1000`` and ``1000.0`` are ``1000``.
+
+    Plain digits between 1e-6 and 1e21, an exponent such as ``1e-7`` or ``1e+21``
+    beyond, no trailing zeros, no negative zero.
+    """
+    value = token.cast("double")
+    size = F.abs(value)
+    whole = value.try_cast("decimal(38,0)").cast("string")
+    plain = F.regexp_replace(value.cast("string").try_cast("decimal(38,22)").cast("string"), r"\.?0+$", "")
+    short = F.regexp_replace(F.regexp_replace(F.regexp_replace(value.cast("string"), r"\.0(?=E)", ""), "E-", "e-"), "E", "e+")
+    return F.when((size < 1e21) & (F.floor(value) == value), whole).when((size >= 1e-6) & (size < 1e21), plain).otherwise(short)
+
+
 def canonical_json(text: Column) -> Column:
-    """JSON text with keys sorted at every level; array order is kept.
+    """JSON text with keys sorted at every level, array order kept, and numbers in one spelling.
 
-    Null for text that is not JSON. Of a repeated key the last value counts where
-    ``spark.sql.variant.allowDuplicateKeys`` is set, as in ``local_session``;
-    elsewhere such a text gives null instead of ending the job.
+    Null for text that is not JSON. Of a repeated key the last value counts: the
+    setting that decides this is set on the session, whatever it was before, so
+    that hashes do not depend on who started the session.
     """
-    return F.to_json(F.try_parse_json(text))
+    session = SparkSession.getActiveSession()
+    if session is not None:
+        session.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    sorted_keys = F.to_json(F.try_parse_json(text))
+    tokens = F.regexp_extract_all(sorted_keys, F.lit(_JSON_TOKEN), F.lit(0))
+    spelled = F.array_join(F.transform(tokens, lambda t: F.when(t.rlike("^-?[0-9]"), canonical_number(t)).otherwise(t)), "")
+    return F.when(sorted_keys.rlike(_JSON_UNEVEN), spelled).otherwise(sorted_keys)
 
 
 def canonical_struct(columns: dict[str, Column]) -> Column:

@@ -11,6 +11,7 @@ from attestra.operators.classify import categorize_change, classify_change, mate
 from attestra.operators.diff import diff_chain
 from attestra.operators.extract import union_all
 from attestra.operators.numbering import number_rows, ordinal_id
+from attestra.operators.succession import match_gap_resolution, match_succession
 from attestra.session import cut_lineage
 
 KIND_ORDER = ["added", "removed", "changed"]
@@ -31,16 +32,65 @@ def requires_revalidation(change_type: Column, new_status: Column) -> Column:
     return change_type.isin(rules.REVALIDATING_CHANGES) | F.coalesce(new_status == "BLOCKED", F.lit(False))
 
 
-def apply_succession(diffs: DataFrame, matches: DataFrame | None, resolved: DataFrame | None) -> DataFrame:
+CLASS = ["change_type", "materiality", "epistemic_impact"]
+#: Record types whose ids come from their text, so that a rewording looks like a removal and an addition.
+SUCCESSION_TYPES = ["open_question", "timeline_event", "financial_fact"]
+
+
+def classified(diffs: DataFrame) -> DataFrame:
+    """One row per difference with its class, and what succession needs to know of it."""
+    # classes come out of generators, so reading their parts never repeats the rules
+    classes = classify_change(F.col("change_kind"), F.col("object_type"), F.col("old.payload"), F.col("new.payload"), F.col("field_changes"))
+    rows = diffs.filter("change_kind <> 'unchanged'").withColumn("class", F.explode(F.array(classes)))
+    either = F.coalesce("new.payload", "old.payload")
+    said = [F.nullif(F.get_json_object(either, f"$.{name}"), F.lit("")) for name in ("text", "event", "metric")]
+    cited = F.coalesce(_ids(F.col("new.payload"), "sources"), F.array().cast("array<string>"))
+    keyed = F.col("object_type").isin(SUCCESSION_TYPES)
+    return rows.select(
+        "from_seq", "to_seq", "from_snapshot_id", "to_snapshot_id", "from_cutoff", "to_cutoff", "change_kind", "class.*", "object_type", "object_id",
+        F.col("old.revision_id").alias("old_revision_id"),
+        F.col("new.revision_id").alias("new_revision_id"),
+        "field_changes",
+        F.col("new.valid_from").alias("effective_at"),
+        F.coalesce("new.valid_time_precision", F.lit("UNKNOWN")).alias("effective_time_precision"),
+        F.array_distinct(cited).alias("source_ids"),
+        F.get_json_object(either, "$.retrievedAt").alias("own_retrieval"),
+        F.coalesce(_ids(F.col("new.payload"), "claims"), F.array().cast("array<string>")).alias("payload_claims"),
+        F.get_json_object("new.payload", "$.status").alias("_status"),
+        F.when(keyed, F.coalesce(*said)).alias("_text"),
+        F.when(keyed, F.get_json_object(either, "$.bucket")).alias("_bucket"),
+        F.when(F.col("object_type") == "resolved_question", F.get_json_object(either, "$.question")).alias("_question"),
+    )
+
+
+def resolved_gaps(rows: DataFrame) -> DataFrame:
+    """(to_seq, removed_id, resolved_by): questions that left when their resolution arrived. ``rows``: ``classified``."""
+    asked = rows.filter("object_type = 'open_question' AND change_kind = 'removed'").select("to_seq", F.col("object_id").alias("id"), F.col("_text").alias("text"))
+    answered = rows.filter("object_type = 'resolved_question' AND change_kind = 'added'").select("to_seq", F.col("object_id").alias("id"), F.col("_question").alias("question"))
+    return match_gap_resolution(asked, answered, ["to_seq"])
+
+
+def successions(rows: DataFrame, resolved: DataFrame | None = None) -> DataFrame:
+    """(to_seq, object_type, removed_id, added_id): rewordings of records whose id comes from their text.
+
+    A question that was resolved is not looked for among the rewordings.
+    """
+    by = ["to_seq", "object_type"]
+    shape = rows.filter(F.col("object_type").isin(SUCCESSION_TYPES)).select(*by, "change_kind", F.col("object_id").alias("id"), F.col("_text").alias("text"), F.col("_bucket").alias("bucket"))
+    gone = shape.filter("change_kind = 'removed'")
+    if resolved is not None:
+        closed = resolved.select("to_seq", F.lit("open_question").alias("object_type"), F.col("removed_id").alias("id"))
+        gone = gone.join(closed, [*by, "id"], "left_anti")
+    return match_succession(gone.drop("change_kind"), shape.filter("change_kind = 'added'").drop("change_kind"), by)
+
+
+def apply_succession(rows: DataFrame, matches: DataFrame | None, resolved: DataFrame | None) -> DataFrame:
     """Attach successor, predecessor and resolution, and override the class.
 
-    ``matches``: to_seq, object_type, removed_id, added_id. ``resolved``:
-    to_seq, removed_id, resolved_by.
+    ``rows``: ``classified``. ``matches``: to_seq, object_type, removed_id,
+    added_id. ``resolved``: to_seq, removed_id, resolved_by.
     """
     null = F.lit(None).cast("string")
-    # classes come out of generators, so reading their parts never repeats the rules
-    classed = classify_change(F.col("change_kind"), F.col("object_type"), F.col("old.payload"), F.col("new.payload"), F.col("field_changes"))
-    rows = diffs.withColumn("class", F.explode(F.array(classed)))
     if matches is None:
         rows = rows.withColumn("successor_object_id", null).withColumn("predecessor_object_id", null)
     else:
@@ -55,51 +105,39 @@ def apply_succession(diffs: DataFrame, matches: DataFrame | None, resolved: Data
         closed = resolved.select("to_seq", F.lit("open_question").alias("object_type"), F.col("removed_id").alias("object_id"),
                                  F.lit("removed").alias("change_kind"), "resolved_by")
         rows = rows.join(closed, KEY, "left")
-    absent = (F.col("object_type") == "financial_fact") & (F.get_json_object("old.payload", "$.bucket") == "notFound")
+    absent = (F.col("object_type") == "financial_fact") & (F.col("_bucket") == "notFound")
     settled = F.col("resolved_by").isNotNull() | (F.col("successor_object_id").isNotNull() & F.coalesce(absent, F.lit(False)))
+    reworded = F.col("predecessor_object_id").isNotNull() & F.col("change_type").isin("OBJECT_ADDED", "GAP_OPENED")
 
-    def as_class(change_type, materiality, impact):
-        return F.struct(F.lit(change_type).alias("change_type"), F.lit(materiality).alias("materiality"),
-                        F.lit(impact).alias("epistemic_impact"))
-
-    reworded = F.col("predecessor_object_id").isNotNull() & F.col("class.change_type").isin("OBJECT_ADDED", "GAP_OPENED")
-    quiet = F.struct(F.col("class.change_type").alias("change_type"), F.lit("INFORMATIONAL").alias("materiality"),
-                     F.col("class.epistemic_impact").alias("epistemic_impact"))
-    overridden = (
-        F.when(settled, as_class("GAP_RESOLVED", "MEDIUM", "RESOLVED"))
-        .when(F.col("successor_object_id").isNotNull(), as_class("OBJECT_CORRECTED", "INFORMATIONAL", "NO_EPISTEMIC_CHANGE"))
-        .when(reworded, quiet)
-        .otherwise(F.col("class"))
-    )
-    return rows.withColumn("class", F.explode(F.array(overridden)))
+    def override(gap, corrected, name):
+        quiet = F.lit("INFORMATIONAL") if name == "materiality" else F.col(name)
+        return F.when(settled, gap).when(F.col("successor_object_id").isNotNull(), corrected).when(reworded, quiet).otherwise(F.col(name))
 
+    gap = ("GAP_RESOLVED", "MEDIUM", "RESOLVED")
+    corrected = ("OBJECT_CORRECTED", "INFORMATIONAL", "NO_EPISTEMIC_CHANGE")
+    return rows.withColumns({name: override(g, c, name) for name, g, c in zip(CLASS, gap, corrected, strict=True)})
 
-def change_rows(diffs: DataFrame, matches: DataFrame | None = None, resolved: DataFrame | None = None) -> DataFrame:
-    """One row per semantic difference, unnumbered."""
-    rows = apply_succession(diffs.filter("change_kind <> 'unchanged'"), matches, resolved)
-    cited = F.coalesce(_ids(F.col("new.payload"), "sources"), F.array().cast("array<string>"))
+
+def _finished(rows: DataFrame) -> DataFrame:
+    """Columns that follow from the final class."""
     return rows.select(
-        "from_seq", "to_seq", "from_snapshot_id", "to_snapshot_id", "from_cutoff", "to_cutoff",
-        "change_kind",
-        "class.change_type", "class.materiality", "class.epistemic_impact",
-        "object_type", "object_id",
-        F.col("old.revision_id").alias("old_revision_id"),
-        F.col("new.revision_id").alias("new_revision_id"),
-        "field_changes",
-        F.col("new.valid_from").alias("effective_at"),
-        F.coalesce("new.valid_time_precision", F.lit("UNKNOWN")).alias("effective_time_precision"),
+        "from_seq", "to_seq", "from_snapshot_id", "to_snapshot_id", "from_cutoff", "to_cutoff", "change_kind", *CLASS, "object_type", "object_id",
+        "old_revision_id", "new_revision_id", "field_changes", "effective_at", "effective_time_precision",
         F.col("to_cutoff").alias("observed_no_later_than"),
         F.col("to_cutoff").alias("published_at"),
-        categorize_change(F.col("class.change_type"), F.col("new.valid_from"), F.col("from_cutoff"), F.col("to_cutoff")).alias("category"),
+        categorize_change(F.col("change_type"), F.col("effective_at"), F.col("from_cutoff"), F.col("to_cutoff")).alias("category"),
         "resolved_by", "successor_object_id", "predecessor_object_id",
-        requires_revalidation(F.col("class.change_type"), F.get_json_object("new.payload", "$.status")).alias("requires_revalidation"),
+        requires_revalidation(F.col("change_type"), F.col("_status")).alias("requires_revalidation"),
         technical_summary(F.col("change_kind"), F.col("object_type"), F.col("object_id"), F.col("field_changes")).alias("technical_summary"),
-        F.array_distinct(cited).alias("source_ids"),
-        F.get_json_object(F.coalesce("new.payload", "old.payload"), "$.retrievedAt").alias("own_retrieval"),
-        F.coalesce(_ids(F.col("new.payload"), "claims"), F.array().cast("array<string>")).alias("payload_claims"),
+        "source_ids", "own_retrieval", "payload_claims",
     )
 
 
+def change_rows(diffs: DataFrame, matches: DataFrame | None = None, resolved: DataFrame | None = None) -> DataFrame:
+    """One row per semantic difference, unnumbered."""
+    return _finished(apply_succession(classified(diffs), matches, resolved))
+
+
 def observed_at(changes: DataFrame, objects: DataFrame) -> DataFrame:
     """Oldest retrieval of the sources a change cites, in its target snapshot.
 
@@ -134,15 +172,19 @@ def number_changes(changes: DataFrame, prefix: str = "CHG-") -> DataFrame:
     return numbered.withColumn("change_id", ordinal_id(prefix, F.col("_no"))).drop("_no")
 
 
-def build_changes(objects: DataFrame, pairs: DataFrame, matches: DataFrame | None = None,
-                  resolved: DataFrame | None = None) -> DataFrame:
-    """Diff, classify, date and number all adjacent snapshots.
+def build_changes(objects: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Diff, classify, relate, date and number all adjacent snapshots.
 
-    The classified differences are read three times below, so they are written
-    once and never computed again.
+    The classified differences are written once, without payloads; succession,
+    dates and numbers all read them from there. Records whose ids come from
+    their text are paired with what replaced them, where there are any.
     """
-    rows = cut_lineage(change_rows(diff_chain(objects, pairs), matches, resolved))
-    return number_changes(observed_at(rows, objects))
+    rows = cut_lineage(classified(diff_chain(objects, pairs)))
+    matches = resolved = None
+    if not rows.filter(F.col("object_type").isin(SUCCESSION_TYPES) & (F.col("change_kind") == "removed")).isEmpty():
+        resolved = cut_lineage(resolved_gaps(rows))
+        matches = successions(rows, resolved)
+    return number_changes(observed_at(_finished(apply_succession(rows, matches, resolved)), objects))
 
 
 def reconciliation(diffs: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ REGISTER_SCHEMA = (
     f"zakladniKapital:ARRAY<STRUCT<vklad:{AMOUNT},datumZapisu:STRING,datumVymazu:STRING>>,"
     f"statutarniOrgany:ARRAY<STRUCT<nazevOrganu:STRING,clenoveOrganu:ARRAY<{MEMBER}>>>,"
     f"ostatniOrgany:ARRAY<STRUCT<nazevOrganu:STRING,clenoveOrganu:ARRAY<{MEMBER}>>>,"
-    f"spolecnici:ARRAY<STRUCT<spolecnik:ARRAY<STRUCT<osoba:STRUCT<fyzickaOsoba:{PERSON},pravnickaOsoba:{COMPANY}>,"
+    f"spolecnici:ARRAY<STRUCT<spolecnik:ARRAY<STRUCT<osoba:STRUCT<fyzickaOsoba:{PERSON},pravnickaOsoba:{COMPANY}>,fyzickaOsoba:{PERSON},pravnickaOsoba:{COMPANY},"
     f"podil:ARRAY<STRUCT<velikostPodilu:{AMOUNT},vklad:{AMOUNT},datumZapisu:STRING,datumVymazu:STRING>>>>>>>>>"
 )
 
@@ -73,7 +73,8 @@ def _record_rows(z: Column, zi: Column) -> Column:
 
     def holders(s: Column, si: Column) -> Column:
         def holder(sp: Column, pi: Column) -> Column:
-            who = _person(sp["osoba"]["fyzickaOsoba"], sp["osoba"]["pravnickaOsoba"])
+            # named in a person record, or directly in the holder
+            who = F.coalesce(_person(sp["osoba"]["fyzickaOsoba"], sp["osoba"]["pravnickaOsoba"]), _person(sp["fyzickaOsoba"], sp["pravnickaOsoba"]))
 
             def share(p: Column, di: Column) -> Column:
                 size = p["velikostPodilu"]
@@ -100,5 +101,50 @@ def extract_assertions(records: DataFrame) -> DataFrame:
     return rows.withColumn("id", assertion_id(F.col("sha256"), F.col("pointer"), F.col("predicate")))
 
 
+# Fields of a basic extract and the fact each states; the first two are always stated.
+BASIC_FACTS = [
+    ("ico", "registry:ico"),
+    ("obchodniJmeno", "registry:business-name-current"),
+    ("sidlo/textovaAdresa", "registry:seat-current"),
+    ("datumVzniku", "registry:incorporated"),
+    ("datumZaniku", "registry:dissolved"),
+    ("dic", "registry:vat-id"),
+    ("pravniForma", "registry:legal-form-code"),
+]
+BASIC_SCHEMA = "STRUCT<ico:STRING,obchodniJmeno:STRING,sidlo:STRUCT<textovaAdresa:STRING>,datumVzniku:STRING,datumZaniku:STRING,dic:STRING,pravniForma:STRING>"
+
+
+def basic_assertions(records: DataFrame) -> DataFrame:
+    """Current name, seat, numbers and dates of a basic extract. ``records``: entity, sha256, record (BASIC_SCHEMA)."""
+    facts = []
+    for i, (path, predicate) in enumerate(BASIC_FACTS):
+        value = F.col("record." + path.replace("/", "."))
+        stated = F.col("record").isNotNull() if i < 2 else F.col("record.sidlo").isNotNull() if path.startswith("sidlo/") else F.coalesce(value != "", F.lit(False))
+        facts.append(F.when(stated, _row(json_pointer(*path.split("/")), predicate, value)))
+    rows = records.select("entity", "sha256", F.explode(F.filter(F.array(*facts), lambda x: x.isNotNull())).alias("a")).select("entity", "sha256", "a.*")
+    return rows.withColumn("id", assertion_id(F.col("sha256"), F.col("pointer"), F.col("predicate")))
+
+
+def newest_artifacts(manifest: DataFrame) -> DataFrame:
+    """The last line of the manifest for each (entity, tag). ``manifest``: entity, tag, line and what describes the artifact."""
+    rest = [c for c in manifest.columns if c not in ("entity", "tag")]
+    last = manifest.groupBy("entity", "tag").agg(F.max_by(F.struct(*rest), F.col("line")).alias("_m"))
+    return last.select("entity", "tag", *[F.col(f"_m.`{c}`").alias(c) for c in rest])
+
+
+def register_assertions(manifest: DataFrame, bodies: DataFrame) -> DataFrame:
+    """Facts of the newest full record and the newest basic extract of every entity.
+
+    ``manifest``: entity, tag, line, sha256; ``bodies``: sha256, body (JSON text).
+    Older artifacts stay in the manifest and state nothing. Only the bodies that
+    are needed are joined and parsed.
+    """
+    wanted = newest_artifacts(manifest.select("entity", "tag", "line", "sha256").filter(F.col("tag").isin("ares-vr", "ares-basic")))
+    read = wanted.join(bodies.dropDuplicates(["sha256"]), "sha256")
+    full = read.filter("tag = 'ares-vr'").select("entity", "sha256", F.from_json("body", REGISTER_SCHEMA).alias("record"))
+    basic = read.filter("tag = 'ares-basic'").select("entity", "sha256", F.from_json("body", BASIC_SCHEMA).alias("record"))
+    return extract_assertions(full).unionByName(basic_assertions(basic))
+
+
 def sort_assertions(df: DataFrame) -> DataFrame:
     return df.orderBy(F.concat("entity", "predicate", "id"))

@@ -73,7 +73,17 @@ def _(spark, sf):
     return R.parse_ledger(lines, "event_id BIGINT, outcome STRING, user_id BIGINT")
 
 
-@query("S7_append_if_new", with_ctes("runs", """
+@query("S7_append_if_new", with_ctes("runs", "SELECT DISTINCT sha256, url FROM runs"))
+def _(spark, sf):
+    """Three appends: some runs, all of them, and all of them again."""
+    path = scratch(spark, "appended")
+    r = runs(spark, sf).select("sha256", "url", "tag")
+    for batch in (r.filter("tag = 'click'"), r, r):
+        W.append_if_new(batch.select("sha256", "url"), path, ["sha256", "url"])
+    return W.read_appended(spark, path)
+
+
+@query("S7_new_rows", with_ctes("runs", """
 SELECT DISTINCT sha256, url FROM runs WHERE (sha256, url) NOT IN (SELECT (sha256, url) FROM runs WHERE tag = 'click')"""))
 def _(spark, sf):
     r = runs(spark, sf).select("sha256", "url", "tag")

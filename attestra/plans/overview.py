@@ -187,6 +187,14 @@ def _(spark, sf):
     return e.withColumn("content_hash", X.content_hash(F.col("canonical")))
 
 
+@query("F1_canonical_numbers", """
+SELECT o_orderkey, '{"a":' || o_custkey || ',"b":[' || ((o_orderkey + 1) * 1000) || ',' || ((o_orderkey + 1) * 1000) || ',' || ((o_orderkey + 1) * 1000) || ',-2.5,0.00000125,1e-7],"s":"1e3 1.50"}' AS canonical FROM orders""")
+def _(spark, sf):
+    """Equal numbers in different spellings, a repeated key, and numbers inside of a string."""
+    raw = """concat('{"b": [', o_orderkey + 1, 'e3, ', o_orderkey + 1, '000, ', o_orderkey + 1, '000.00, -2.50, 125E-8, 1E-7], "a": -1, "s": "1e3 1.50", "a": ', o_custkey, '.0}')"""
+    return table(spark, sf, "orders").select("o_orderkey", X.canonical_json(F.expr(raw)).alias("canonical"))
+
+
 @query("F8_calendar", """
 SELECT o_orderkey, strftime(o_orderdate + INTERVAL 45 DAY, '%Y-%m-%d') AS due, date_diff('day', o_orderdate::DATE, DATE '2001-12-31')::BIGINT AS days_left, year(o_orderdate)::BIGINT AS year,
   floor((epoch(TIMESTAMP '2001-12-31 12:00:00') - epoch(o_orderdate)) / 86400)::BIGINT AS elapsed FROM orders""")

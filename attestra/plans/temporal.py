@@ -230,12 +230,37 @@ def _(spark, sf):
     return pairs(spark, sf).select("from_snapshot_id", "to_snapshot_id", "from_cutoff", "to_cutoff")
 
 
-@query("J1_diff_snapshots", with_ctes("objects", """
+
+def digest_of(df, by, columns):
+    """Rows and an order-free sum of hashes by group: a whole result in a few rows."""
+    line = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in columns])
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum(F.conv(F.substring(F.md5(line), 1, 8), 16, 10).cast("bigint")).alias("digest"))
+
+
+def digest_sql(rows, by, columns):
+    line = ", ".join(f"coalesce({c}::VARCHAR, '-')" for c in columns)
+    return f"SELECT {', '.join(by)}, count(*) AS n, sum(('0x' || substr(md5(concat_ws('|', {line})), 1, 8))::BIGINT)::BIGINT AS digest FROM ({rows}) GROUP BY ALL"
+
+
+J1_ROWS = """
 SELECT coalesce(n.object_type, o.object_type) AS object_type, coalesce(n.object_id, o.object_id) AS object_id,
   CASE WHEN o.object_id IS NULL THEN 'added' WHEN n.object_id IS NULL THEN 'removed' WHEN o.content_hash <> n.content_hash THEN 'changed' ELSE 'unchanged' END AS change_kind,
   o.content_hash AS old_hash, n.content_hash AS new_hash
-FROM (SELECT * FROM objects WHERE seq = 3) o FULL OUTER JOIN (SELECT * FROM objects WHERE seq = 6) n USING (object_type, object_id)"""))
+FROM (SELECT * FROM objects WHERE seq = 3) o FULL OUTER JOIN (SELECT * FROM objects WHERE seq = 6) n USING (object_type, object_id)"""
+J1_COLUMNS = ["object_type", "object_id", "change_kind", "old_hash", "new_hash"]
+
+
+@query("J1_diff_snapshots", with_ctes("objects", J1_ROWS))
+def _(spark, sf):
+    return between_snapshots(spark, sf)
+
+
+@query("J1_diff_digest", with_ctes("objects", digest_sql(J1_ROWS, ["object_type", "change_kind"], J1_COLUMNS)))
 def _(spark, sf):
+    return digest_of(between_snapshots(spark, sf), ["object_type", "change_kind"], J1_COLUMNS)
+
+
+def between_snapshots(spark, sf):
     d = D.diff_snapshots(at(spark, sf, 3), at(spark, sf, 6))
     return d.select("object_type", "object_id", "change_kind", F.col("old.content_hash").alias("old_hash"),
                     F.col("new.content_hash").alias("new_hash"))
@@ -254,15 +279,23 @@ def _(spark, sf):
     return d.groupBy(F.col("to_seq").cast("bigint").alias("to_seq"), "change_kind").agg(F.count(F.lit(1)).alias("objects"))
 
 
-@query("J16_graph_layer_diff", with_ctes("objects", """
+J16_ROWS = """
 SELECT object_type, coalesce(o.object_id, n.object_id) AS object_id,
   CASE WHEN o.object_id IS NULL THEN 'added' WHEN n.object_id IS NULL THEN 'removed' WHEN o.content_hash <> n.content_hash THEN 'changed' ELSE 'unchanged' END AS change_kind
 FROM (SELECT * FROM objects WHERE seq = 2 AND object_type = 'relationship') o
-  FULL OUTER JOIN (SELECT * FROM objects WHERE seq = 4 AND object_type = 'relationship') n USING (object_type, object_id)"""))
+  FULL OUTER JOIN (SELECT * FROM objects WHERE seq = 4 AND object_type = 'relationship') n USING (object_type, object_id)"""
+
+
+@query("J16_graph_layer_diff", with_ctes("objects", J16_ROWS))
 def _(spark, sf):
     return D.graph_layer_diff(at(spark, sf, 2), at(spark, sf, 4)).select("object_type", "object_id", "change_kind")
 
 
+@query("J16_layer_digest", with_ctes("objects", digest_sql(J16_ROWS, ["object_type", "change_kind"], ["object_id"])))
+def _(spark, sf):
+    return digest_of(D.graph_layer_diff(at(spark, sf, 2), at(spark, sf, 4)), ["object_type", "change_kind"], ["object_id"])
+
+
 @query("F20_diff_fields", with_ctes("fields", """
 SELECT to_snapshot_id, object_type, object_id, array_to_string(fields, ',') AS fields,
   CASE WHEN list_contains(fields, 'status') THEN '"' || old_status || '">"' || new_status || '"' END AS status_step
@@ -322,10 +355,23 @@ def _(spark, sf):
     return rows.select("change_id", "to_snapshot_id", "object_type", "object_id")
 
 
-@query("J10_observed_at", with_ctes("classed observed", """
+J10_ROWS = """
 SELECT c.to_snapshot_id, c.object_type, c.object_id, c.change_kind, CASE WHEN c.object_type = 'source' THEN own_retrieval ELSE oldest END AS observed_at
-FROM classed c LEFT JOIN observed o ON o.to_seq = c.to_seq AND o.object_type = c.object_type AND o.object_id = c.object_id AND o.change_kind = c.change_kind"""))
+FROM classed c LEFT JOIN observed o ON o.to_seq = c.to_seq AND o.object_type = c.object_type AND o.object_id = c.object_id AND o.change_kind = c.change_kind"""
+J10_BY = ["to_snapshot_id", "object_type", "change_kind"]
+
+
+@query("J10_observed_at", with_ctes("classed observed", J10_ROWS))
+def _(spark, sf):
+    return observed(spark, sf)
+
+
+@query("J10_observed_digest", with_ctes("classed observed", digest_sql(J10_ROWS, J10_BY, ["object_id", "observed_at"])))
 def _(spark, sf):
+    return digest_of(observed(spark, sf), J10_BY, ["object_id", "observed_at"])
+
+
+def observed(spark, sf):
     rows = C.observed_at(C.change_rows(diffs(spark, sf)), objects(spark, sf))
     return rows.select("to_snapshot_id", "object_type", "object_id", "change_kind", "observed_at")
 

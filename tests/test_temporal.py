@@ -236,3 +236,29 @@ def test_numbering_is_dense_and_ordered(spark):
     assert sorted((r.k, r.n) for r in rows) == [(i, i + 1) for i in range(1000)]
     within = number_within(df, ["hot"], [F.col("k")], "n").groupBy("hot").agg(F.count("*").alias("c"), F.max("n").alias("m"), F.min("n").alias("l")).collect()
     assert all(r.c == r.m and r.l == 1 for r in within)
+
+
+@pytest.mark.parametrize("allowed", ["true", "false"])
+def test_canonical_numbers_and_repeated_keys(spark, allowed):
+    old = spark.conf.get("spark.sql.variant.allowDuplicateKeys")
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", allowed)
+    try:
+        texts = ['{"a":1e3}', '{"a":1000}', '{"a":1000.0}', '{"a":5,"a":1000}', '{"a":10.00e2}']
+        rows = spark.createDataFrame([(t,) for t in texts], "t string").select(X.content_hash(X.canonical_json(F.col("t"))).alias("h"))
+        assert len({r.h for r in rows.collect()}) == 1
+    finally:
+        spark.conf.set("spark.sql.variant.allowDuplicateKeys", old)
+
+
+@pytest.mark.parametrize("raw, spelled", [
+    ("1e21", "1e+21"), ("1E-7", "1e-7"), ("0.000001", "0.000001"), ("1.5E-7", "1.5e-7"), ("-0.0", "0"), ("12345678901234567890", "12345678901234567000"), ("1e20", "100000000000000000000"),
+    ("0.1", "0.1"), ("100", "100"), ("2.50", "2.5"), ("1.2345678901234567E-6", "0.0000012345678901234567"), ("-2.5e22", "-2.5e+22"), ("9007199254740993", "9007199254740992"),
+])
+def test_numbers_have_one_spelling(spark, raw, spelled):
+    text = f'{{"x":[{raw},"{raw}",null,true],"1e3":"a\\\\\\"1e3"}}'
+    assert one(spark, X.canonical_json(F.lit(text))) == f'{{"1e3":"a\\\\\\"1e3","x":[{spelled},"{raw}",null,true]}}'
+
+
+def test_long_strings_survive_canonical_json(spark):
+    text = json.dumps({"a": 'x"\\\n' * 20_000, "n": 1.50})
+    assert one(spark, X.canonical_json(F.lit(text))) == json.dumps({"a": 'x"\\\n' * 20_000, "n": 1.5}, separators=(",", ":"))
