@@ -42,7 +42,7 @@ def canonical_number(token: Column) -> Column:
     whole = value.try_cast("decimal(38,0)").cast("string")
     plain = F.regexp_replace(value.cast("string").try_cast("decimal(38,22)").cast("string"), r"\.?0+$", "")
     short = F.regexp_replace(F.regexp_replace(F.regexp_replace(value.cast("string"), r"\.0(?=E)", ""), "E-", "e-"), "E", "e+")
-    return F.when((size < 1e21) & (F.floor(value) == value), whole).when((size >= 1e-6) & (size < 1e21), plain).otherwise(short)
+    return F.when((size < 1e21) & (F.rint(value) == value), whole).when((size >= 1e-6) & (size < 1e21), plain).otherwise(short)
 
 
 def canonical_json(text: Column) -> Column:
