@@ -252,7 +252,7 @@ def test_canonical_numbers_and_repeated_keys(spark, allowed):
 
 @pytest.mark.parametrize("raw, spelled", [
     ("1e21", "1e+21"), ("1E-7", "1e-7"), ("0.000001", "0.000001"), ("1.5E-7", "1.5e-7"), ("-0.0", "0"), ("12345678901234567890", "12345678901234567000"), ("1e20", "100000000000000000000"),
-    ("0.1", "0.1"), ("100", "100"), ("2.50", "2.5"), ("1.2345678901234567E-6", "0.0000012345678901234567"), ("-2.5e22", "-2.5e+22"), ("9007199254740993", "9007199254740992"),
+    ("0.1", "0.1"), ("100", "100"), ("2.50", "2.5"), ("1.2345678901234567E-6", "0.0000012345678901234567"), ("-1e22", "-1e+22"), ("9007199254740993", "9007199254740992"),
 ])
 def test_numbers_have_one_spelling(spark, raw, spelled):
     text = f'{{"x":[{raw},"{raw}",null,true],"1e3":"a\\\\\\"1e3"}}'
