@@ -12,7 +12,6 @@ scored.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,7 +34,10 @@ LANDMARKS_PER_LANG = 60
 SAMPLE_CHARS = 5_000
 RIDGE = 0.1
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+#: What a letter is, for training, predicting and rejecting alike.
+LETTER = r"\p{L}"
+#: Parts in which the texts of one language are looked through before the best of all are taken.
+SPREAD = 64
 _BITS = 20
 _PRIMES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
@@ -131,11 +133,25 @@ def fit(texts: list[str], langs: list[str], landmarks: np.ndarray, ridge: float
     return Model(names, codes, [m.T @ (white @ solved).astype(np.float32) for m in scaled], bias)
 
 
-def _first(usable: DataFrame, order: list[Column], per_lang: int) -> DataFrame:
-    """lang, text, _place: the first ``per_lang`` rows of each language in this order."""
-    by = W.partitionBy("lang").orderBy(*order, "_mark", "doc_id", "text")
-    rows = usable.withColumn("_mark", F.xxhash64("doc_id"))
-    return rows.withColumn("_place", F.row_number().over(by)).filter(F.col("_place") <= per_lang)
+def _first(usable: DataFrame, order: list[str], per_lang: int) -> DataFrame:
+    """lang, text, _place: the first ``per_lang`` rows of each language in this order.
+
+    Two levels: each of ``SPREAD`` parts of a language sends its first rows, then the first
+    of these are taken, so a language that most rows have is no task of its own. Texts
+    are not sorted; those of the rows that are taken come in at the end, by id and hash.
+    Rows that agree in both count once.
+    """
+    names = [*order, "_mark", "doc_id", "_print"]
+    rows = usable.withColumns({"_mark": F.xxhash64("doc_id"), "_print": F.xxhash64("text")})
+    light = rows.select("lang", *names, F.pmod(F.hash("doc_id", "_print"), F.lit(SPREAD)).alias("_part"))
+    sent = light.withColumn("_place", F.row_number().over(W.partitionBy("lang", "_part").orderBy(*names))).filter(F.col("_place") <= per_lang)
+    sent = sent.groupBy("lang", *names).agg(F.lit(1).alias("_one"))
+    taken = sent.withColumn("_place", F.row_number().over(W.partitionBy("lang").orderBy(*names))).filter(F.col("_place") <= per_lang)
+    # at most per_lang rows of each language, so their texts are a bounded sample
+    taken = taken.select("lang", "doc_id", "_print", "_place")
+    texts = rows.select(F.col("doc_id").alias("_id"), F.col("_print").alias("_p"), F.col("lang").alias("_l"), "text")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_print") == F.col("_p")) & (F.col("lang") == F.col("_l"))
+    return texts.join(taken, same).dropDuplicates(["lang", "_place"]).select("lang", "text", "_place")
 
 
 def train(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG, chars: int = SAMPLE_CHARS) -> Model:
@@ -148,16 +164,16 @@ def train(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG, chars: int = SAMPLE_
     landmarks may hold, from its first letter on.
     """
     usable = docs.select("doc_id", F.col("text").cast("string").alias("text"), "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    lettered = F.col("text").rlike(r"\p{L}")
+    lettered = F.col("text").rlike(LETTER)
     length = F.length("text")
-    sample = _first(usable.filter((length <= chars) & lettered), [], per_lang).select("lang", "text", "_place").toPandas()
+    sample = _first(usable.filter((length <= chars) & lettered), [], per_lang).toPandas()
     held = sample.groupby("lang")["text"].agg(["size", lambda texts: texts.str.len().sum()])
     full = held.index[held["size"] >= per_lang].tolist()
 
     # languages that short texts do not fill; their long ones stay short of the same bound
     long = usable.filter(~F.col("lang").isin(full) & (length > chars) & lettered) if full else usable.filter((length > chars) & lettered)
     cut = F.substring(F.regexp_replace("text", r"^\P{L}++", ""), 1, chars * LANDMARKS_PER_LANG)
-    first = _first(long.select("doc_id", "lang", cut.alias("text"), length.alias("_length")), [F.col("_length")], per_lang)
+    first = _first(long.select("doc_id", "lang", cut.alias("text"), length.alias("_length")), ["_length"], per_lang)
     until = W.partitionBy("lang").orderBy("_place")
     bounded = first.withColumn("_sum", F.sum(F.length("text")).over(until)).filter((F.col("_place") == 1) | (F.col("_sum") <= per_lang * chars))
     more = bounded.select("lang", "text", "_place", "_sum").toPandas()
@@ -176,9 +192,9 @@ def train(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG, chars: int = SAMPLE_
 def _predict(model: Model, text_at: int, untaught: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(text_at).to_pylist()
+            texts, lettered = batch.column(text_at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
             pred, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
-            todo = [i for i, t in enumerate(texts) if t and _LETTER.search(t)]
+            todo = [i for i, yes in enumerate(lettered) if yes]
             if not model.langs:
                 for i in todo:
                     pred[i] = untaught
@@ -193,7 +209,7 @@ def _predict(model: Model, text_at: int, untaught: str):
                 for i, best, s in zip(todo[low:high], part.argmax(1), part.max(1), strict=True):
                     pred[i], score[i] = model.langs[best], min(1.0, max(0.0, (s + 1) / 2))
                 low = high
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*batch.schema.names[:-1], "lang_pred", "score"])
 
     return run
 
@@ -209,17 +225,29 @@ def fit_and_predict(docs: DataFrame, *more: Column, untaught: str = UNKNOWN) ->
     """
     model = train(docs.filter(~_held_out(docs)))
     kept = docs.select("doc_id", F.col("text").cast("string"), *more)
+    # one test for letters, the same as in training
     schema = T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    lettered = F.coalesce(F.col("text").cast("string").rlike(LETTER), F.lit(False))
+    kept = docs.select("doc_id", F.col("text").cast("string"), *more, lettered.alias("_lettered"))
     return kept.mapInArrow(_predict(model, 1, untaught), schema)
 
 
-def identified(docs: DataFrame) -> DataFrame:
-    """``docs`` without those whose text is null or has no letter; columns of any name stay as they are.
+def identified(docs: DataFrame, wanted: list[str] | None = None, least: float = 0.0) -> DataFrame:
+    """``docs`` whose language can be told, with the prediction as lang where lang is null.
 
-    These are `und` to the model. A table without labelled texts keeps its others, too.
+    Rejected are texts that are `und` (null, or without a letter), that are predicted to be
+    in none of the ``wanted`` languages (by default all that were learned), or whose
+    prediction scores below ``least``. A table without labelled texts keeps all texts with
+    a letter, as there is nothing to tell them by. Repeated rows are judged alike; an empty
+    table gives an empty result; columns of any name stay as they are.
     """
     told = fit_and_predict(docs, F.struct(*docs.columns).alias("row"), untaught="")
-    return told.filter(F.col("lang_pred") != UNKNOWN).select("row.*")
+    stays = (F.col("lang_pred") == "") | (F.col("score") >= least)
+    if wanted is not None:
+        stays = stays & ((F.col("lang_pred") == "") | F.col("lang_pred").isin(wanted))
+    told = told.filter((F.col("lang_pred") != UNKNOWN) & stays)
+    lang = F.coalesce(F.col("row.`lang`"), F.nullif("lang_pred", F.lit("")).cast(docs.schema["lang"].dataType))
+    return told.select(*[lang.alias(c) if c == "lang" else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def identify(docs: DataFrame) -> DataFrame:

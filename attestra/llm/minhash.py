@@ -245,13 +245,21 @@ def _compared(placed: DataFrame) -> DataFrame:
     return settle(placed.select(*_MEMBER, "low", "high", "text").groupBy("leader", "low", "high").applyInPandas(_links, schema))
 
 
+def _texts(docs: DataFrame, needed: DataFrame) -> DataFrame:
+    """rep_id, rep_mark, text: one row for each representative of ``needed``, however often its row is repeated."""
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("rep_id"), F.xxhash64(text).alias("rep_mark"), text.alias("text"))
+    wanted = needed.select("rep_id", "rep_mark").distinct()
+    return rows.join(wanted, ["rep_id", "rep_mark"], "left_semi").groupBy("rep_id", "rep_mark").agg(F.first("text").alias("text"))
+
+
 def near_links(classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(source, target) links of similarity 0.75 or more that connect what is connected."""
-    members = settle(_candidates(classes)).join(classes.select("cid", "n_shingles", "print_a", "print_b"), "cid")
+    """(source, target) links of similarity 0.75 or more, between numbers of classes, that connect what is connected."""
+    members = settle(_candidates(classes)).join(classes.select("cid", "n_shingles", "print_a", "print_b", "rep_id", "rep_mark"), "cid")
     led = members.groupBy("leader").agg(*_sizes(F.lit(True), "all")).filter("all_n > 1")
     every = F.when(F.col("cid") == F.col("leader"), F.sequence(F.lit(0), F.col("all_blocks") - 1)).otherwise(F.array(_block("all_blocks")))
     alone = members.join(led, "leader").withColumn("block", F.explode(every)).withColumns({"low": F.col("block"), "high": F.col("block")})
-    found = _compared(alone.join(docs.select(F.col("doc_id").cast("long").alias("cid"), F.col("text").cast("string")), "cid"))
+    found = _compared(alone.join(_texts(docs, alone), ["rep_id", "rep_mark"]))
     links = found.select(F.col("cid").alias("source"), "target").filter("source <> target")
 
     # the leader stands in all blocks; its own is enough here
@@ -278,32 +286,48 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     component and share its smallest doc_id. A row without doc_id is linked with
     nothing and kept. An empty table gives an empty result.
     """
-    return _labelled(docs).drop("mark")
+    return _labelled(docs).drop("mark", "first")
 
 
 def _labelled(docs: DataFrame) -> DataFrame:
-    """``near_duplicates`` with the mark of each row's text."""
+    """``near_duplicates`` with the mark of each row's text, and the representative of each row's component.
+
+    A class has a number of its own, because one doc_id may stand for several
+    texts. Ids only come in at the end: a component takes the smallest one of its
+    classes.
+    """
     base = settle(sketches(docs))
     linked = base.filter("n_shingles > 0 and doc_id is not null")
     key = ["print_a", "print_b"]
-    classes = settle(linked.groupBy(*key).agg(F.min("doc_id").alias("cid"), F.min("n_shingles").alias("n_shingles"), F.min("sketch").alias("sketch")))
-    classes = classes.withColumn("kept", F.size("sketch"))
+    rep = F.min(F.struct("doc_id", "mark")).alias("rep")
+    classes = linked.groupBy(*key).agg(rep, F.min("n_shingles").alias("n_shingles"), F.min("sketch").alias("sketch"))
+    classes = classes.select(*key, F.col("rep.doc_id").alias("rep_id"), F.col("rep.mark").alias("rep_mark"), "n_shingles", "sketch", F.size("sketch").alias("kept"))
+    # written with their numbers, so nothing computes these again
+    classes = settle(classes.withColumn("cid", F.monotonically_increasing_id()))
     links = settle(near_links(classes, docs))
     labels = connected_components(links).select(F.col("node").alias("cid"), "component")
-    named = classes.select(*key, "cid").join(labels, "cid", "left").select(*key, F.coalesce("component", "cid").alias("_component"))
+    named = classes.select(*key, "cid", "rep_id", "rep_mark").join(labels, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    first = named.groupBy("component").agg(F.min(F.struct("rep_id", "rep_mark")).alias("first"))
+    named = named.join(first, "component").select(*key, "first")
     own = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
     out = base.select("doc_id", "mark", "n_shingles", *[F.when(own, F.col(c)).alias(c) for c in key]).join(named, key, "left")
-    component = F.coalesce("_component", "doc_id")
-    return out.select("doc_id", "mark", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    component = F.coalesce("first.rep_id", "doc_id")
+    return out.select("doc_id", "mark", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"), "first")
 
 
 def keep_representatives(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs`` that stand for their near-duplicate class; equal rows of one id stay once, those without id all."""
-    kept = _labelled(docs).filter("kept").select(F.col("doc_id").alias("id"), "mark").distinct()
+    """One row of ``docs`` for each near-duplicate class: that of the smallest id and, of one id, the smallest hash of its text.
+
+    Rows that agree in id and text stay once, whatever their other columns hold; texts
+    without a word are linked with nothing, so they stay once for each id; rows without id
+    all stay. An empty table gives an empty result. Columns of any name and kind stay as
+    they are.
+    """
+    chosen = (F.col("n_shingles") == 0) | ((F.col("doc_id") == F.col("first.rep_id")) & (F.col("mark") == F.col("first.rep_mark")))
+    apart = "_".join(docs.columns)
+    id_of, mark_of = f"_id_{apart}", f"_mark_{apart}"
+    kept = _labelled(docs).filter(F.col("doc_id").isNotNull() & chosen).select(F.col("doc_id").alias(id_of), F.col("mark").alias(mark_of)).distinct()
     doc_id = docs["doc_id"].cast("long")
-    rows = docs.join(kept, doc_id.eqNullSafe(kept["id"]) & (F.xxhash64(docs["text"].cast("string")) == kept["mark"]), "left_semi")
-    repeated = docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1")
-    if repeated.isEmpty():
-        return rows
-    apart = "_apart_" + "_".join(docs.columns)
-    return rows.withColumn(apart, F.when(doc_id.isNull(), F.monotonically_increasing_id())).dropDuplicates().drop(apart)
+    marked = docs.withColumns({id_of: doc_id, mark_of: F.xxhash64(docs["text"].cast("string"))})
+    rows = marked.filter(F.col(f"`{id_of}`").isNotNull()).join(kept, [id_of, mark_of], "left_semi").dropDuplicates([id_of, mark_of])
+    return rows.select(*[f"`{c}`" for c in docs.columns]).unionByName(docs.filter(doc_id.isNull()))

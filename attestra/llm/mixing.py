@@ -15,11 +15,11 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestra.llm.common import WORD, settle
-from attestra.operators.numbering import number_rows
+from attestra.operators.numbering import number_rows, number_within
 from attestra.session import cut_lineage
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -32,8 +32,8 @@ NEWTON_ROUNDS = 60
 
 
 def source_sizes(docs: DataFrame) -> DataFrame:
-    """source, source_size, documents; ``docs`` holds ``rows`` equal rows in one."""
-    return docs.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size"), F.count(F.lit(1)).alias("documents"))
+    """source, source_size, documents."""
+    return docs.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("documents"))
 
 
 def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -77,11 +77,11 @@ def _round_down_the_sizes(most: int):
     """Whole copies for one stratum: from the largest document on, each takes the number that leaves least unpaid."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["words", "mark", "doc_id"], ascending=[False, True, True]).reset_index(drop=True)
+        group = group.sort_values("place").reset_index(drop=True)
         rate = float(group["rate"].iloc[0])
         # a rate at the limit is whole but for rounding of the exponential
         rate = round(rate) if abs(rate - round(rate)) < 1e-9 else rate
-        base, words = math.floor(rate), group["words"].to_numpy()
+        base, words = math.floor(rate), group["size"].to_numpy()
         copies, owed = np.full(len(words), min(base, most), np.int64), 0.0
         if rate > base:
             for i, w in enumerate(words):
@@ -89,40 +89,53 @@ def _round_down_the_sizes(most: int):
                 if w and owed >= w / 2:
                     copies[i] += 1
                     owed -= w
-        return group.assign(copies=copies)[["doc_id", "source", "size", "copies"]]
+        return group.assign(copies=copies)[["mark", "copies"]]
 
     return run
 
 
-def copies(units: DataFrame, most: float = MOST) -> DataFrame:
-    """doc_id, source, size, copies for ``units`` (doc_id, source, size, rows, documents, rate)."""
-    kinds = {f.name: f.dataType.simpleString() for f in units.schema.fields}
-    mark = F.xxhash64("doc_id", "size")
-    dealt = units.select(
-        "doc_id", "source", "size", "rate", (F.col("size") * F.col("rows")).alias("words"), mark.alias("mark"), F.pmod(mark, F.ceil(F.col("documents") / STRATUM_ROWS)).alias("stratum")
-    )
-    schema = f"doc_id {kinds['doc_id']}, source {kinds['source']}, size long, copies long"
-    return dealt.groupBy("source", "stratum").applyInPandas(_round_down_the_sizes(int(most)), schema)
+def copies(rows: DataFrame, sources: DataFrame, most: float = MOST) -> DataFrame:
+    """mark, copies for ``rows`` (mark, doc_id, source, size, print) and their ``sources``.
+
+    The rows of a source are numbered from the largest to the smallest and dealt in turn
+    to strata of one size, so all strata run from large to small documents, and rows that
+    agree in everything, however many, are spread over all of them.
+    """
+    # null keys do not join, so sources get a key that is never null
+    key = F.coalesce(F.concat(F.lit("+"), F.col("source").cast("string")), F.lit("")).alias("of")
+    light = rows.select(key, "mark", "size", F.col("doc_id").cast("string").alias("doc_id"), "print")
+    placed = number_within(light, ["of"], [F.col("size").desc(), F.col("doc_id"), F.col("print"), F.col("mark")], "place")
+    rated = placed.select("of", "mark", "size", "place").join(sources.select(key, "rate", "documents"), "of")
+    stratum = F.pmod(F.col("place") - 1, F.ceil(F.col("documents") / STRATUM_ROWS))
+    dealt = rated.select("of", "mark", "size", "place", "rate", stratum.alias("stratum"))
+    return dealt.groupBy("of", "stratum").applyInPandas(_round_down_the_sizes(int(most)), "mark long, copies long")
+
+
+def words(text: Column) -> Column:
+    """Number of words; null text: 0."""
+    return F.coalesce(F.regexp_count(text.cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, size: Column | None = None) -> DataFrame:
     """doc_id, source, size, source_size, target, rate, copies and row (all columns of ``docs``): one row per row.
 
-    ``docs``: doc_id, text, source and any other columns. Size is the number of words
-    (null text: 0). A null source is a source of its own and comes last. A source without
-    words has target 0 and rate 0. Rows that agree in id, source and size get the same
-    number of copies. An empty table gives an empty result. Copies follow from ids and
-    sizes alone, so reruns agree.
+    ``docs``: doc_id, text, source and any other columns; with ``size`` given, text is not
+    needed. Size is the number of words (null text: 0). A null source is a source of its
+    own and comes last. A source without words has target 0 and rate 0. Copies are given
+    row by row, also to rows that agree in everything; of these it is not told which get
+    more. An empty table gives an empty result. Copies follow from ids, sizes and texts
+    alone, so reruns agree.
     """
-    size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    sized = docs.select("doc_id", "source", size.alias("size"), F.struct(*docs.columns).alias("row"))
-    light = settle(sized.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("rows")))
-    sources = balance(targets(source_sizes(light), weights, share, most))
-    units = light.join(sources, light["source"].eqNullSafe(sources["source"])).drop(sources["source"])
-    taken = copies(units, most)
-    same = [sized[c].eqNullSafe(taken[c]) for c in ("doc_id", "source", "size")]
-    whole = sized.join(taken, same[0] & same[1] & same[2]).drop(*[taken[c] for c in ("doc_id", "source", "size")])
+    size = words(F.col("text")) if size is None else size
+    read = F.xxhash64(F.col("text").cast("string")) if "text" in docs.columns else F.lit(0).cast("long")
+    sized = docs.select("doc_id", "source", size.cast("long").alias("size"), read.alias("print"), F.struct(*docs.columns).alias("row"))
+    # a row is known by the mark with which it is written
+    sized = settle(sized.withColumn("mark", F.monotonically_increasing_id()))
+    light = sized.select("mark", "doc_id", "source", "size", "print")
+    sources = settle(balance(targets(source_sizes(light), weights, share, most)))
+    taken = copies(light, sources, most)
     of = sources.select("source", "source_size", "target", "rate")
+    whole = sized.drop("print").join(taken, "mark").drop("mark")
     return whole.join(of, whole["source"].eqNullSafe(of["source"])).drop(of["source"])
 
 

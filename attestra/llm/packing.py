@@ -3,9 +3,11 @@
 Documents are tokenised where they are read and cut into pieces of at most ``capacity``
 tokens. Pieces are dealt to partitions of bounded size by hash. Each partition packs its
 pieces by best-fit decreasing and certifies the number of sequences with dual-feasible
-functions: no packing needs fewer than the bound. Partitions above their bound release
-the sequences that are not full; these are dealt anew over all such partitions and
-packed again, as long as that saves sequences.
+functions: no packing needs fewer than the bound. As long as there are more sequences
+than the bound of all pieces together asks for, partitions with gaps exchange documents:
+a partition above its own bound hands over all sequences that are not full, one that
+meets it those that are emptiest. What is handed over is dealt anew and packed again,
+until a round saves nothing.
 """
 
 from __future__ import annotations
@@ -19,14 +21,16 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from attestra.llm.common import settle
 
 CAPACITY = 2048
-#: Pieces that a packing partition holds on average, and rounds of exchange at most.
+#: Pieces that a packing partition holds on average.
 PART_PIECES = 65_536
-ROUNDS = 3
+#: A partition that meets its bound hands over its emptiest sequence and those with more than this share of their room free.
+FREE_SHARE = 1 / 16
 #: Words whose ids a worker remembers; rarer words are looked up by the model each time.
 _REMEMBERED = 400_000
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -132,8 +136,11 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
 
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:
-    """Most bins that any of two families of dual-feasible functions proves necessary."""
-    n = np.bincount(lengths, minlength=capacity + 1)
+    return bound_of(np.bincount(lengths, minlength=capacity + 1), capacity)
+
+
+def bound_of(n: np.ndarray, capacity: int) -> int:
+    """Most bins that any of two families of dual-feasible functions proves necessary; ``n``: items of each length."""
     size = np.arange(capacity + 1)
     best = -(-int((n * size).sum()) // capacity)
     for low in range(1, capacity // 2 + 1):
@@ -150,7 +157,7 @@ def lower_bound(lengths: np.ndarray, capacity: int) -> int:
 
 def _pack(capacity: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
+        group = group.sort_values(["length", "doc_id", "piece", "mark"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
         lengths = group["length"].to_numpy()
         bins, offsets, count = best_fit(lengths, capacity)
         filled = np.bincount(bins, weights=lengths, minlength=count).astype(np.int64)
@@ -161,31 +168,63 @@ def _pack(capacity: int):
 
 def _packed(pieces: DataFrame, turn: int, capacity: int) -> DataFrame:
     parts = max(1, -(-pieces.count() // PART_PIECES))
-    dealt = pieces.select("doc_id", "piece", "start", "length", "ids_crc32", F.lit(turn).cast("long").alias("turn"), F.pmod(F.xxhash64("doc_id", "piece", F.lit(turn)), F.lit(parts)).alias("part"))
-    schema = f"{_PIECE}, turn long, part long, bin long, offset long, filled long, bins long, bound long"
+    # dealt by the mark of the row, so rows of one id, or without one, spread like all others
+    part = F.pmod(F.xxhash64("mark", F.lit(turn)), F.lit(parts))
+    dealt = pieces.select("mark", "doc_id", "piece", "start", "length", "ids_crc32", F.lit(turn).cast("long").alias("turn"), part.alias("part"))
+    schema = f"mark long, {_PIECE}, turn long, part long, bin long, offset long, filled long, bins long, bound long"
     return settle(dealt.groupBy("turn", "part").applyInPandas(_pack(capacity), schema))
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS) -> DataFrame:
-    """Pieces with sequence_id and offset; see the module text. No piece is longer than the capacity."""
-    newest = _packed(pieces, 0, capacity)
+def whole_bound(pieces: DataFrame, capacity: int) -> int:
+    """Lower bound of the sequences that all pieces need, from one count for each length."""
+    n = np.zeros(capacity + 1, np.int64)
+    for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect():
+        n[r["length"]] = r["n"]
+    return bound_of(n, capacity)
+
+
+def _bins(packed: DataFrame) -> int:
+    """Sequences of a packing; one row for each part comes together."""
+    parts = packed.groupBy("turn", "part").agg(F.first("bins").alias("bins"))
+    return parts.agg(F.sum("bins")).first()[0] or 0
+
+
+def pack(pieces: DataFrame, capacity: int = CAPACITY, rounds: int | None = None) -> DataFrame:
+    """Pieces with sequence_id and offset; see the module text. No piece is longer than the capacity.
+
+    ``rounds`` ends the exchange early, for tests.
+    """
+    marked = settle(pieces.withColumn("mark", F.monotonically_increasing_id()))
+    least = whole_bound(marked, capacity)
+    newest = _packed(marked, 0, capacity)
     settled: list[DataFrame] = []
-    for turn in range(1, rounds + 1):
-        loose = (F.col("bins") > F.col("bound")) & (F.col("filled") < capacity)
-        moving = newest.filter(loose)
-        before = moving.agg(F.count_distinct("part").alias("parts"), F.count_distinct("part", "bin").alias("bins")).first()
+    total, turn = _bins(newest), 0
+    while total > least and (rounds is None or turn < rounds):
+        turn += 1
+        emptiest = newest.groupBy("turn", "part").agg(F.min("filled").alias("emptiest"))
+        gaps = newest.join(emptiest, ["turn", "part"])
+        open_one = (F.col("filled") == F.col("emptiest")) | (F.col("filled") < (1 - FREE_SHARE) * capacity)
+        loose = (F.col("filled") < capacity) & ((F.col("bins") > F.col("bound")) | open_one)
+        gaps = settle(gaps.withColumn("loose", loose).drop("emptiest"))
+        moving = gaps.filter("loose").drop("loose")
+        before = moving.groupBy("turn", "part").agg(F.count_distinct("bin").alias("bins"))
+        before = before.agg(F.count(F.lit(1)).alias("parts"), F.sum("bins").alias("bins")).first()
         if before["parts"] < 2:
             break
         again = _packed(moving, turn, capacity)
-        if again.agg(F.count_distinct("part", "bin").alias("bins")).first()["bins"] >= before["bins"]:
+        saved = before["bins"] - _bins(again)
+        if saved <= 0:
             break
-        settled.append(newest.filter(~loose))
-        newest = again
+        settled.append(gaps.filter("NOT loose").drop("loose"))
+        newest, total = again, total - saved
     out = newest
     for df in settled:
         out = out.unionByName(df)
-    sequence = F.shiftleft("turn", 52).bitwiseOR(F.shiftleft("part", 20)).bitwiseOR(F.col("bin"))
-    return out.select("doc_id", "piece", "start", "length", "ids_crc32", sequence.alias("sequence_id"), "offset")
+    # bins of all parts in one row of numbers; some stay unused, where a bin was handed over
+    parts = settle(out.groupBy("turn", "part").agg(F.max("bin").alias("last")))
+    before = W.orderBy("turn", "part").rowsBetween(W.unboundedPreceding, -1)
+    first = parts.select("turn", "part", F.coalesce(F.sum(F.col("last") + 1).over(before), F.lit(0)).alias("first"))
+    return out.join(first, ["turn", "part"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first") + F.col("bin")).alias("sequence_id"), "offset")
 
 
 def pack_documents(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", capacity: int = CAPACITY) -> DataFrame:
@@ -195,4 +234,4 @@ def pack_documents(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", capac
     token alone. A null doc_id and repeated rows are packed like any other row. An empty
     table gives an empty result.
     """
-    return pack(settle(cut_pieces(docs, vocabulary, capacity)), capacity)
+    return pack(cut_pieces(docs, vocabulary, capacity), capacity)

@@ -162,12 +162,13 @@ def near_duplicate_vectors(embeddings: DataFrame, cosine: float = COSINE) -> Dat
     takes_part = usable("vec_id", "vector") & F.col("label").isNotNull() & F.coalesce(F.exists("vector", lambda x: x != 0), F.lit(False))
     # -0.0 + 0.0 is 0.0: equal vectors get equal bytes
     active = base.filter(takes_part).withColumn("vector", F.transform("vector", lambda x: x + F.lit(0.0)))
-    classes = active.groupBy("label", "vector").agg(F.min("vec_id").alias("key"), F.count(F.lit(1)).alias("copies"))
-    classes = settle(classes.withColumn("width", F.size("vector")))
+    classes = active.groupBy("label", "vector").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies"))
+    # a class has a number of its own, because one vec_id may stand for several vectors
+    classes = settle(classes.withColumns({"width": F.size("vector"), "key": F.monotonically_increasing_id()}))
     books: dict[int, Codebook] = {}
     sizes = {r["width"]: r["n"] for r in classes.groupBy("width").agg(F.count(F.lit(1)).alias("n")).collect()}
     for width, n in sizes.items():
-        sample = classes.filter(F.col("width") == width).orderBy(F.xxhash64("key"), "key").select("vector").limit(SAMPLE)
+        sample = classes.filter(F.col("width") == width).orderBy(F.xxhash64("least"), "least", "vector").select("vector").limit(SAMPLE)
         books[width] = Codebook(_unit(matrix(sample.toPandas()["vector"])), int(np.clip(n // (4 * BLOCK_ROWS), 1, SAMPLE // 32)))
     if not books:
         return base.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
@@ -192,9 +193,25 @@ def near_duplicate_vectors(embeddings: DataFrame, cosine: float = COSINE) -> Dat
     found = settle(both.groupBy(*place, "list_block", "query_block").applyInPandas(_compare(books, radius, cosine), "key long, links long, other long"))
     counts = found.groupBy("key").agg(F.sum("links").alias("links"))
     labels = connected_components(found.filter("key <> other").select(F.col("key").alias("source"), F.col("other").alias("target")))
-    named = classes.select("label", "vector", "key", "copies").join(counts, "key", "left").join(labels.select(F.col("node").alias("key"), "component"), "key", "left")
-    named = named.select("label", "vector", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "key").alias("component"))
+    named = classes.select("label", "vector", "key", "least", "copies").join(counts, "key", "left").join(labels.select(F.col("node").alias("key"), "component"), "key", "left")
+    named = named.withColumn("component", F.coalesce("component", "key"))
+    # ids come in at the end: a component takes the smallest one of its classes
+    smallest = named.groupBy("component").agg(F.min("least").alias("smallest"))
+    named = named.join(smallest, "component").select("label", "vector", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("smallest").alias("component"))
     members = active.select("label", "vector", "vec_id").join(named, ["label", "vector"]).select("vec_id", "n_links", "component")
     idle = base.filter(~takes_part).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component"))
     out = members.unionByName(idle)
     return out.select("vec_id", "n_links", F.col("component").alias("component_id"), F.col("component").eqNullSafe(F.col("vec_id")).alias("kept"))
+
+
+#: The same by comparing all pairs of a label.
+ORACLE = """
+WITH RECURSIVE raw AS (SELECT row_number() OVER () AS r, vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
+active AS MATERIALIZED (SELECT r, vec_id, label, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS norm FROM raw
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND v IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+links AS MATERIALIZED (SELECT a.r AS a, b.r AS b FROM active a JOIN active b ON a.label = b.label AND a.r <> b.r AND len(a.v) = len(b.v)
+  WHERE list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2])) / (a.norm * b.norm) >= 0.98),
+reach AS (SELECT r AS a, r AS b FROM raw UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
+least AS (SELECT reach.a AS r, min(raw.vec_id) AS component_id FROM reach JOIN raw ON raw.r = reach.b GROUP BY reach.a)
+SELECT raw.vec_id, (SELECT count(*) FROM links WHERE links.a = raw.r) AS n_links, least.component_id, least.component_id IS NOT DISTINCT FROM raw.vec_id AS kept FROM raw JOIN least USING (r)
+"""

@@ -17,16 +17,18 @@ from attestra.llm.lm import score_texts
 from attestra.llm.merkle import ORACLE as MERKLE_ORACLE
 from attestra.llm.merkle import manifest
 from attestra.llm.minhash import near_duplicates
-from attestra.llm.mixing import mix_sources
+from attestra.llm.mixing import mix_sources, words
 from attestra.llm.packing import pack_documents
+from attestra.llm.pq import ORACLE as VECTOR_ORACLE
 from attestra.llm.pq import near_duplicate_vectors
 from attestra.llm.secrets import scan_secrets
 from attestra.llm.suffixes import repeated_passages
+from attestra.llm.topk import ORACLE as TOP_K_ORACLE
 from attestra.llm.topk import embedding_top_k
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
-ORACLES: dict[str, str] = {"op11_lexical_search": LEXICAL_ORACLE, "op13_merkle_manifest": MERKLE_ORACLE}
+ORACLES: dict[str, str] = {"op4_exact_top_k": TOP_K_ORACLE, "op8_pq_near_dedup": VECTOR_ORACLE, "op11_lexical_search": LEXICAL_ORACLE, "op13_merkle_manifest": MERKLE_ORACLE}
 
 
 def _register(fn: QueryFn) -> QueryFn:
@@ -42,7 +44,8 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    sized = table(spark, sf_dir, "documents").select("doc_id", "source", words(F.col("text")).alias("n_words"))
+    mixed = mix_sources(sized, size=F.col("n_words"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "rate", "copies")
 
 

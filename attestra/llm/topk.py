@@ -79,17 +79,18 @@ def _search_block(k: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         asking = group["asks"].to_numpy()
         width = int(group["vector"].map(len).max())
-        row_ids, rows = group["vec_id"].to_numpy()[~asking], matrix(group["vector"][~asking], width)
-        query_ids, queries = group["vec_id"].to_numpy()[asking], matrix(group["vector"][asking], width)
+        ids, marks = group["vec_id"].to_numpy(), group["mark"].to_numpy()
+        row_ids, rows = ids[~asking], matrix(group["vector"][~asking], width)
+        query_ids, queries = ids[asking], matrix(group["vector"][asking], width)
         out = []
         if len(row_ids) and len(query_ids):
-            place = {v: i for i, v in enumerate(row_ids)}
-            barred = np.array([place.get(q, -1) for q in query_ids])
+            place = {m: i for i, m in enumerate(marks[~asking])}
+            barred = np.array([place.get(m, -1) for m in marks[asking]])
             for q, near in enumerate(search(SortedLists(rows), queries, barred, k)):
                 score = rows[near] @ queries[q]
                 best = np.lexsort((row_ids[near], -score))[:k]
-                out.append(pd.DataFrame({"query_id": query_ids[q], "vec_id": row_ids[near][best], "score": score[best].astype(np.int64)}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
+                out.append(pd.DataFrame({"mark": marks[asking][q], "query_id": query_ids[q], "vec_id": row_ids[near][best], "score": score[best].astype(np.int64)}))
+        return pd.concat(out) if out else pd.DataFrame({"mark": [], "query_id": [], "vec_id": [], "score": []}).astype("int64")
 
     return run
 
@@ -97,8 +98,9 @@ def _search_block(k: int):
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score: the k rows of highest inner product, ties to the smaller id.
 
-    ``vectors`` and ``queries``: vec_id, vector (array of integers as doubles; sums must
-    stay below 2^53). A query never returns the row of its own id. Shorter vectors count
+    ``vectors`` and ``queries``: mark, vec_id, vector (array of integers as doubles; sums
+    must stay below 2^53). The mark tells rows apart, as several may have one id: a query
+    returns any row but that of its own mark. Shorter vectors count
     as ending in zeros. Each shard meets each block of queries, so a queries table of a
     fixed share of the rows costs work in proportion to their product, as the question
     does. Nothing is broadcast.
@@ -106,10 +108,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     shards = max(1, -(-vectors.count() // SHARD_ROWS))
     blocks = max(1, -(-queries.count() // QUERY_ROWS))
     deal = F.array(*[F.lit(b) for b in range(blocks)]) if blocks <= 64 else F.sequence(F.lit(0), F.lit(blocks - 1))
-    rows = vectors.select("vec_id", "vector", F.lit(False).alias("asks"), bucket(F.col("vec_id"), 1, F.lit(shards)).alias("shard"), F.explode(deal).alias("block"))
-    asks = queries.select("vec_id", "vector", F.lit(True).alias("asks"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), bucket(F.col("vec_id"), 2, F.lit(blocks)).alias("block"))
-    found = rows.unionByName(asks).groupBy("shard", "block").applyInPandas(_search_block(k), "query_id long, vec_id long, score long")
-    best = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    rows = vectors.select("mark", "vec_id", "vector", F.lit(False).alias("asks"), bucket(F.col("mark"), 1, F.lit(shards)).alias("shard"), F.explode(deal).alias("block"))
+    asks = queries.select("mark", "vec_id", "vector", F.lit(True).alias("asks"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), bucket(F.col("mark"), 2, F.lit(blocks)).alias("block"))
+    found = rows.unionByName(asks).groupBy("shard", "block").applyInPandas(_search_block(k), "mark long, query_id long, vec_id long, score long")
+    best = W.partitionBy("mark").orderBy(F.col("score").desc(), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(best).cast("int")).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 
@@ -118,11 +120,22 @@ def embedding_top_k(embeddings: DataFrame, k: int = 5, scale: int = 256, every:
     """Top k of every query row (vec_id divisible by ``every``) among all other rows.
 
     Components become floor(scale * x). Rows without id, and vectors that are null,
-    empty or hold null or non-finite components, take no part. Of several rows with one
-    vec_id the smallest vector counts. Other columns are ignored; an empty table gives
-    an empty result; with fewer than k other rows all are returned.
+    empty or hold null or non-finite components, take no part. Several rows of one vec_id
+    are rows each: all are candidates, also for each other, and each that asks has its own
+    answer. Other columns are ignored; an empty table gives an empty result; with fewer
+    than k other rows all are returned.
     """
     whole = as_doubles(embeddings, "vec_id", "embedding").filter(usable("vec_id", "vector"))
     whole = whole.select("vec_id", F.transform("vector", lambda x: F.floor(x * scale).cast("double")).alias("vector"))
-    whole = settle(whole.groupBy("vec_id").agg(F.min("vector").alias("vector")))
+    whole = settle(whole.withColumn("mark", F.monotonically_increasing_id()))
     return top_k(whole, whole.filter(F.col("vec_id") % every == 0), k)
+
+
+#: The same by all products.
+ORACLE = """
+WITH whole AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2]))::BIGINT AS score FROM whole q JOIN whole c ON q.r <> c.r WHERE q.vec_id % 50 = 0),
+ranked AS (SELECT query_id, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""

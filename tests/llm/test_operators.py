@@ -254,7 +254,6 @@ def test_packing(docs, empty):
 
 def test_exchange_saves_sequences(spark, monkeypatch):
     monkeypatch.setattr(packing, "PART_PIECES", 50)
-    monkeypatch.setattr(packing, "ROUNDS", 3)
     rows = [(i, 0, 0, int(n), 0) for i, n in enumerate(np.random.default_rng(3).integers(300, 900, 400))]
     pieces = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long")
     alone = check_packing(packing.pack(pieces, rounds=0).collect())
@@ -388,12 +387,13 @@ def test_top_k(vectors, monkeypatch):
     monkeypatch.setattr(topk, "SHARD_ROWS", 60)
     monkeypatch.setattr(topk, "QUERY_ROWS", 2)
     rows, df = vectors
-    ints = {i: [math.floor(256 * x) for x in v] for i, v, _ in rows if i is not None and usable(v)}
-    want = {}
-    for q in (i for i in ints if i % 50 == 0):
-        scored = sorted((-sum(a * b for a, b in zip(ints[q], v, strict=False)), i) for i, v in ints.items() if i != q)
-        want.update({(q, r + 1): (i, -s) for r, (s, i) in enumerate(scored[:5])})
-    assert {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk.embedding_top_k(df).collect()} == want
+    ints = [(i, [math.floor(256 * x) for x in v]) for i, v, _ in rows if i is not None and usable(v)]
+    want = Counter()
+    for n, (q, u) in enumerate(ints):
+        if q % 50 == 0:
+            scored = sorted((-sum(a * b for a, b in zip(u, v, strict=False)), i) for m, (i, v) in enumerate(ints) if m != n)
+            want.update((q, r + 1, i, -s) for r, (s, i) in enumerate(scored[:5]))
+    assert Counter((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.embedding_top_k(df).collect()) == want
     assert topk.embedding_top_k(df.limit(0)).count() == 0
     few = topk.embedding_top_k(df.filter("vec_id in (0, 1, 2)")).collect()
     assert [r["rank"] for r in few] == [1, 2]
@@ -421,6 +421,88 @@ def test_vector_near_duplicates(vectors, monkeypatch, block):
     assert pq.near_duplicate_vectors(df.limit(0)).count() == 0
 
 
+def test_rows_of_one_id_are_rows_each(spark):
+    """Equal ids with different content, in vectors, texts and pieces."""
+    vectors = spark.createDataFrame([(50, [1.0, 0.0], 0), (5, [1.0, 0.0], 0), (5, [0.0, 1.0], 0), (50, [1.0, 0.0], 0)], VECTORS)
+    got = Counter((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.embedding_top_k(vectors).collect())
+    assert got == Counter([(50, 1, 5, 65536), (50, 2, 50, 65536), (50, 3, 5, 0)] * 2)
+    vectors = spark.createDataFrame([(5, [1.0, 0.0], 0), (5, [0.0, 1.0], 0), (6, [1.0, 0.01], 0)], VECTORS)
+    assert Counter((r.vec_id, r.n_links, r.component_id) for r in pq.near_duplicate_vectors(vectors).collect()) == Counter([(5, 1, 5), (5, 0, 5), (6, 1, 5)])
+
+    a, b = PROSE.split(), "un dos tres cuatro cinco seis siete ocho nueve diez once doce trece catorce quince dieciseis diecisiete".split()
+    near_a, near_b = " ".join([*a, "end"]), " ".join([*b, "fin"])
+    rows = [(5, near_a), (7, " ".join(a)), (7, " ".join(b)), (9, near_b), (9, near_b), (3, "alone among all of these rows")]
+    docs = spark.createDataFrame([(*r, "en", "s0", 0) for r in rows], DOCS)
+    got = Counter((r.doc_id, r.component_id, r.kept) for r in near_duplicates(docs).collect())
+    assert got == Counter([(5, 5, True), (7, 5, False), (7, 7, True), (9, 7, False), (9, 7, False), (3, 3, True)])
+    kept = keep_representatives(docs.withColumn("props", F.create_map(F.lit("k"), F.rand())))
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == sorted([rows[0], rows[2], rows[5]])
+
+
+def test_one_of_several_near_texts_of_one_id_stays(spark):
+    rows = [(7, PROSE), (7, PROSE + " end"), (8, PROSE), (None, PROSE), (4, None), (4, ""), (4, None)]
+    kept = keep_representatives(spark.createDataFrame([(*r, "en", "s0", 0) for r in rows], DOCS)).collect()
+    assert Counter(r.doc_id for r in kept) == Counter([7, None, 4, 4])
+
+
+def test_packing_of_many_rows_without_id(spark, monkeypatch):
+    monkeypatch.setattr(packing, "PART_PIECES", 20_000)
+    pieces = spark.range(200_000).selectExpr("cast(null as long) AS doc_id", "0 AS piece", "0L AS start", "CASE WHEN id % 100 = 0 THEN 40L ELSE 2000L END AS length", "0L AS ids_crc32")
+    packed = packing.pack(pieces)
+    filled = packed.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.count_distinct("offset").alias("offsets"), F.count("*").alias("rows"))
+    assert filled.filter("n > 2048 OR offsets <> rows").isEmpty()
+    assert filled.count() == 198_000 and packed.count() == 200_000
+
+
+def test_exchange_goes_on_until_nothing_is_saved(spark, monkeypatch):
+    """Forty partitions that each meet their own bound, but not all together."""
+    monkeypatch.setattr(packing, "PART_PIECES", 25)
+    lengths = np.random.default_rng(8).integers(20, 700, 1000)
+    pieces = spark.createDataFrame([(i, 0, 0, int(n), 0) for i, n in enumerate(lengths)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    alone = check_packing(packing.pack(pieces, rounds=0).collect())
+    bins = check_packing(packing.pack(pieces).collect())
+    least = packing.lower_bound(lengths, 2048)
+    assert least <= bins < alone and bins <= 1.02 * least
+
+
+def test_mixing_gives_copies_row_by_row(spark):
+    """A third of all rows agree in id, source and size; their words still come near the target."""
+    rows = [(None, "a " * 10, "en", "s0", 0)] * 2000 + [(i, "b " * (1 + i % 30), "en", f"s{i % 3}", 0) for i in range(4000)]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = mixing.mix_sources(docs).collect()
+    assert len(got) == len(rows)
+    for source in ("s0", "s1", "s2"):
+        mine = [r for r in got if r.source == source]
+        assert abs(sum(r.copies * r.size for r in mine) - mine[0].target) <= 30
+        assert max(r.copies for r in mine) <= 2
+    again = mixing.mix_sources(docs.repartition(7)).collect()
+    assert Counter((r.doc_id, r.source, r.size, r.copies) for r in got) == Counter((r.doc_id, r.source, r.size, r.copies) for r in again)
+
+
+def test_letters_are_told_by_one_test(spark):
+    texts = ["½ ²", "Ⅷ", "_ 1", "ª", "é", "中", "\u0301", ""]
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts)] + [(100 + i, f"the house number {i} of the street", "en", "s", 0) for i in range(20)] + [(200 + i, f"la casa numero {i} de la calle", "es", "s", 0) for i in range(20)]
+    got = {r.doc_id: r.lang_pred for r in langid.identify(spark.createDataFrame(rows, DOCS)).collect()}
+    assert [got[i] == "und" for i in range(len(texts))] == [True, True, True, False, False, False, True, True]
+
+
+def test_language_stage_fills_and_rejects(spark):
+    rows = [(100 + i, f"the house number {i} of the street", "en", "s", 0) for i in range(40)] + [(200 + i, f"la casa numero {i} de la calle", "es", "s", 0) for i in range(40)]
+    rows += [(1, "the other street of the house", None, "s", 0), (2, "la otra casa de la calle", None, "s", 0), (3, "12 34", None, "s", 0), (4, None, "en", "s", 0)]
+    docs = spark.createDataFrame(rows, DOCS)
+    told = {r.doc_id: r.lang for r in langid.identified(docs).collect()}
+    assert told[1] == "en" and told[2] == "es" and not {3, 4} & set(told) and len(told) == 82
+    assert set(r.doc_id // 100 for r in langid.identified(docs, wanted=["es"]).filter("doc_id >= 100").collect()) == {2}
+    assert langid.identified(docs.limit(0)).count() == 0
+
+
+def test_pipeline_of_an_empty_table(spark, empty):
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, empty, SF)
+        assert after.columns == empty.columns and after.count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, empty, SF).count() == 0
+
+
 def test_pipeline(spark, docs):
     kept = docs
     for _, stage in corpus_pipeline.STAGES[:-1]:
