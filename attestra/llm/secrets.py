@@ -138,8 +138,9 @@ def scan_secrets(docs: DataFrame, findings: DataFrame | None = None, sample: int
 
     ``docs``: doc_id, text, source; other columns are ignored. ``findings``: mark, start,
     candidate, label (1.0 secret, 0.0 not) for some candidates; by default those that
-    their format gives away, which then keep that label as score. The forest is fitted on at most ``sample`` of them; the
-    rates of paths and neighbours come from one half, the trees from the other. A null
+    their format gives away. The forest is fitted on at most ``sample`` of them and scores
+    every candidate, labelled or not; what it learns of paths and neighbours of a finding
+    comes from the half that the finding is not in. A null
     or empty text has no candidates; a null source is unknown to the rates. Repeated rows
     give repeated findings. If findings of one kind only are known, there is no forest: a
     candidate's score is its own label, else 1 or 0 by its format, else 1 for a value that
@@ -152,7 +153,7 @@ def scan_secrets(docs: DataFrame, findings: DataFrame | None = None, sample: int
     lesson = found.groupBy("mark", "start", "candidate").agg(*[F.min(c).alias(c) for c in _RATES], F.max("assigned").alias("assigned")).join(label, ["mark", "start", "candidate"])
     order = F.xxhash64("mark", "start")
     taught = lesson.withColumn("order", order).orderBy("order", "mark", "start", "candidate").limit(sample)
-    # both kinds are halved, so the trees see each kind that there is; a single finding of a kind goes to them
+    # both kinds are halved
     place = F.row_number().over(W.partitionBy("label").orderBy("order", "mark", "start", "candidate"))
     taught = settle(taught.withColumn("half", F.pmod(place, F.lit(2))))
     first_half = F.col("half") == 0
@@ -164,23 +165,44 @@ def scan_secrets(docs: DataFrame, findings: DataFrame | None = None, sample: int
         return found.join(label, ["mark", "start", "candidate"], "left").select(*keep, alone.alias("score"), (alone >= 0.5).alias("is_secret"))
     covered = settle(_coverage(found))
 
-    def described(rows: DataFrame) -> DataFrame:
+    def described(rows: DataFrame, rates_of: DataFrame) -> DataFrame:
         wide = rows.join(covered, "candidate", "left").withColumn("covered", F.coalesce("covered", F.lit(0.0)))
-        return _with_rates(wide.select("*", *_shape(F.col("candidate"))), taught.filter(first_half))
+        return _with_rates(wide.select("*", *_shape(F.col("candidate"))), rates_of)
 
     assembler = VectorAssembler(inputCols=FEATURES, outputCol="features")
-    lessons = settle(described(taught.filter(~first_half)).orderBy("order", "candidate"))
+    # a lesson's rates come from the other half, so none of them knows its own answer
+    halves = described(taught.filter(first_half), taught.filter(~first_half)).unionByName(described(taught.filter(~first_half), taught.filter(first_half)))
+    lessons = settle(halves.orderBy("order", "candidate"))
     forest = RandomForestClassifier(labelCol="label", featuresCol="features", numTrees=TREES, maxDepth=DEPTH, seed=SEED)
     model = forest.fit(assembler.transform(lessons).select("label", "features").coalesce(1))
-    scored = model.transform(assembler.transform(described(found)))
+    scored = model.transform(assembler.transform(described(found, taught)))
     score = F.get(vector_to_array("probability"), F.lit(1))
-    if findings is None:  # what the format gives away needs no guess
-        score = F.coalesce(_by_format(), score)
     return scored.select(*keep, score.alias("score"), (score >= 0.5).alias("is_secret"))
 
 
+def held_out_quality(docs: DataFrame, findings: DataFrame | None = None) -> tuple[float, float, int]:
+    """Precision and recall on labelled findings that the forest never saw, and their number.
+
+    The texts are halved by their hash; the forest learns from the findings of one half
+    and is asked about those of the other.
+    """
+    labels = settle(label_by_format(candidates(docs)) if findings is None else findings)
+    labels = labels.groupBy("mark", "start", "candidate").agg(F.max("label").alias("label"))
+    seen = F.pmod(F.xxhash64("mark"), F.lit(2)) == 0
+    scanned = scan_secrets(docs, labels.filter(seen)).groupBy("mark", "start", "candidate").agg(F.max("score").alias("score"))
+    asked = scanned.join(labels.filter(~seen), ["mark", "start", "candidate"])
+    yes, true = F.col("score") >= 0.5, F.col("label") >= 0.5
+    n = asked.agg(F.count_if(yes & true).alias("hit"), F.count_if(yes).alias("said"), F.count_if(true).alias("real"), F.count(F.lit(1)).alias("n")).first()
+    return n.hit / max(1, n.said), n.hit / max(1, n.real), n.n
+
+
 def redact(docs: DataFrame, scanned: DataFrame) -> DataFrame:
-    """``docs`` with every found secret replaced in the text and n_chars, if there is one, counted anew."""
+    """``docs`` with every found secret replaced in the text and n_chars, if there is one, counted anew.
+
+    A found string is replaced wherever it stands in its text, also inside a longer word.
+    Null and empty texts and rows without a secret stay as they are, and so do columns of
+    other names; repeated rows are treated alike; an empty table gives an empty result.
+    """
     secrets = scanned.filter("is_secret").select("mark", F.struct((-F.length("candidate")).alias("order"), "candidate").alias("hit"))
     lists = secrets.groupBy("mark").agg(F.sort_array(F.collect_set("hit")).alias("secrets"))
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64("text").alias("mark")).join(lists, "mark", "left")

@@ -311,6 +311,36 @@ def test_secrets_without_a_digit_and_assigned_values(spark, docs):
     assert {r.n for r in secrets.candidates(long).select(F.length("candidate").alias("n")).collect()} == {239_999, 200_000}
 
 
+def test_forest_decides_every_candidate(spark):
+    """Findings with labels against their format: the answers follow the labels, not the format."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = secrets.candidates(docs)
+    upside_down = secrets.label_by_format(found).withColumn("label", 1 - F.col("label"))
+    taught = secrets.scan_secrets(docs, upside_down)
+    plain = secrets.scan_secrets(docs)
+    at = ["mark", "start", "candidate"]
+    both = plain.select(*at, "is_secret").distinct().join(taught.select(*at, F.col("is_secret").alias("turned")).distinct(), at).collect()
+    assert len(both) > 40 and all(r.is_secret != r.turned for r in both)
+
+
+def test_held_out_findings(spark):
+    precision, recall, n = secrets.held_out_quality(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
+    assert n > 200 and precision >= 0.95 and recall >= 0.95
+
+
+def test_candidates_against_python(spark, docs):
+    """Places and neighbours of all runs, found by another engine."""
+    import regex
+
+    wanted = Counter()
+    for d, text, *_ in odd_documents():
+        for m in regex.finditer(secrets.CANDIDATE, text or ""):
+            if len(m[0]) >= secrets.SHORTEST:
+                wanted[d, m.start(), m[0]] += 1
+    got = Counter((r.doc_id, r.start, r.candidate) for r in secrets.candidates(docs).select("doc_id", "start", "candidate").collect())
+    assert got == wanted and len(got) > 30
+
+
 def test_secrets_of_one_kind_only(spark):
     def told(texts, findings=None):
         rows = [(i, t, "en", "s0", len(t)) for i, t in enumerate(texts)]
