@@ -1,7 +1,9 @@
 """Corpus pipeline: language, near-duplicates, secrets, source mix, packed sequences.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all
-but the last return the columns of documents.
+but the last return the columns of documents, in their order and with any further columns
+whatever they are called. Repeated rows and rows without id pass through like others unless
+a stage says otherwise. An empty table stays empty through all stages.
 """
 
 from __future__ import annotations
@@ -17,27 +19,35 @@ from attestra.llm.secrets import redact, scan_secrets
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents of which no language can be told: null text, or no letter in it."""
+    """Rejects documents of which no language can be told (null or empty text, or no letter in it).
+
+    Where lang is null it becomes the predicted language. A table without labelled texts
+    keeps its other documents, unlabelled.
+    """
     return identified(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, the one of the smallest id."""
+    """One document of each near-duplicate group stays, the one of the smallest id.
+
+    Texts without a word, and rows without id, are linked with nothing; of rows that agree
+    in id and text one stays.
+    """
     return keep_representatives(docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are blacked out; every document stays."""
+    """Secrets are blacked out and n_chars of their texts counted anew; every document stays, also without text."""
     return redact(docs, scan_secrets(docs))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix reads them."""
+    """Documents as often as the mix reads them: not at all, once or twice. Null sources are one source; null texts have no words and go."""
     return mixed_documents(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences of the mix."""
+    """Token sequences of the mix; a null or empty text is its end token alone."""
     return pack_documents(docs)
 
 
