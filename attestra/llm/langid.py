@@ -36,8 +36,8 @@ RIDGE = 0.1
 UNKNOWN = "und"
 #: What a letter is, for training, predicting and rejecting alike.
 LETTER = r"\p{L}"
-#: Parts in which the texts of one language are looked through before the best of all are taken.
-SPREAD = 64
+#: Parts in which the texts of one language are looked through, level by level, before the first of all are taken.
+SPREAD = (256, 16)
 _BITS = 20
 _PRIMES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
@@ -136,16 +136,17 @@ def fit(texts: list[str], langs: list[str], landmarks: np.ndarray, ridge: float
 def _first(usable: DataFrame, order: list[str], per_lang: int) -> DataFrame:
     """lang, text, _place: the first ``per_lang`` rows of each language in this order.
 
-    Two levels: each of ``SPREAD`` parts of a language sends its first rows, then the first
-    of these are taken, so a language that most rows have is no task of its own. Texts
-    are not sorted; those of the rows that are taken come in at the end, by id and hash.
-    Rows that agree in both count once.
+    Level by level: each part of a language hands on its first rows, then fewer parts do,
+    then the first of these are taken, so a language that most rows have is no task of its
+    own. Texts are not sorted; those of the rows that are taken come in at the end, by id
+    and hash. Repeated rows take places of their part only.
     """
     names = [*order, "_mark", "doc_id", "_print"]
     rows = usable.withColumns({"_mark": F.xxhash64("doc_id"), "_print": F.xxhash64("text")})
-    light = rows.select("lang", *names, F.pmod(F.hash("doc_id", "_print"), F.lit(SPREAD)).alias("_part"))
-    sent = light.withColumn("_place", F.row_number().over(W.partitionBy("lang", "_part").orderBy(*names))).filter(F.col("_place") <= per_lang)
-    sent = sent.groupBy("lang", *names).agg(F.lit(1).alias("_one"))
+    sent = rows.select("lang", *names)
+    for parts in SPREAD:
+        part = W.partitionBy("lang", F.pmod(F.hash("doc_id", "_print"), F.lit(parts)))
+        sent = sent.withColumn("_rank", F.row_number().over(part.orderBy(*names))).filter(F.col("_rank") <= per_lang).select("lang", *names).distinct()
     taken = sent.withColumn("_place", F.row_number().over(W.partitionBy("lang").orderBy(*names))).filter(F.col("_place") <= per_lang)
     # at most per_lang rows of each language, so their texts are a bounded sample
     taken = taken.select("lang", "doc_id", "_print", "_place")

@@ -134,9 +134,9 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: fl
     light = sized.select("mark", "doc_id", "source", "size", "print")
     sources = settle(balance(targets(source_sizes(light), weights, share, most)))
     taken = copies(light, sources, most)
-    of = sources.select("source", "source_size", "target", "rate")
+    of = sources.select(F.col("source").alias("_of"), "source_size", "target", "rate")
     whole = sized.drop("print").join(taken, "mark").drop("mark")
-    return whole.join(of, whole["source"].eqNullSafe(of["source"])).drop(of["source"])
+    return whole.join(of, F.col("source").eqNullSafe(F.col("_of"))).drop("_of")
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
