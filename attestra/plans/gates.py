@@ -262,7 +262,7 @@ def _(spark, sf):
 @query("Q16_freshness", with_ctes("fresh", """
 , plan AS (SELECT * FROM fresh WHERE current_state IN ('BLOCKED', 'STALE', 'DUE', 'DUE_SOON') AND object_id NOT LIKE '%3')
 SELECT 'BLOCKED_NOT_PLANNED' AS rule, object_id FROM fresh WHERE current_state = 'BLOCKED' AND object_id LIKE '%3' UNION ALL SELECT 'HIGH_OVERDUE', object_id FROM fresh WHERE current_state IN ('DUE', 'STALE') AND materiality = 'HIGH'
-UNION ALL SELECT 'TASK_NO_PROVIDER', 'REV-' || object_id FROM plan WHERE policy_id = 'web-media' UNION ALL SELECT 'TASK_NO_STOP', 'REV-' || object_id FROM plan WHERE object_type = 'source' UNION ALL SELECT 'AS_OF_DIFFERS', '2001-01-20'"""))
+UNION ALL SELECT 'TASK_NO_PROVIDER', 'REV-' || object_id FROM plan WHERE policy_id = 'web-media' UNION ALL SELECT 'TASK_NO_STOP', 'REV-' || object_id FROM plan WHERE object_type = 'source' UNION ALL SELECT 'AS_OF_DIFFERS', '2005-01-20'"""))
 def _(spark, sf):
     fresh = PN.fresh(spark, sf)
     plan = N.revalidation_plan(fresh).filter("object_id NOT LIKE '%3'")
