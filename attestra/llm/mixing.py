@@ -108,7 +108,8 @@ def copies(rows: DataFrame, sources: DataFrame, most: float = MOST) -> DataFrame
     rated = placed.select("of", "mark", "size", "place").join(sources.select(key, "rate", "documents"), "of")
     stratum = F.pmod(F.col("place") - 1, F.ceil(F.col("documents") / STRATUM_ROWS))
     dealt = rated.select("of", "mark", "size", "place", "rate", stratum.alias("stratum"))
-    return dealt.groupBy("of", "stratum").applyInPandas(_round_down_the_sizes(int(most)), "mark long, copies long")
+    # dealt anew, or Spark would keep the join's partitions, of which a source is one
+    return dealt.repartition("of", "stratum").groupBy("of", "stratum").applyInPandas(_round_down_the_sizes(int(most)), "mark long, copies long")
 
 
 def words(text: Column) -> Column:
