@@ -45,6 +45,14 @@ def canonical_number(token: Column) -> Column:
     return F.when((size < 1e21) & (F.rint(value) == value), whole).when((size >= 1e-6) & (size < 1e21), plain).otherwise(short)
 
 
+def parsed_json(text: Column) -> Column:
+    """The variant of JSON text, null for other text; of a repeated key the last value."""
+    session = SparkSession.getActiveSession()
+    if session is not None:
+        session.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    return F.try_parse_json(text)
+
+
 def canonical_json(text: Column) -> Column:
     """JSON text with keys sorted at every level, array order kept, and numbers in one spelling.
 
@@ -52,10 +60,7 @@ def canonical_json(text: Column) -> Column:
     setting that decides this is set on the session, whatever it was before, so
     that hashes do not depend on who started the session.
     """
-    session = SparkSession.getActiveSession()
-    if session is not None:
-        session.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
-    sorted_keys = F.to_json(F.try_parse_json(text))
+    sorted_keys = F.to_json(parsed_json(text))
     tokens = F.regexp_extract_all(sorted_keys, F.lit(_JSON_TOKEN), F.lit(0))
     spelled = F.array_join(F.transform(tokens, lambda t: F.when(t.rlike("^-?[0-9]"), canonical_number(t)).otherwise(t)), "")
     return F.when(sorted_keys.rlike(_JSON_UNEVEN), spelled).otherwise(sorted_keys)

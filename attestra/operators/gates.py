@@ -163,10 +163,17 @@ def investigation(registry: DataFrame, sources: DataFrame, diversity: DataFrame,
         check_rows(verification, g, "id", [("PLAN_VERIF_IMPOSSIBLE", "error", F.col("independent_upstreams") > F.col("source_records"))])])
 
 
-def evidence(claims: DataFrame, inventory: DataFrame, published: DataFrame, files: DataFrame, spans: DataFrame, exports: DataFrame) -> DataFrame:
+def evidence(claims: DataFrame, inventory: DataFrame | None, published: DataFrame | None, files: DataFrame, spans: DataFrame | None, exports: DataFrame) -> DataFrame:
     """``published``: id, sha256, pub_class, download. ``files``: path, sha256.
-    ``spans``: id, verified, exact_text, page, document. ``exports``: id, text."""
+    ``spans``: id, verified, exact_text, page, document. ``exports``: id, text.
+
+    Where the inventory, the published artifacts or the spans were not built
+    (None), that is the only finding. ``outputs.evidence_files`` finds the same
+    from the files of many cases.
+    """
     g = "evidence"
+    if inventory is None or published is None or spans is None:
+        return _as_findings(_one_row(claims, "evidence"), g, "EVIDENCE_MISSING", "_id")
     live = claims.filter("NOT superseded").select(F.col("id").alias("claim_id"))
     gone = claims.filter("superseded")
     shown = inventory.select("claim_id", "category")
@@ -210,12 +217,22 @@ def evidence_build(claims: DataFrame, link_refs: DataFrame, selectors: DataFrame
         artifacts.select(F.lit(g).alias("gate"), F.lit("error").alias("level"), F.col("artifact_id").alias("object_id"), "rule")])
 
 
-def claim_outputs(claims: DataFrame, accounting: DataFrame, shards: DataFrame, narrative: DataFrame, routes: DataFrame) -> DataFrame:
+def unless(blocking: DataFrame, rest: DataFrame) -> DataFrame:
+    """``rest``, or nothing of a gate that has a row in ``blocking``: its deeper rules cannot be asked."""
+    # one row per gate: bounded by the gates that exist
+    return rest.join(F.broadcast(blocking.select("gate").distinct()), "gate", "left_anti").select(*rest.columns)
+
+
+def claim_outputs(claims: DataFrame, accounting: DataFrame, shards: DataFrame, narrative: DataFrame, routes: DataFrame,
+                  listed: DataFrame | None = None, built_pages: DataFrame | None = None, built_json: DataFrame | None = None) -> DataFrame:
     """Published claim tables against the claims they come from.
 
-    ``accounting``: measure, value as published. ``shards``: id, proposition,
+    ``accounting``: measure, value as published; without rows there is no
+    manifest, and its counts are not compared. ``shards``: id, proposition,
     status_explanation, path, independent_upstreams, source_records, body.
-    ``narrative``: document, claim_id. ``routes``: id.
+    ``narrative``: document, claim_id. ``routes``: id. ``listed``: one row per
+    route that the manifest lists. ``built_pages``, ``built_json``: id of what
+    the site build left; None where nothing was built.
     """
     from attestra.operators.overview import claim_accounting
 
@@ -229,11 +246,20 @@ def claim_outputs(claims: DataFrame, accounting: DataFrame, shards: DataFrame, n
     by_status = F.sum(F.when(F.col("measure").startswith("status:"), F.col("value")))
     sums = accounting.agg(value("issued").alias("i"), value("live").alias("l"), value("superseded").alias("s"), by_status.alias("b")).withColumn("id", F.lit("accounting"))
     arithmetic = check_rows(sums, g, "id", [("COUNT_ARITHMETIC", "error", F.col("l") + F.col("s") != F.col("i")), ("COUNT_STATUS_SUM", "error", F.col("b") != F.col("i"))])
+    none = accounting.agg(F.count(F.lit(1)).alias("n")).filter("n = 0").withColumn("id", F.lit("manifest"))
+    missing = _as_findings(none, g, "NO_MANIFEST", "id")
+    if listed is not None:
+        sizes = union_all([df.agg(F.lit(name).alias("side"), F.count(F.lit(1)).alias("n")) for name, df in (("told", listed), ("true", claims))])
+        both = sizes.agg(F.min("n").alias("least"), F.max("n").alias("most")).filter("least <> most").withColumn("id", F.lit("routes"))
+        counts = counts.unionByName(_as_findings(both, g, "COUNT_ROUTES", "id"))
     slug = F.lower("id")
     body = F.col("body")
     shard = shards.join(claims.select("id", "text"), "id", "left")
+    built = [] if built_pages is None else [check_present(claims.select("id"), g, "NO_ROUTE_HTML", "id", built_pages, "id")]
+    if built_pages is not None and built_json is not None:
+        built.append(check_present(claims.select("id"), g, "NO_JSON_PUB", "id", built_json, "id"))
     return union_all([
-        counts, arithmetic, check_present(claims.select("id"), g, "NO_JSON", "id", shards, "id"), check_present(claims.select("id"), g, "NO_PAGE", "id", routes, "id"),
+        missing, unless(missing, counts), *built, arithmetic, check_present(claims.select("id"), g, "NO_JSON", "id", shards, "id"), check_present(claims.select("id"), g, "NO_PAGE", "id", routes, "id"),
         check_refs(claims, g, "DANGLING_SUCCESSOR", "id", "supersededBy", claims),
         check_rows(claims.filter("superseded"), g, "id", [("SUPERSEDED_NO_SUCCESSOR", "error", _empty("supersededBy")), ("SUPERSEDED_NO_REASON", "error", _blank("supersededReason"))]),
         check_rows(shard, g, "id", [
@@ -312,17 +338,31 @@ def snapshots(objects: DataFrame, manifests: DataFrame, index: DataFrame, mirror
         _as_findings(pointer, g, "CURRENT_POINTER", "snapshot_id"), _as_findings(drift, g, "CANONICAL_DRIFT", "snapshot_id")])
 
 
-def changes(records: DataFrame, diffs: DataFrame, summary: DataFrame, objects: DataFrame, current_snapshot: DataFrame, routes: DataFrame) -> DataFrame:
+def snapshot_pages(index: DataFrame, pages: DataFrame) -> DataFrame:
+    """Every snapshot of the index has a page; both sides hold snapshot_id."""
+    return check_present(index.select("snapshot_id"), "changes", "SNAPSHOT_PAGE_MISSING", "snapshot_id", pages, "snapshot_id")
+
+
+def changes(records: DataFrame, diffs: DataFrame, summary: DataFrame, objects: DataFrame, current_snapshot: DataFrame, routes: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     """Published change records against a fresh diff of the snapshots.
 
     ``records``: change rows with change_id. ``diffs``: result of
     ``diff_chain``. ``summary``: published ``reconciliation`` rows. ``routes``:
-    change_id of published pages.
+    change_id of published pages. ``stored``: snapshot_id of the snapshots that
+    can be read; a published pair with another one is a finding, and nothing
+    else about that pair is compared.
     """
     from attestra.operators.changes import reconciliation
 
     g = "changes"
     c = F.col
+    lost, every = [], records
+    if stored is not None:
+        pair = summary.select("from_snapshot_id", "to_snapshot_id").distinct()
+        torn = union_all([pair.join(stored.select(c("snapshot_id").alias(side)), side, "left_anti") for side in pair.columns]).distinct()
+        lost = [_as_findings(torn.withColumn("_id", F.concat_ws("..", "from_snapshot_id", "to_snapshot_id")), g, "PAIR_MISSING_SNAPSHOT", "_id")]
+        gone = torn.select("from_snapshot_id", "to_snapshot_id")
+        records, diffs, summary = (df.join(gone, gone.columns, "left_anti") for df in (records, diffs, summary))
     key = lambda df: df.select(F.concat_ws(":", "to_snapshot_id", "change_kind", "object_type", "object_id").alias("key"))
     truth = reconciliation(diffs).drop("to_identity", "from_identity", "from_snapshot_id")
     names = [n for n in truth.columns if n != "to_snapshot_id"]
@@ -337,12 +377,12 @@ def changes(records: DataFrame, diffs: DataFrame, summary: DataFrame, objects: D
     new = records.filter("new_revision_id IS NOT NULL").select("change_id", c("to_snapshot_id").alias("snapshot_id"), "object_type", "object_id", c("new_revision_id").alias("revision_id"))
     on = ["snapshot_id", "object_type", "object_id", "revision_id"]
     answers = objects.filter("object_type = 'resolved_question'").select(c("snapshot_id").alias("to_snapshot_id"), c("object_id").alias("resolved_by"))
-    routed = records.join(routes.select("change_id", F.lit(True).alias("_page")), "change_id", "left")
+    routed = every.join(routes.select("change_id", F.lit(True).alias("_page")), "change_id", "left")
     material = materiality_rank(c("materiality")) <= materiality_rank(F.lit("MEDIUM"))
     page = F.coalesce("_page", F.lit(False))
-    stale = current_snapshot.join(records.agg(F.max(F.struct(F.length("to_snapshot_id"), "to_snapshot_id"))["to_snapshot_id"].alias("_last")), c("_last").isNotNull()).filter("snapshot_id <> _last")
+    stale = current_snapshot.join(every.agg(F.max(F.struct(F.length("to_snapshot_id"), "to_snapshot_id"))["to_snapshot_id"].alias("_last")), c("_last").isNotNull()).filter("snapshot_id <> _last")
     return union_all([
-        _as_findings(stale, g, "MANIFEST_NOT_CURRENT", "snapshot_id"), check_unique(records, g, "DUPLICATE_ID", ["change_id"]),
+        *lost, _as_findings(stale, g, "MANIFEST_NOT_CURRENT", "snapshot_id"), check_unique(every, g, "DUPLICATE_ID", ["change_id"]),
         check_rows(compared, g, "to_snapshot_id", [
             ("RECONCILIATION_DRIFT", "error", any_off), ("TO_IDENTITY", "error", kept + c("objects_added") != c("to_object_count")), ("FROM_IDENTITY", "error", kept + c("objects_removed") != c("from_object_count"))]),
         reconcile_sets(key(diffs.filter("change_kind <> 'unchanged'")), key(records), g),

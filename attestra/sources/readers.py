@@ -66,6 +66,19 @@ def read_pages(spark: SparkSession, path: str, site: str) -> DataFrame:
     return files.select(F.lit(site).alias("site"), relative.alias("path"), F.col("value").alias("html"))
 
 
+def read_outputs(spark: SparkSession, path: str) -> DataFrame:
+    """(tree, name, body) of published JSON files ``path/tree/name.json``."""
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(path, wholetext=True)
+    rows = files.select(F.split("_metadata.file_path", "/").alias("p"), F.col("value").alias("body"))
+    return rows.select(F.element_at("p", -2).alias("tree"), F.regexp_replace(F.element_at("p", -1), "\\.json$", "").alias("name"), "body")
+
+
+def read_routes(spark: SparkSession, path: str) -> DataFrame:
+    """id of every page that a site build left as ``path/id/index.html``; only names are read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "index.html").load(path)
+    return files.select(F.element_at(F.split("path", "/"), -2).alias("id"))
+
+
 OBSERVATION_SCHEMA = "provider STRING, target STRING, status STRING, fields MAP<STRING,STRING>"
 
 
