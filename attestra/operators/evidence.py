@@ -200,6 +200,21 @@ def evidence_items(inventory: DataFrame, links: DataFrame) -> DataFrame:
     return inventory.join(own, "claim_id", "left")
 
 
+def evidence_item_rows(inventory: DataFrame, links: DataFrame) -> DataFrame:
+    """The same as rows: one per link of a claim, one without link for a claim that has none.
+
+    For claims with any number of links: nothing is collected per claim, and the
+    larger side stays where a skew join puts it.
+    """
+    return inventory.join(links.select("claim_id", "link_no", "source_id", "span_id", "web_span_id", "artifact_id"), "claim_id", "left")
+
+
+def evidence_item(inventory: DataFrame, links: DataFrame, claim_id: str) -> DataFrame:
+    """The nested record of one claim that is opened."""
+    own = F.col("claim_id") == claim_id
+    return evidence_items(inventory.filter(own), links.filter(own))
+
+
 def provider_state(runs: DataFrame) -> DataFrame:
     """Per source: attempts and the state decided by the most recent one."""
     ok = F.col("outcome") == "ok"

@@ -177,6 +177,19 @@ def _(spark, sf):
     return r.select("claim_id", "category", F.coalesce(joined(F.array_sort(ids)), F.lit("")).alias("links"))
 
 
+@query("E21_evidence_rows", with_ctes("inventory resolved", f"""
+, l AS (SELECT claim_id, id FROM resolved WHERE resolved AND space <> 'claim' AND space <> 'selector')
+SELECT i.claim_id, {CATEGORY} AS category, l.id AS ref, count(*) AS n FROM inventory i LEFT JOIN l USING (claim_id) GROUP BY ALL"""))
+def _(spark, sf):
+    r = E.evidence_item_rows(inventory(spark, sf), inventory_links(spark, sf))
+    ids = F.array_compact(F.array("source_id", "span_id", "web_span_id", "artifact_id"))
+    refs = r.select("claim_id", "category", F.explode_outer(ids).alias("ref"))
+    # a link without resolved parts is no reference; a claim without references keeps one row
+    known = refs.filter("ref IS NOT NULL").groupBy("claim_id", "category", "ref").agg(F.count(F.lit(1)).alias("n"))
+    bare = r.select("claim_id", "category").distinct().join(known.select("claim_id").distinct(), "claim_id", "left_anti")
+    return known.unionByName(bare.select("claim_id", "category", F.lit(None).cast("string").alias("ref"), F.lit(1).cast("bigint").alias("n")))
+
+
 @query("E20_verify_citations", with_ctes("spans", """
 , p AS (SELECT id, file, line, lines, trim(regexp_replace(exact_text, '\\s+', ' ', 'g')) AS want, trim(regexp_replace(coalesce(lines[line], ''), '\\s+', ' ', 'g')) AS here FROM spans),
 w AS (SELECT *, contains(here, want) OR (contains(want, here) AND length(here) > 10) AS exact,

@@ -123,6 +123,16 @@ def _(spark, sf):
     return h.select("schema_version", "kind", "generated_at", "count", F.array_join(pairs, ",").alias("tally"))
 
 
+@query("S10_export_tally", """
+SELECT schema_version, kind, count, value, n FROM (SELECT '1.0.0' AS schema_version, 'orders' AS kind, count(*) AS count FROM orders) CROSS JOIN (SELECT o_custkey::VARCHAR AS value, count(*) AS n FROM orders GROUP BY 1)""")
+def _(spark, sf):
+    path = scratch(spark, "tally")
+    W.export_with_header(table(spark, sf, "orders"), path, "orders", "2024-02-01", "o_custkey", tally_rows=True)
+    header = spark.read.schema("schema_version string, kind string, count bigint").json(f"{path}/header")
+    told = spark.read.schema("value string, n bigint").json(f"{path}/tally")
+    return told.withColumn("kind", F.lit("orders")).join(header, "kind").select("schema_version", "kind", "count", "value", "n")
+
+
 @query("S11_export_shards", """
 SELECT c_custkey::VARCHAR AS key, '{"c_custkey":' || c_custkey || ',"c_name":"' || c_name || '","c_nationkey":' || c_nationkey || '}' AS json FROM customer""")
 def _(spark, sf):

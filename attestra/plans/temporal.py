@@ -12,6 +12,7 @@ from attestra.operators import history as H
 from attestra.operators import snapshot as S
 from attestra.operators.classify import epistemic_transition, materiality_rank, status_rank
 from attestra.operators.extract import live, superseded
+from attestra.operators.numbering import lag_within
 from attestra.plans.inputs import claim_records, cte, objects, snapshots, source_records, table, with_ctes
 from attestra.plans.registry import query
 
@@ -446,10 +447,8 @@ SELECT a, b, CASE WHEN b = 'F' THEN 2 WHEN b = 'O' THEN 1 ELSE NULL END::BIGINT
        WHEN a = 'O' THEN 'STRENGTHENED' ELSE 'WEAKENED' END AS impact, count(*) AS n
 FROM (SELECT o_orderstatus AS a, lead(o_orderstatus) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS b FROM orders) WHERE b IS NOT NULL GROUP BY ALL""")
 def _(spark, sf):
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy("o_custkey").orderBy("o_orderkey")
-    steps = table(spark, sf, "orders").select(F.col("o_orderstatus").alias("a"), F.lead("o_orderstatus").over(w).alias("b")).filter("b IS NOT NULL")
+    orders = table(spark, sf, "orders").select("o_custkey", "o_orderkey", F.col("o_orderstatus").alias("b"))
+    steps = lag_within(orders, ["o_custkey"], ["o_orderkey"], "b", "a").filter("a IS NOT NULL AND b IS NOT NULL")
     names = lambda c: X.lookup(c, {"F": "CORROBORATED", "O": "SELF_REPORTED", "P": "NOT_FOUND"})
     counted = steps.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
     return counted.select("a", "b", status_rank(names(F.col("b"))).cast("bigint").alias("rank_b"),
