@@ -13,6 +13,8 @@ from attestra.session import checkpoint_dir
 
 #: Words are runs of anything but these six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Shuffle partitions that one stage is dealt into at most; beyond it they grow in size.
+MOST_PARTITIONS = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +32,14 @@ def settle(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def deal(df: DataFrame, size: int | None, each: int, *keys: str) -> DataFrame:
+    """``df`` dealt by ``keys`` into a partition for every ``each`` bytes of ``size``.
+
+    Follows the data, where the session's number of shuffle partitions does not.
+    """
+    return df.repartition(max(1, min(-(-(size or 0) // each), MOST_PARTITIONS)), *keys)
+
+
 def remainder(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo; -1 for a null id."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus, F.lit(-1))

@@ -4,7 +4,9 @@ States are the root (no history) and one state per known word. A state has an ar
 every word that followed it in training, weighted with the smoothed probability, and a
 failure arc to the root, weighted with the probability mass left for unseen words. The
 root has an arc for every word. A text is read once from left to right: take the arc if
-there is one, otherwise fail to the root and take its arc; add the weights.
+there is one, otherwise fail to the root and take its arc; add the weights. As the state
+after a word is that word's, whatever was read before, the steps of all texts of a chunk
+are looked up at once, by (previous word, word), and added text by text.
 
     root:   p(w)     = (c(w) + 0.5) / (N + 0.5 (V + 1))
     bigram: p(w | h) = (c(h w) + MASS p(w)) / (c(h) + MASS)      failure: MASS / (c(h) + MASS)
@@ -28,13 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestra.llm.common import mix, remainder, settle, word_hashes, words_of
+from attestra.llm.common import deal, mix, remainder, settle, word_hashes, words_of
 
 #: Mass that a state gives to words that never followed it, in counts.
 MASS = 200.0
 CHUNK_BYTES = 4_000_000
 #: Text for each bucket of n-gram counts.
 BUCKET_BYTES = 8_000_000
+#: Text for each task that scores chunks.
+TASK_BYTES = 16_000_000
 START, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _PACKED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("text", pa.large_string())])
 
@@ -145,23 +149,16 @@ class Automaton:
 
     def __init__(self, unigrams: np.ndarray, words: np.ndarray, pairs: np.ndarray, histories: np.ndarray, pair_words: np.ndarray, starts: float, tokens: int, types: int, mass: float):
         root = (unigrams + 0.5) / (tokens + 0.5 * (types + 1))
-        self.root = np.log10(root).tolist()
+        self.root = np.log10(root)
         # the last state is the start of a text
         seen = np.append(unigrams, starts)
-        self.fail = np.log10(mass / (seen + mass)).tolist()
-        with np.errstate(divide="ignore"):
-            arc = np.log10((pairs + mass * root[pair_words]) / (seen[histories] + mass))
-        self.arc = [a if n else None for a, n in zip(arc.tolist(), pairs.tolist(), strict=True)]
-        self.start = len(unigrams)
-
-    def score(self, words: list[int], pairs: list[int]) -> float:
-        arc, fail, root = self.arc, self.fail, self.root
-        state, total = self.start, 0.0
-        for word, pair in zip(words, pairs, strict=True):
-            weight = arc[pair]
-            total += fail[state] + root[word] if weight is None else weight
-            state = word
-        return total
+        fail = np.log10(mass / (seen + mass))
+        arc = np.log10((pairs + mass * root[pair_words]) / (seen[histories] + mass))
+        self.step = np.where(pairs > 0, arc, fail[histories] + self.root[pair_words])
+
+    def score(self, pairs: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Weights of the steps through ``pairs``, added for each text; ``first``: where texts begin."""
+        return np.add.reduceat(self.step[pairs], first)
 
 
 def _totals(answers: pd.DataFrame, n: int) -> np.ndarray:
@@ -184,14 +181,11 @@ def _score(tokens_learned: int, types: int, starts: int, mass: float):
             of_pair, word_of_pair = np.empty(len(pair_keys), np.int64), np.empty(len(pair_keys), np.int64)
             of_pair[pair], word_of_pair[pair] = history, word
             machine = Automaton(unigrams, keys, pairs, of_pair, word_of_pair, starts, tokens_learned, types, mass)
-            base = np.add.reduceat(np.array(machine.root)[word], first)
+            base = np.add.reduceat(machine.root[word], first)
             known = np.add.reduceat((unigrams[word] > 0).astype(np.int64), first)
-            scores = []
-            for a, length in zip(first.tolist(), tokens.lengths.tolist(), strict=True):
-                scores.append(machine.score(word[a : a + length].tolist(), pair[a : a + length].tolist()))
             out.append(
                 pd.DataFrame(
-                    {"doc_id": pd.array(tokens.doc_ids, "Int64"), "held_out": tokens.held_out, "n_tokens": tokens.lengths, "n_known": known, "train_tokens": tokens_learned, "base_score": base, "score": scores}
+                    {"doc_id": pd.array(tokens.doc_ids, "Int64"), "held_out": tokens.held_out, "n_tokens": tokens.lengths, "n_known": known, "train_tokens": tokens_learned, "base_score": base, "score": machine.score(pair, first)}
                 )
             )
         return pd.concat(out) if out else pd.DataFrame()
@@ -215,9 +209,11 @@ def score_texts(docs: DataFrame, mass: float = MASS) -> DataFrame:
     size = base.agg(F.sum(F.octet_length("text")).alias("bytes"), F.sum(F.when(~F.col("held_out"), 1)).alias("starts")).first()
     buckets = max(1, -(-(size["bytes"] or 0) // BUCKET_BYTES))
     asked = chunks.mapInArrow(_ask(buckets), "n int, bucket long, chunk long, keys binary, counts binary")
-    answers = settle(asked.groupBy("n", "bucket").applyInPandas(_answer, "n int, bucket long, chunk long, totals binary, types long, tokens long"))
+    dealt = deal(asked, size["bytes"], BUCKET_BYTES, "n", "bucket")
+    answers = settle(dealt.groupBy("n", "bucket").applyInPandas(_answer, "n int, bucket long, chunk long, totals binary, types long, tokens long"))
     sums = answers.filter("n = 1").agg(F.sum("types").alias("types"), F.sum("tokens").alias("tokens")).first()
     run = _score(sums["tokens"] or 0, sums["types"] or 0, size["starts"] or 0, mass)
-    return chunks.groupBy("chunk").cogroup(answers.select("n", "bucket", "chunk", "totals").groupBy("chunk")).applyInPandas(
+    texts, told = (deal(df, size["bytes"], TASK_BYTES, "chunk") for df in (chunks, answers.select("n", "bucket", "chunk", "totals")))
+    return texts.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(
         run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
