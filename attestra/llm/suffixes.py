@@ -27,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestra.llm.common import mix, settle, word_hashes, words_of
-from attestra.llm.lm import _answer, _chunks, _planes, _totals
+from attestra.llm.common import deal, mix, settle, word_hashes, words_of
+from attestra.llm.lm import TASK_BYTES, _answer, _chunks, _planes, _totals
 
 LEAST = 50
 GRAM = 8
@@ -175,14 +175,19 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     """
     base = docs.select(F.col("doc_id").cast("long"), F.lit(False).alias("held_out"), F.col("text").cast("string"))
     chunks = settle(base.mapInArrow(_chunks, "chunk long, docs binary"))
-    buckets = max(1, -(-(base.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET_BYTES))
+    size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(1, -(-size // BUCKET_BYTES))
     reply = "n int, bucket long, chunk long, totals binary, types long, tokens long"
 
     def answered(asked: DataFrame) -> DataFrame:
-        told = asked.groupBy("n", "bucket").applyInPandas(_answer, reply)
+        told = deal(asked, size, BUCKET_BYTES // 2, "n", "bucket").groupBy("n", "bucket").applyInPandas(_answer, reply)
         return settle(told.select("n", "bucket", "chunk", "totals"))
 
+    def beside(told: DataFrame):
+        """Each chunk with what it was told."""
+        return deal(chunks, size, TASK_BYTES, "chunk").groupBy("chunk").cogroup(deal(told, size, TASK_BYTES, "chunk").groupBy("chunk"))
+
     first = answered(chunks.mapInArrow(_ask_suffixes(buckets), _ASKED))
-    second = answered(chunks.groupBy("chunk").cogroup(first.groupBy("chunk")).applyInPandas(_ask_windows(buckets), _ASKED))
+    second = answered(beside(first).applyInPandas(_ask_windows(buckets), _ASKED))
     both = first.unionByName(second)
-    return chunks.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInPandas(_spans, "doc_id long, start_word long, n_words long, documents long, doc_words long")
+    return beside(both).applyInPandas(_spans, "doc_id long, start_word long, n_words long, documents long, doc_words long")
