@@ -5,9 +5,11 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from attestra.operators import freshness as N
 from attestra.operators import snapshot as S
 from attestra.operators.diff import diff_chain
 from attestra.operators.numbering import number_rows
+from attestra.plans.catalog import QUERIES
 from attestra.session import stored
 
 REVISIONS = "snapshot_sequence int, snapshot_id string, evidence_cutoff string, object_type string, object_id string, revision_id string, content_hash string, valid_from string, valid_to string, valid_time_precision string, payload string"
@@ -56,3 +58,28 @@ def test_numbered_rows_are_stored_compressed(spark):
     assert [(r.id, r.row_no) for r in rows.orderBy("id").collect()] == [(i, i + 1) for i in range(50)]
     again = number_rows(stored(df).select("id"), [F.col("id").desc()], "n", is_stored=True)
     assert [r.id for r in again.orderBy("n").collect()] == list(range(49, -1, -1))
+
+
+def test_freshness_queries_cover_every_snapshot(spark):
+    """Sources and cutoffs are those of a row's own snapshot; older snapshots are not left out."""
+    def row(seq, kind, key, payload):
+        return (seq, f"SNAP-{seq:02d}", f"200{seq}-12-31", kind, key, None, None, None, None, None, payload)
+
+    rows = [row(1, "source", "S1", '{"retrievedAt":"2001-05-05"}'), row(2, "source", "S1", '{"retrievedAt":"2002-12-30"}'), row(2, "source", "S2", '{"retrievedAt":"2002-02-02"}')]
+    rows += [row(s, "relationship", "R1", '{"predicate":"OWNS","status":"X","sources":["S2","S1"]}') for s in (1, 2)] + [row(1, "claim", "C1", '{"sources":["S2"]}')]
+    o = spark.createDataFrame(rows, REVISIONS)
+    by = ["snapshot_id"]
+    told = {(r.snapshot_id, r.object_id): r.last_verification for r in N.last_verification(o, o, F.col("evidence_cutoff"), by).collect()}
+    assert told == {("SNAP-01", "S1"): "2001-05-05", ("SNAP-02", "S1"): "2002-12-30", ("SNAP-02", "S2"): "2002-02-02", ("SNAP-01", "R1"): "2001-05-05", ("SNAP-02", "R1"): "2002-12-30", ("SNAP-01", "C1"): "2001-12-31"}
+    as_of = F.date_format(F.date_add(F.to_date("evidence_cutoff"), 20), "yyyy-MM-dd")
+    state = {r.snapshot_id: r.currentness_state for r in N.relationship_currentness(o, F.col("evidence_cutoff"), as_of, by).collect()}
+    assert state == {"SNAP-01": "REVALIDATION_DUE", "SNAP-02": "CURRENT_AS_VERIFIED"}
+    states = spark.createDataFrame([("S1", "OK", "2001-01-01", 3)], "source_id string, state string, last_attempt string, failed_attempts int")
+    first = {(r.snapshot_id, r.object_id): r.provider.failed_attempts for r in N.first_provider_state(o, states, by).collect()}
+    assert first == {("SNAP-01", "S1"): 3, ("SNAP-02", "S1"): 3, ("SNAP-01", "R1"): 3, ("SNAP-02", "R1"): 3}
+
+
+@pytest.mark.parametrize("name", ["J12_last_verification", "J13_first_provider_state", "G9_relationship_currentness"])
+def test_freshness_queries_return_every_snapshot(spark, name):
+    rows = QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert rows.select("snapshot_id").distinct().count() == 10
