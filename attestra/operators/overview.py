@@ -94,10 +94,32 @@ def related_bridges(metrics: DataFrame, claims: DataFrame, words: str) -> tuple[
 
 
 def _classes(bridge: DataFrame, member: str) -> DataFrame:
-    """Members with the same sources are one class: (class, n, sources)."""
+    """Members with the same sources are one class: (class, rep, n, sources)."""
+    named = _classed(bridge, member)
+    return named.groupBy("class").agg(F.min(member).alias("rep"), F.count(F.lit(1)).alias("n"), F.any_value("sources").alias("sources"))
+
+
+def _classed(bridge: DataFrame, member: str) -> DataFrame:
     sets = bridge.groupBy(member).agg(F.array_sort(F.collect_set("source_id")).alias("sources"))
-    named = sets.withColumn("class", F.sha2(F.to_json("sources"), 256))
-    return named.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.any_value("sources").alias("sources"))
+    return sets.withColumn("class", F.sha2(F.to_json("sources"), 256))
+
+
+def related_classes(own: DataFrame, cited: DataFrame) -> DataFrame:
+    """(part, id, ref) rows: the whole relation of metrics and claims, without its square.
+
+    Members with the same sources have the same relations and form a class named
+    by its smallest id. ``metric`` and ``claim`` rows tell the class (ref) of
+    each member (id); ``related`` rows pair the classes that share a source.
+    """
+    def members(part, bridge, member, classes):
+        named = _classed(bridge, member).join(classes.select("class", "rep"), "class")
+        return named.select(F.lit(part).alias("part"), F.col(member).alias("id"), F.col("rep").alias("ref"))
+
+    a, b = _classes(own, "metric_id"), _classes(cited, "claim_id")
+    left = a.select(F.col("rep").alias("id"), F.explode("sources").alias("source_id"))
+    right = b.select(F.col("rep").alias("ref"), F.explode("sources").alias("source_id"))
+    pairs = left.join(right, "source_id").select(F.lit("related").alias("part"), "id", "ref").distinct()
+    return union_all([members("metric", own, "metric_id", a), members("claim", cited, "claim_id", b), pairs])
 
 
 def related_counts(own: DataFrame, cited: DataFrame) -> DataFrame:

@@ -97,14 +97,18 @@ def _(spark, sf):
     return O.related_counts(*bridges(spark, sf))
 
 
-OPENED = "fin:7"
+cte("metric_sets", "SELECT metric_id, list_sort(list(source_id)) AS sources FROM metric_cites GROUP BY metric_id", ["metric_cites"])
+cte("claim_sets", "SELECT claim_id, list_sort(list(source_id)) AS sources FROM finance_cites GROUP BY claim_id", ["finance_cites"])
+cte("metric_classes", "SELECT metric_id, sources, min(metric_id) OVER (PARTITION BY sources) AS rep FROM metric_sets", ["metric_sets"])
+cte("claim_classes", "SELECT claim_id, sources, min(claim_id) OVER (PARTITION BY sources) AS rep FROM claim_sets", ["claim_sets"])
 
 
-@query("J20_related_claims", with_ctes("metric_cites finance_cites", f"SELECT DISTINCT metric_id, claim_id FROM metric_cites JOIN finance_cites USING (source_id) WHERE metric_id = '{OPENED}'"))
+@query("J20_related_claims", with_ctes("metric_classes claim_classes", """
+SELECT 'metric' AS part, metric_id AS id, rep AS ref FROM metric_classes UNION ALL SELECT 'claim', claim_id, rep FROM claim_classes
+UNION ALL SELECT DISTINCT 'related', m.rep, c.rep FROM (SELECT DISTINCT rep, unnest(sources) AS source_id FROM metric_classes) m JOIN (SELECT DISTINCT rep, unnest(sources) AS source_id FROM claim_classes) c USING (source_id)"""))
 def _(spark, sf):
-    """The claims beside one metric, as a reader opens it."""
-    own, cited = bridges(spark, sf)
-    return O.resolve_related(own.filter(F.col("metric_id") == OPENED), own, cited)
+    """All metrics and the claims beside them: class pairs and who belongs to which class."""
+    return O.related_classes(*bridges(spark, sf))
 
 
 def events(spark, sf):
