@@ -31,11 +31,16 @@ def run_rows(events):
 
 
 def mixed_runs(spark, sf):
-    """Runs as a stream of several batches; each holds rows of all times, so most of them come late."""
+    """Runs as a stream of several batches; each holds rows of all times, so most of them come late.
+
+    A batch is as many files as the table has splits, so that its tasks grow in
+    number and not in size.
+    """
     path = scratch(spark, "runs")
     rows = run_rows(table(spark, sf, "events"))
-    rows.withColumn("batch", F.pmod(F.xxhash64("run_id"), F.lit(BATCHES))).repartition(BATCHES, "batch").write.partitionBy("batch").parquet(path)
-    return spark.readStream.schema(rows.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(path)
+    files = max(1, rows.rdd.getNumPartitions())
+    rows.repartition(BATCHES * files, "run_id", "ts").write.parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 @query("R1_stream_provider_state", with_ctes("provider_state", "SELECT * FROM provider_state"))

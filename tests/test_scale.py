@@ -6,10 +6,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from attestra.operators import freshness as N
+from attestra.operators import overview as O
 from attestra.operators import snapshot as S
 from attestra.operators.diff import diff_chain
 from attestra.operators.numbering import number_rows
 from attestra.plans.catalog import QUERIES
+from attestra.plans.streams import mixed_runs
 from attestra.session import stored
 
 REVISIONS = "snapshot_sequence int, snapshot_id string, evidence_cutoff string, object_type string, object_id string, revision_id string, content_hash string, valid_from string, valid_to string, valid_time_precision string, payload string"
@@ -83,3 +85,39 @@ def test_freshness_queries_cover_every_snapshot(spark):
 def test_freshness_queries_return_every_snapshot(spark, name):
     rows = QUERIES[name](spark, "/root/testdata/sf0.001")
     assert rows.select("snapshot_id").distinct().count() == 10
+
+
+def test_related_classes_hold_the_relation_of_all_metrics(spark):
+    own = spark.createDataFrame([("m1", "a"), ("m2", "a"), ("m3", "b"), ("m3", "c"), ("m4", "z")], "metric_id string, source_id string")
+    cited = spark.createDataFrame([("a", "c1"), ("a", "c2"), ("b", "c3"), ("c", "c3"), ("a", "c4"), ("b", "c4")], "source_id string, claim_id string")
+    rows = [tuple(r) for r in O.related_classes(own, cited).collect()]
+    part = lambda name: {(i, ref) for p, i, ref in rows if p == name}
+    assert part("metric") == {("m1", "m1"), ("m2", "m1"), ("m3", "m3"), ("m4", "m4")} and len(rows) == len(set(rows))
+    metrics, claims = part("metric"), part("claim")
+    spelled = {(m, c) for a, b in part("related") for m, rm in metrics if rm == a for c, rc in claims if rc == b}
+    everything = own.join(cited, "source_id").select("metric_id", "claim_id").distinct().collect()
+    assert spelled == {tuple(r) for r in everything}
+
+
+def test_j20_answers_for_all_metrics(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = QUERIES["J20_related_claims"](spark, sf)
+    assert rows.filter("part = 'metric'").count() == QUERIES["J20_metric_bridge"](spark, sf).select("metric_id").distinct().count() > 1
+
+
+def test_batches_of_runs_follow_the_splits(spark, tmp_path):
+    """Three batches of as many files as the table has splits, not three single files."""
+    spark.read.parquet("/root/testdata/sf0.01/events.parquet").repartition(4).write.parquet(str(tmp_path / "events.parquet"))
+    splits = spark.read.parquet(str(tmp_path / "events.parquet"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        wanted = splits.rdd.getNumPartitions()
+        stream = mixed_runs(spark, str(tmp_path))
+        sizes = []
+        log = str(tmp_path / "log")
+        stream.writeStream.foreachBatch(lambda b, i: sizes.append((b.select(F.input_file_name()).distinct().count(), b.count()))).option("checkpointLocation", log).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert wanted > 1 and sum(n for _, n in sizes) == splits.count() and len(sizes) in (2, 3)
+    assert max(files for files, _ in sizes) > 1
