@@ -13,7 +13,7 @@ from attestra import rules
 from attestra.functions.time import year_of
 from attestra.operators.extract import union_all
 from attestra.operators.sources import confidence_of
-from attestra.session import cut_lineage
+from attestra.session import cut_lineage, stored
 
 
 def both_directions(edges: DataFrame) -> DataFrame:
@@ -22,27 +22,44 @@ def both_directions(edges: DataFrame) -> DataFrame:
     return out.union(edges.select("target", "source")).filter("node <> other").distinct()
 
 
+def _lowest(pointers: DataFrame) -> DataFrame:
+    """(node, up) with ``up`` at the end of the chain: each step doubles the reach, and only nodes that are not there yet take part."""
+    points = stored(pointers.withColumn("done", F.col("up") == F.col("node")))
+    while True:
+        target = points.select(F.col("node").alias("up"), F.col("up").alias("_far"), F.col("done").alias("_end"))
+        moved = points.filter("NOT done").join(target, "up").select("node", F.col("_far").alias("up"), F.col("_end").alias("done"))
+        points = stored(points.filter("done").unionByName(moved))
+        if points.filter("NOT done").isEmpty():
+            return points.select("node", "up")
+
+
 def connected_components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """(node, component) with the smallest node id as the label.
 
-    Every round takes the smallest label among the neighbours and then follows
-    labels one step further, which halves the distance to the root.
+    In every round each node points to its smallest neighbour, or to itself if it
+    is smaller, and the nodes of a chain of pointers become one, named by its
+    smallest. The next round sees only the edges between these, so its tables
+    shrink; the smallest node of a component keeps its name throughout.
     """
-    links = cut_lineage(both_directions(edges))
-    every = links.select("node")
-    if nodes is not None:
-        every = every.union(nodes.select("id"))
-    labels = cut_lineage(every.distinct().withColumn("component", F.col("node")))
+    links = stored(edges.select("source", "target").filter("source <> target"))
+    rounds = []
     while True:
-        near = links.join(labels.select(F.col("node").alias("other"), "component"), "other").groupBy("node").agg(F.min("component").alias("_near"))
-        lower = labels.join(near, "node", "left").select("node", F.col("component").alias("_old"), F.least("component", "_near").alias("component"))
-        root = lower.select(F.col("node").alias("component"), F.col("component").alias("_root"))
-        jumped = lower.join(root, "component", "left").select("node", "_old", F.coalesce("_root", "component").alias("component"))
-        labels = cut_lineage(jumped)
-        done = labels.filter("component <> _old").isEmpty()
-        labels = labels.select("node", "component")
-        if done:
-            return labels
+        ends = links.select(F.col("source").alias("node"), F.col("target").alias("other")).union(links.select("target", "source"))
+        near = ends.groupBy("node").agg(F.min("other").alias("_near"))
+        rounds.append(_lowest(near.select("node", F.least("node", "_near").alias("up"))))
+        up = lambda end: rounds[-1].select(F.col("node").alias(end), F.col("up").alias(f"_{end}"))
+        drawn = links.join(up("source"), "source").join(up("target"), "target").filter("_source <> _target")
+        links = stored(drawn.select(F.least("_source", "_target").alias("source"), F.greatest("_source", "_target").alias("target")).distinct())
+        if links.isEmpty():
+            break
+    later = rounds[-1]
+    for earlier in rounds[-2::-1]:
+        onward = later.select(F.col("node").alias("up"), F.col("up").alias("_far"))
+        later = earlier.join(onward, "up", "left").select("node", F.coalesce("_far", "up").alias("up"))
+    if nodes is None:
+        return later.withColumnRenamed("up", "component")
+    alone = nodes.select(F.col("id").alias("node")).distinct()
+    return alone.join(later, "node", "full_outer").select("node", F.coalesce("up", "node").alias("component"))
 
 
 def component_sizes(labels: DataFrame) -> DataFrame:

@@ -121,3 +121,28 @@ def test_batches_of_runs_follow_the_splits(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert wanted > 1 and sum(n for _, n in sizes) == splits.count() and len(sizes) in (2, 3)
     assert max(files for files, _ in sizes) > 1
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_components_draw_the_graph_together(spark, monkeypatch):
+    """Each round works on fewer edges; labels are the smallest ids, also along chains and around hubs."""
+    from attestra.operators import graph
+
+    written = []
+    keep = graph.stored
+
+    def watched(df):
+        out = keep(df)
+        if out.columns == ["source", "target"]:
+            written.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph, "stored", watched)
+    pairs = [(f"a{i:02d}", f"a{i + 1:02d}") for i in range(30)] + [("z", f"b{i}") for i in range(9)] + [("c1", "c1"), ("d1", None), ("d2", "d1"), ("d1", "d2")]
+    labels = graph.connected_components(spark.createDataFrame(pairs, "source string, target string"), spark.createDataFrame([("a05",), ("e",)], "id string"))
+    got = sorted((r.node, r.component) for r in labels.collect())
+    assert got == sorted([(f"a{i:02d}", "a00") for i in range(31)] + [(n, "b0") for n in ["z", *[f"b{i}" for i in range(9)]]] + [("d1", "d1"), ("d2", "d1"), ("e", "e")])
+    assert written[0] == 41 and written[1] <= 9 and written[-1] == 0
