@@ -146,3 +146,11 @@ def test_components_draw_the_graph_together(spark, monkeypatch):
     got = sorted((r.node, r.component) for r in labels.collect())
     assert got == sorted([(f"a{i:02d}", "a00") for i in range(31)] + [(n, "b0") for n in ["z", *[f"b{i}" for i in range(9)]]] + [("d1", "d1"), ("d2", "d1"), ("e", "e")])
     assert written[0] == 41 and written[1] <= 9 and written[-1] == 0
+
+
+def test_replayed_objects_do_not_meet_by_version(spark):
+    from attestra.sources.writers import replay
+
+    versions = spark.createDataFrame([(1, [("C1", "x", "s", ["a"])])], "version long, claims array<struct<id:string,text:string,status:string,sources:array<string>>>")
+    done = replay(versions, spark.createDataFrame([(1, "2001-12-31")], "version long, evidence_cutoff string"))
+    assert "rightHint=(strategy=broadcast)" in plan_of(done)
