@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attestra.operators.extract import union_all
+from attestra.session import stored
+
+#: Rows of one side of a join that one task sorts.
+ROWS_PER_TASK = 500_000
 
 # Layer of each node kind.
 LAYERS = {
@@ -108,8 +112,11 @@ def why_index(nodes: DataFrame, edges: DataFrame, inferences: DataFrame) -> Data
     b = edges.select(F.col("from").alias("node"), used.alias("section"), F.col("to").alias("ref"), "role")
     own = [inferences.select(F.col("produces").alias("node"), F.lit(s).alias("section"), F.explode(s).alias("ref"), F.lit(s).alias("role"))
            for s in ("assumptions", "uncertainty", "alternatives", "counterfactuals") if s in inferences.columns]
-    rows = union_all([a, b, *own]).filter("section IS NOT NULL")
-    return rows.join(nodes.select(F.col("id").alias("node")), "node", "left_semi")
+    rows = stored(union_all([a, b, *own]).filter("section IS NOT NULL"))
+    known = stored(nodes.select(F.col("id").alias("node")))
+    # as many partitions as the rows ask for: joined by bytes, a task would sort all that compresses to its share
+    parts = max(1, -(-max(rows.count(), known.count()) // ROWS_PER_TASK))
+    return rows.repartition(parts, "node").join(known.repartition(parts, "node"), "node", "left_semi")
 
 
 def why_counts(index: DataFrame) -> DataFrame:

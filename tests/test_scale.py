@@ -154,3 +154,17 @@ def test_replayed_objects_do_not_meet_by_version(spark):
     versions = spark.createDataFrame([(1, [("C1", "x", "s", ["a"])])], "version long, claims array<struct<id:string,text:string,status:string,sources:array<string>>>")
     done = replay(versions, spark.createDataFrame([(1, "2001-12-31")], "version long, evidence_cutoff string"))
     assert "rightHint=(strategy=broadcast)" in plan_of(done)
+
+
+def test_why_index_joins_its_rows_once(spark, monkeypatch):
+    """One join for all sections, in partitions by the number of rows."""
+    from attestra.operators import reasoning
+
+    monkeypatch.setattr(reasoning, "ROWS_PER_TASK", 2)
+    nodes = spark.createDataFrame([("n1",), ("n2",)], "id string")
+    edges = spark.createDataFrame([("n1", "n2", "supports"), ("n2", "n1", "contextualizes"), ("n1", "x", "supports")], "from string, to string, role string")
+    inferences = spark.createDataFrame([("n1", ["A"])], "produces string, assumptions array<string>")
+    done = reasoning.why_index(nodes, edges, inferences)
+    assert plan_of(done).count("Join LeftSemi") == 1
+    got = sorted((r.node, r.section, r.ref) for r in done.collect())
+    assert got == sorted([("n2", "supporting", "n1"), ("n1", "contextualizing", "n2"), ("n1", "used_by", "n2"), ("n1", "used_by", "x"), ("n2", "used_by", "n1"), ("n1", "assumptions", "A")])
