@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestra.functions.text import assertion_id, json_pointer
+from attestra.session import stored
 
 # The register's own field names.
 PERSON = "STRUCT<jmeno:STRING,prijmeni:STRING,datumNarozeni:STRING>"
@@ -147,4 +148,9 @@ def register_assertions(manifest: DataFrame, bodies: DataFrame) -> DataFrame:
 
 
 def sort_assertions(df: DataFrame) -> DataFrame:
-    return df.orderBy(F.concat("entity", "predicate", "id"))
+    """In order of entity, predicate and id.
+
+    Stored first: a sort samples its input in a pass of its own, which would
+    take the assertions out of their documents twice.
+    """
+    return stored(df).orderBy(F.concat("entity", "predicate", "id"))

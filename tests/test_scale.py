@@ -168,3 +168,12 @@ def test_why_index_joins_its_rows_once(spark, monkeypatch):
     assert plan_of(done).count("Join LeftSemi") == 1
     got = sorted((r.node, r.section, r.ref) for r in done.collect())
     assert got == sorted([("n2", "supporting", "n1"), ("n1", "contextualizing", "n2"), ("n1", "used_by", "n2"), ("n1", "used_by", "x"), ("n2", "used_by", "n1"), ("n1", "assumptions", "A")])
+
+
+def test_sorted_assertions_are_extracted_once(spark):
+    from attestra.operators.register import sort_assertions
+
+    rows = spark.createDataFrame([(["b", "a"],)], "x array<string>").selectExpr("'e' AS entity", "explode(x) AS predicate").selectExpr("entity", "predicate", "'i' AS id")
+    done = sort_assertions(rows)
+    assert "Generate" not in plan_of(done)
+    assert [r.predicate for r in done.collect()] == ["a", "b"]
