@@ -18,6 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -42,19 +43,26 @@ _BITS = 20
 _PRIMES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
 
+def _points(text: str) -> np.ndarray:
+    """Code points, plus one, of the lower-cased text."""
+    return np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32) + np.uint32(1)
+
+
+def _codes(points: np.ndarray, n: int) -> np.ndarray:
+    """64-bit codes of the n-grams, in order of place."""
+    if len(points) < n:
+        return np.empty(0, np.uint64)
+    points = points.astype(np.uint64)
+    code = np.zeros(len(points) - n + 1, np.uint64)
+    for i in range(n):
+        code += points[i : len(points) - n + 1 + i] * _PRIMES[i]
+    return (code ^ (code >> np.uint64(31))) * _PRIMES[0] ^ np.uint64(n)
+
+
 def grams(text: str) -> list[np.ndarray]:
     """For each order the 64-bit codes of the n-grams of the lower-cased text, in order of place."""
-    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
-    out = []
-    for n in ORDERS:
-        if len(points) < n:
-            out.append(np.empty(0, np.uint64))
-            continue
-        code = np.zeros(len(points) - n + 1, np.uint64)
-        for i in range(n):
-            code += points[i : len(points) - n + 1 + i] * _PRIMES[i]
-        out.append((code ^ (code >> np.uint64(31))) * _PRIMES[0] ^ np.uint64(n))
-    return out
+    points = _points(text)
+    return [_codes(points, n) for n in ORDERS]
 
 
 @dataclass
@@ -88,10 +96,14 @@ class Model:
     def scores(self, texts: list[str]) -> np.ndarray:
         """Texts x languages; products of presence and weight matrices, order by order."""
         total = np.tile(self.bias, (len(texts), 1))
-        spectra = [grams(t) for t in texts]
-        for k in range(len(ORDERS)):
-            found = [self.known(k, s[k]) for s in spectra]
-            size = np.array([max(1, len(np.unique(s[k]))) for s in spectra])
+        points = [_points(t) for t in texts]
+        for k, n in enumerate(ORDERS):
+            # the n-grams of one text and order at a time, eight bytes a character
+            found, size = [], np.ones(len(texts))
+            for i, p in enumerate(points):
+                codes = _codes(p, n)
+                found.append(self.known(k, codes))
+                size[i] = max(1, len(np.unique(codes)))
             owner = np.repeat(np.arange(len(texts)), [len(f) for f in found])
             used, column = np.unique(np.concatenate(found), return_inverse=True) if len(owner) else (np.empty(0, np.int64), owner)
             for low in range(0, len(used), 8192):
@@ -193,24 +205,28 @@ def train(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG, chars: int = SAMPLE_
 def _predict(model: Model, text_at: int, untaught: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, lettered = batch.column(text_at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
-            pred, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
-            todo = [i for i, yes in enumerate(lettered) if yes]
-            if not model.langs:
-                for i in todo:
-                    pred[i] = untaught
-                todo = []
+            texts, lettered = batch.column(text_at), batch.column(batch.num_columns - 1).to_pylist()
+            lengths = pc.utf8_length(texts).to_pylist()
             low = 0
-            while low < len(todo):
-                high, chars = low, 0
-                while high < len(todo) and high - low < 256 and (high == low or chars < 1_000_000):
-                    chars += len(texts[todo[high]])
+            while low < len(texts):
+                # rows that are scored at once, and handed on before the next texts are unpacked
+                high, chars, todo = low, 0, []
+                while high < len(texts) and len(todo) < 256 and (not todo or chars < 1_000_000):
+                    if lettered[high]:
+                        chars += lengths[high]
+                        todo.append(high)
                     high += 1
-                part = model.scores([texts[i] for i in todo[low:high]])
-                for i, best, s in zip(todo[low:high], part.argmax(1), part.max(1), strict=True):
-                    pred[i], score[i] = model.langs[best], min(1.0, max(0.0, (s + 1) / 2))
+                pred, score = [UNKNOWN] * (high - low), np.zeros(high - low)
+                if not model.langs:
+                    for i in todo:
+                        pred[i - low] = untaught
+                elif todo:
+                    part = model.scores([texts[i].as_py() for i in todo])
+                    for i, best, s in zip(todo, part.argmax(1), part.max(1), strict=True):
+                        pred[i - low], score[i - low] = model.langs[best], min(1.0, max(0.0, (s + 1) / 2))
+                own = batch.slice(low, high - low).columns[:-1]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*batch.schema.names[:-1], "lang_pred", "score"])
                 low = high
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*batch.schema.names[:-1], "lang_pred", "score"])
 
     return run
 
@@ -242,13 +258,15 @@ def identified(docs: DataFrame, wanted: list[str] | None = None, least: float =
     a letter, as there is nothing to tell them by. Repeated rows are judged alike; an empty
     table gives an empty result; columns of any name stay as they are.
     """
-    told = fit_and_predict(docs, F.struct(*docs.columns).alias("row"), untaught="")
+    # a text goes to Python and back once, unless the cast to string changed it
+    carried = [c for c in docs.columns if c != "text" or docs.schema["text"].dataType != T.StringType()]
+    told = fit_and_predict(docs, F.struct(*carried).alias("row"), untaught="")
     stays = (F.col("lang_pred") == "") | (F.col("score") >= least)
     if wanted is not None:
         stays = stays & ((F.col("lang_pred") == "") | F.col("lang_pred").isin(wanted))
     told = told.filter((F.col("lang_pred") != UNKNOWN) & stays)
     lang = F.coalesce(F.col("row.`lang`"), F.nullif("lang_pred", F.lit("")).cast(docs.schema["lang"].dataType))
-    return told.select(*[lang.alias(c) if c == "lang" else F.col(f"row.`{c}`") for c in docs.columns])
+    return told.select(*[lang.alias(c) if c == "lang" else F.col(f"row.`{c}`" if c in carried else c) for c in docs.columns])
 
 
 def identify(docs: DataFrame) -> DataFrame:

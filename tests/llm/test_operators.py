@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -548,3 +549,19 @@ def test_pipeline(spark, docs):
     packed = corpus_pipeline.STAGES[-1][1](spark, kept, SF).collect()
     assert {r.doc_id for r in packed} == set(ids)
     check_packing(packed)
+
+
+def test_language_stage_sends_a_text_once_and_hands_rows_on_in_slices(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"some words {i}" if i % 3 else "", "en", "a") for i in range(900)], "doc_id long, text string, lang string, source string")
+    plain, asked = langid.fit_and_predict, []
+    monkeypatch.setattr(langid, "fit_and_predict", lambda docs, *more, **kind: asked.append(docs.select(*more).columns + docs.select(*more).select("row.*").columns) or plain(docs, *more, **kind))
+    got = sorted(langid.identified(docs).collect())
+    assert asked == [["row", "doc_id", "lang", "source"]]
+    assert got == sorted(docs.filter("text <> ''").collect())
+    assert sorted(langid.identified(docs.withColumn("text", F.col("text").cast("binary"))).collect()) == sorted(docs.filter("text <> ''").withColumn("text", F.col("text").cast("binary")).collect())
+
+    batch = pa.RecordBatch.from_pylist([{"doc_id": r.doc_id, "text": r.text, "lettered": bool(r.text)} for r in docs.collect()])
+    model = langid.fit(["some words", "other things"], ["en", "xx"], np.array([0, 1]))
+    parts = list(langid._predict(model, 1, "")(iter([batch])))
+    assert [sum(p != "und" for p in part.column("lang_pred").to_pylist()) for part in parts] == [256, 256, 88]
+    assert [i for part in parts for i in part.column("doc_id").to_pylist()] == batch.column("doc_id").to_pylist()
