@@ -177,3 +177,13 @@ def test_sorted_assertions_are_extracted_once(spark):
     done = sort_assertions(rows)
     assert "Generate" not in plan_of(done)
     assert [r.predicate for r in done.collect()] == ["a", "b"]
+
+
+def test_revision_chain_hashes_no_table_of_revisions(spark):
+    from attestra.operators.history import revision_chain
+
+    rows = [("claim", i, s, h, f"{i}@{h}") for i, chain in (("c1", "1A 2A 4B 5A 6A"), ("c2", "3C"), (None, "1D 2D")) for s, h in ((int(p[0]), p[1:]) for p in chain.split())]
+    done = revision_chain(spark.createDataFrame(rows, "object_type string, object_id string, snapshot_sequence int, content_hash string, revision_id string"))
+    assert "Aggregate" not in plan_of(done)
+    got = sorted((r.object_id or "", r.revision_number, r.revision_id, r.first_snapshot_sequence, r.last_snapshot_sequence) for r in done.collect())
+    assert got == [("", 1, "None@D", 1, 2), ("c1", 1, "c1@A", 1, 2), ("c1", 2, "c1@B", 4, 4), ("c1", 3, "c1@A", 5, 6), ("c2", 1, "c2@C", 3, 3)]
