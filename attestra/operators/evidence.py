@@ -79,14 +79,30 @@ def text_lines(docs: DataFrame, key: str, body: str) -> DataFrame:
     return rows.select(key, (F.col("_p") + 1).alias("line"), "text")
 
 
+#: Bytes of text, and rows that cite it, that one task of a join of both sorts.
+BYTES_PER_TASK = 16 << 20
+ROWS_PER_TASK = 100_000
+
+
+def _beside_texts(citing: DataFrame, texts: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Both sides in as many partitions by ``key`` as their bytes and rows ask for.
+
+    Left to Spark, a task sorts the texts that compress to its share, which grows
+    with the table.
+    """
+    size = texts.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    parts = max(1, -(-size // BYTES_PER_TASK), -(-citing.count() // ROWS_PER_TASK))
+    return citing.repartition(parts, key), texts.repartition(parts, key)
+
+
 def verify_citations(spans: DataFrame, docs: DataFrame, window: int = 3) -> DataFrame:
     """Does the quoted text stand at its stated line, or within ``window``?
 
     Spans meet their document by key; the lines near the stated one are sliced
     from the document, so no line table is shuffled.
     """
-    body = docs.select(F.col("file"), F.split("body", "\n").alias("lines"))
-    rows = spans.join(body, "file", "left")
+    spans, docs = _beside_texts(spans, docs.select("file", "body"), "file", "body")
+    rows = spans.join(docs, "file", "left").withColumn("lines", F.split("body", "\n"))
     want = collapse(F.col("exact_text"))
     n = F.col("line")
     at = collapse(F.coalesce(F.try_element_at("lines", F.greatest(n, F.lit(1)).cast("int")), F.lit("")))
@@ -105,6 +121,7 @@ def verify_citations(spans: DataFrame, docs: DataFrame, window: int = 3) -> Data
 
 def verify_quotes(web_spans: DataFrame, bodies: DataFrame) -> DataFrame:
     """Every quoted substring must occur verbatim in the preserved body."""
+    web_spans, bodies = _beside_texts(web_spans, bodies, "artifact_tag", "body")
     rows = web_spans.join(bodies, "artifact_tag", "left")
     missing = F.filter("contains", lambda q: ~F.coalesce(F.col("body").contains(q), F.lit(False)))
     return rows.select("id", "artifact_tag", F.size("contains").alias("quotes"), F.size(missing).alias("missing"),

@@ -187,3 +187,21 @@ def test_revision_chain_hashes_no_table_of_revisions(spark):
     assert "Aggregate" not in plan_of(done)
     got = sorted((r.object_id or "", r.revision_number, r.revision_id, r.first_snapshot_sequence, r.last_snapshot_sequence) for r in done.collect())
     assert got == [("", 1, "None@D", 1, 2), ("c1", 1, "c1@A", 1, 2), ("c1", 2, "c1@B", 4, 4), ("c1", 3, "c1@A", 5, 6), ("c2", 1, "c2@C", 3, 3)]
+
+
+def test_cited_texts_are_joined_in_partitions_by_their_bytes(spark, monkeypatch):
+    from attestra.operators import evidence
+
+    monkeypatch.setattr(evidence, "BYTES_PER_TASK", 100, raising=False)
+    docs = spark.createDataFrame([(i, f"line {i}\nmore words of {i}\nend") for i in range(40)] + [(40, None)], "file long, body string")
+    spans = spark.createDataFrame([(f"s{i}", i, 1 + i % 3, f"more words of {i}" if i % 2 else "nowhere") for i in range(42)] + [("n", None, 1, "x")], "id string, file long, line int, exact_text string")
+    done = evidence.verify_citations(spans, docs)
+    size = sum(len(r.body or "") for r in docs.collect())
+    assert "RepartitionByExpression [file#" in plan_of(done) and f", {-(-size // 100)}" in plan_of(done)
+    got = {r.id: r.match for r in done.collect()}
+    assert got == {f"s{i}": "not found" if i % 2 == 0 else "exact" if i % 3 == 1 else "window" for i in range(40)} | {"s40": "file missing", "s41": "file missing", "n": "file missing"}
+
+    web = docs.selectExpr("concat('w', file) AS id", "concat('t', file) AS artifact_tag", "array(substring(body, 1, 4), CASE WHEN file % 4 = 0 THEN 'nowhere' ELSE 'end' END) AS contains")
+    told = evidence.verify_quotes(web, docs.selectExpr("concat('t', file) AS artifact_tag", "body"))
+    assert "RepartitionByExpression [artifact_tag#" in plan_of(told)
+    assert {r.id for r in told.filter("verified").collect()} == {f"w{i}" for i in range(40) if i % 4}
