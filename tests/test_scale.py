@@ -205,3 +205,47 @@ def test_cited_texts_are_joined_in_partitions_by_their_bytes(spark, monkeypatch)
     told = evidence.verify_quotes(web, docs.selectExpr("concat('t', file) AS artifact_tag", "body"))
     assert "RepartitionByExpression [artifact_tag#" in plan_of(told)
     assert {r.id for r in told.filter("verified").collect()} == {f"w{i}" for i in range(40) if i % 4}
+
+
+def test_changes_are_numbered_where_they_lie(spark, monkeypatch):
+    """Numbers follow from ranges of objects; the change rows are not sorted a second time over all tasks."""
+    from attestra.operators import changes as C
+
+    def dealt_again(*args, **more):
+        raise AssertionError("change rows are dealt out again")
+
+    monkeypatch.setattr(C, "number_rows", dealt_again)
+    rows = [(s, f"SNAP-{s:02d}", f"200{s}-12-31", t, f"{i:03d}", None, str((i + s) % 3), None, None, "UNKNOWN", f'{{"status":"{(i + s) % 3}"}}')
+            for s in (1, 2, 3) for i in range(60) for t in ("claim", "relationship") if (i + s) % 5]
+    o = spark.createDataFrame(rows, REVISIONS).withColumn("revision_id", F.concat_ws("@", "object_id", "content_hash"))
+    pairs = S.adjacent_pairs(o.select("snapshot_sequence", "snapshot_id", "evidence_cutoff").distinct())
+    done = C.build_changes(o, pairs).collect()
+    order = lambda r: (r.to_seq, ["added", "removed", "changed"].index(r.change_kind), f"{r.object_type}:{r.object_id}")
+    assert [r.change_id for r in sorted(done, key=order)] == [f"CHG-{n:04d}" for n in range(1, len(done) + 1)]
+    assert {r.change_kind for r in done} == {"added", "removed", "changed"} and len(done) > 100
+
+
+def test_derived_hashes_are_not_sent(spark):
+    """A hash or id that follows from the row is left out of the shuffle; any other, and none, is kept as it is."""
+    from attestra.functions import text as X
+    from attestra.operators.diff import _sent
+
+    rows = [(s, f"SNAP-{s:02d}", f"200{s}-12-31", "claim", i, r, h, None, None, "UNKNOWN", f'{{"status":"{s}"}}')
+            for s in (1, 2) for i, r, h in (("own", None, None), ("other", f"r{s}", f"h{s}"), ("none", None, None))]
+    o = spark.createDataFrame(rows, REVISIONS)
+    own = F.col("object_id") == "own"
+    o = o.withColumn("content_hash", F.when(own, X.content_hash(F.col("payload"))).otherwise(F.col("content_hash")))
+    o = o.withColumn("revision_id", F.when(own, X.revision_id(F.col("object_id"), F.col("content_hash"))).otherwise(F.col("revision_id")))
+    sent = {r.object_id: (r._hash, r._id) for r in _sent(o).filter("seq = 1").collect()}
+    assert sent["own"] == (None, None) and sent["other"] == (("h1",), ("r1",)) and sent["none"] == ((None,), (None,))
+    d = diff_chain(o, S.adjacent_pairs(o.select("snapshot_sequence", "snapshot_id", "evidence_cutoff").distinct()))
+    told = {r.object_id: r for r in d.collect()}
+    want = {(r.object_id, r.snapshot_sequence): (r.revision_id, r.content_hash) for r in o.collect()}
+    for key, r in told.items():
+        assert [(x.revision_id, x.content_hash) for x in (r.old, r.new)] == [want[key, 1], want[key, 2]]
+    assert told["own"].change_kind == told["other"].change_kind == "changed" and told["none"].change_kind == "unchanged"
+
+
+def test_affected_claims_find_differences_once(spark):
+    done = QUERIES["J11_affected_claims"](spark, "/root/testdata/sf0.001")
+    assert "Window" not in plan_of(done)
