@@ -246,6 +246,11 @@ def test_derived_hashes_are_not_sent(spark):
     assert told["own"].change_kind == told["other"].change_kind == "changed" and told["none"].change_kind == "unchanged"
 
 
+def test_layers_are_built_once(spark):
+    done = QUERIES["J21_layer_agreement"](spark, "/root/testdata/sf0.001")
+    assert plan_of(done).count("lineitem") <= 1 and plan_of(done).count("RepartitionByExpression") == 1
+
+
 def test_affected_claims_find_differences_once(spark):
     done = QUERIES["J11_affected_claims"](spark, "/root/testdata/sf0.001")
     assert "Window" not in plan_of(done)
